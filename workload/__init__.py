@@ -1,4 +1,12 @@
 """Registered queries over the given tables, each beside its SQL twin."""
 
-from workload import line_queries, page_queries, text_queries  # noqa: F401
+from workload import (  # noqa: F401
+    line_queries,
+    page_queries,
+    review_queries,
+    snapshot_queries,
+    stream_queries,
+    table_queries,
+    text_queries,
+)
 from workload.registry import ORACLES, QUERIES  # noqa: F401

@@ -186,7 +186,7 @@ def _numbered_markdown(spark, sf):
              FROM l WHERE NOT is_head AND hid > 0 AND trim(line) <> ''),
     h AS (SELECT heads.*, coalesce(b.line, '') AS description,
             row_number() OVER (PARTITION BY heads.doc_id, risk_id ORDER BY heads.hid DESC) AS r,
-            min(heads.hid) OVER (PARTITION BY heads.doc_id, risk_id) - 1 AS risk_no
+            cast(min(heads.hid) OVER (PARTITION BY heads.doc_id, risk_id) - 1 AS BIGINT) AS risk_no
           FROM heads LEFT JOIN body b ON b.doc_id = heads.doc_id AND b.hid = heads.hid AND b.n = 1)
     SELECT cast(doc_id AS VARCHAR) AS source_id, risk_id, risk_no, title, description FROM h WHERE r = 1
     """,

@@ -148,7 +148,7 @@ def first_link_per_href(spark, sf):
 
 @query(
     "heading_sections",
-    f"SELECT page_id, count(*) AS body_count, sum(length(text)) AS body_chars FROM ({SQL_PARAGRAPHS}) GROUP BY 1",
+    f"SELECT page_id, count(*) AS body_count, cast(sum(length(text)) AS BIGINT) AS body_chars FROM ({SQL_PARAGRAPHS}) GROUP BY 1",
 )
 def heading_sections(spark, sf):
     """Paragraphs owned by each h1 through the sibling window."""
