@@ -9,7 +9,7 @@ from beaconry.functions.keys import report_name
 from beaconry.plans import review
 from beaconry.sources.documents import review_state_json
 from workload.registry import query, sql_words, table
-from workload.text_queries import FIRST_LINE, SQL_FIRST
+from workload.text_queries import SQL_FIRST, first_line
 
 SQL_CONTENT = f"""
     SELECT conv_id, CASE WHEN length(c) > 12000 THEN left(c, 12000) || '{fixed.TRUNCATION_NOTICE}' ELSE c END AS content FROM (
@@ -52,7 +52,6 @@ def review_payload(spark, sf):
     return _content(spark, sf).select("conv_id", F.md5(payload).alias("digest"))
 
 
-CONFIDENCE = F.least(F.lit(100), F.floor(F.col("n_chars") / 20))
 RULES = [
     review.Rule("mail", "A02", "Mail address in text", r"[a-z0-9_.]+@[a-z0-9.]+", "high", "Remove it"),
     review.Rule("license", "A06", "Licence line", r"(?i)licen[sc]e[^\n]*", "low", "Check terms"),
@@ -66,6 +65,10 @@ SQL_FINDINGS = " UNION ALL ".join(
 )
 
 
+def _confidence():
+    return F.least(F.lit(100), F.floor(F.col("n_chars") / 20))
+
+
 @query("rule_findings", f"SELECT doc_id, rule_id, risk_level, evidence FROM ({SQL_FINDINGS})")
 def rule_findings(spark, sf):
     scanned = review.rule_scan(table(spark, sf, "documents"), "doc_id", "text", RULES)
@@ -185,7 +188,7 @@ def route_change(spark, sf):
 def decide(spark, sf):
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = table(spark, sf, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
-    decision = review.decide(CONFIDENCE, F.col("toxic") == 1, F.lit(None).cast("string"))
+    decision = review.decide(_confidence(), F.col("toxic") == 1, F.lit(None).cast("string"))
     return docs.select("doc_id", decision.alias("decision"))
 
 
@@ -213,8 +216,8 @@ def _reports(spark, sf):
     )
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute")
     report = review.render_report(
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.col("source"), FIRST_LINE,
-        CONFIDENCE, fixes, F.lit(None).cast("string"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.col("source"), first_line(),
+        _confidence(), fixes, F.lit(None).cast("string"),
     )
     return table(spark, sf, "documents").select(
         "doc_id", report_name(at).alias("file_name"), report.alias("content")

@@ -9,12 +9,15 @@ from beaconry.operators import running, snapshots
 from beaconry.operators.replay import cache_hits
 from workload.registry import query, table
 
-AS_OF = F.expr("timestamp_ntz'1997-01-01 00:00:00'")
 SQL_AS_OF = "TIMESTAMP '1997-01-01'"
 HOUR_US = 3_600_000_000
 TTL_US = 24 * HOUR_US
 
 
+def as_of():
+    return F.expr("timestamp_ntz'1997-01-01 00:00:00'")
+
+
 def _orders(spark, sf):
     """Orders as snapshot rows: the order date is the creation time."""
     return table(spark, sf, "orders").select(
@@ -73,7 +76,7 @@ def snapshot_upsert(spark, sf):
     f"SELECT o_orderkey AS identifier FROM orders WHERE o_orderdate + INTERVAL 90 DAY >= {SQL_AS_OF}",
 )
 def snapshot_read(spark, sf):
-    return snapshots.read_valid(_orders(spark, sf), AS_OF).select("identifier")
+    return snapshots.read_valid(_orders(spark, sf), as_of()).select("identifier")
 
 
 @query(
@@ -81,7 +84,7 @@ def snapshot_read(spark, sf):
     f"SELECT count(*) AS expired FROM orders WHERE o_orderdate + INTERVAL 90 DAY < {SQL_AS_OF}",
 )
 def snapshot_expire(spark, sf):
-    return snapshots.expire(_orders(spark, sf), AS_OF)[1]
+    return snapshots.expire(_orders(spark, sf), as_of())[1]
 
 
 @query(

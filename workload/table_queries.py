@@ -10,7 +10,7 @@ from beaconry.operators.firsts import first_per_key, last_per_key, top_per_key
 from beaconry.operators.snapshots import cache_lookup
 from beaconry.plans import metrics, numbered, sheets
 from workload.registry import query, table
-from workload.text_queries import FIRST_LINE, SQL_FIRST
+from workload.text_queries import SQL_FIRST, first_line
 
 SQL_RISKS = f"""
     SELECT source AS sheet_id, doc_id AS risk_no, 'D' || doc_id AS risk_id, {SQL_FIRST} AS title, lang AS severity, '*' AS icon, text AS description,
@@ -26,12 +26,12 @@ def _risks(spark, sf):
         F.col("source").alias("sheet_id"),
         F.col("doc_id").alias("risk_no"),
         F.concat(F.lit("D"), "doc_id").alias("risk_id"),
-        FIRST_LINE.alias("title"),
+        first_line().alias("title"),
         F.col("lang").alias("severity"),
         F.lit("*").alias("icon"),
         F.col("text").alias("description"),
         F.array(pair).alias("types"),
-        F.split(FIRST_LINE, " ").alias("impacts"),
+        F.split(first_line(), " ").alias("impacts"),
         F.filter(F.split("text", "\n"), lambda line: F.length(line) > 200).alias("mitigations"),
         none.alias("examples"),
     )
@@ -89,7 +89,7 @@ TERMS = ["ation", "ment", "ung", "ción", "ble"]
 )
 def section_to_risk(spark, sf):
     risks = F.array(*[F.struct(F.lit(t).alias("title")) for t in TERMS])
-    chosen = sheets.first_named_risk(risks, FIRST_LINE)["title"]
+    chosen = sheets.first_named_risk(risks, first_line())["title"]
     return table(spark, sf, "documents").select("doc_id", chosen.alias("risk"))
 
 

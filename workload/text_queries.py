@@ -13,13 +13,16 @@ from beaconry.plans.sheets import tag_list
 from beaconry.sources.pages import read_pages
 from workload.registry import query, sql_words, table
 
-FIRST_LINE = F.substring_index("text", "\n", 1)
 SQL_FIRST = "split_part(text, chr(10), 1)"
 SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, " \
     "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 SQL_PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 
 
+def first_line():
+    return F.substring_index("text", "\n", 1)
+
+
 def _doc_lines(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -43,7 +46,7 @@ def sql_category(text_sql: str, keys_: list[str], fallbacks=(), default=fixed.DE
     """,
 )
 def clean_title(spark, sf):
-    titled = F.concat(FIRST_LINE, F.lit(" ¶  Cheat  Sheet - OWASP notes"))
+    titled = F.concat(first_line(), F.lit(" ¶  Cheat  Sheet - OWASP notes"))
     return table(spark, sf, "documents").select("doc_id", text.clean_title(titled).alias("title"))
 
 
@@ -67,7 +70,7 @@ def slugify(spark, sf):
     )
     docs = table(spark, sf, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
-        text.slugify(FIRST_LINE).alias("slug"),
+        text.slugify(first_line()).alias("slug"),
     )
     return parts.unionByName(docs)
 
@@ -81,7 +84,7 @@ def slugify(spark, sf):
     """,
 )
 def slugify_ascii(spark, sf):
-    slug = text.slugify_ascii(FIRST_LINE, "sheet")
+    slug = text.slugify_ascii(first_line(), "sheet")
     return table(spark, sf, "documents").select("doc_id", slug.alias("slug"))
 
 
@@ -332,7 +335,7 @@ def recommendations(spark, sf):
     """,
 )
 def title_tags(spark, sf):
-    tags = tag_list(F.col("lang"), F.lit(None), FIRST_LINE)
+    tags = tag_list(F.col("lang"), F.lit(None), first_line())
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tags).alias("n", "tag"))
     return rows.select("doc_id", "tag", (F.col("n") + 1).cast("bigint").alias("rank"))
 
@@ -441,7 +444,7 @@ def capitalize(spark, sf):
     f"SELECT doc_id, array_to_string(string_split({SQL_FIRST}, ' '), ', ') AS words FROM documents",
 )
 def join_list(spark, sf):
-    words = F.concat_ws(", ", F.split(FIRST_LINE, " "))
+    words = F.concat_ws(", ", F.split(first_line(), " "))
     return table(spark, sf, "documents").select("doc_id", words.alias("words"))
 
 
@@ -524,7 +527,7 @@ OWN_ATTACK = ["ation", "ment", "ung"]
     f"SELECT doc_id, {SQL_FIRST} AS title FROM documents WHERE {sql_words(f'lower({SQL_FIRST})', OWN_ATTACK)}",
 )
 def attack_titles(spark, sf):
-    titled = table(spark, sf, "documents").select("doc_id", FIRST_LINE.alias("title"))
+    titled = table(spark, sf, "documents").select("doc_id", first_line().alias("title"))
     return titled.filter(classify.is_attack_title(F.col("title"), OWN_ATTACK))
 
 
@@ -533,7 +536,7 @@ def attack_titles(spark, sf):
     f"SELECT doc_id FROM documents WHERE NOT {sql_words(f'lower({SQL_FIRST})', ['the', 'der', 'la'])}",
 )
 def drop_boilerplate(spark, sf):
-    skip = classify.is_boilerplate_title(FIRST_LINE, ["the", "der", "la"])
+    skip = classify.is_boilerplate_title(first_line(), ["the", "der", "la"])
     return table(spark, sf, "documents").filter(~skip).select("doc_id")
 
 
