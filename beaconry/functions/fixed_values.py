@@ -184,6 +184,7 @@ CARD_CHARS = 150
 SLUG_CHARS = 80
 MIN_ITEM_CHARS = 10
 MIN_RECOMMENDATION_CHARS = 20
+MIN_DESCRIPTION_CHARS = 20
 PAGE_TTL_DAYS = 90
 INDEX_TTL_DAYS = 7
 EVICTION_TARGET = 0.8

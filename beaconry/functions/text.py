@@ -6,7 +6,7 @@ and ``$`` must treat only ``\\n`` as a line end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -103,9 +103,13 @@ def paragraph_role(
     )
 
 
-def is_code_line(line: Column) -> Column:
-    """Does a line look like source code or data rather than prose?"""
-    bare = strip(line)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def is_code_line(bare: Column) -> Column:
+    """Does a stripped line look like source code or data rather than prose?"""
     starts = reduce(lambda a, b: a | b, [bare.startswith(p) for p in fixed.CODE_LINE_PREFIXES])
     ends = reduce(lambda a, b: a | b, [bare.endswith(s) for s in fixed.CODE_LINE_SUFFIXES])
     data = bare.contains("=") & bare.contains('"') & bare.contains(":")
@@ -114,7 +118,11 @@ def is_code_line(line: Column) -> Column:
 
 
 def drop_code_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~is_code_line(line)), "\n")
+    lines = F.transform(
+        F.split(text, "\n"), lambda line: F.struct(line.alias("line"), strip(line).alias("bare"))
+    )
+    prose = F.filter(lines, lambda entry: ~is_code_line(entry["bare"]))
+    return F.array_join(prose.getField("line"), "\n")
 
 
 def clean_description(text: Column, default: str = fixed.EMPTY_DESCRIPTION) -> Column:
@@ -124,11 +132,13 @@ def clean_description(text: Column, default: str = fixed.EMPTY_DESCRIPTION) -> C
     out = F.regexp_replace(out, r"\{[^}]*\}", "")
     out = drop_code_lines(F.regexp_replace(out, r"\[[^\]]*\]", ""))
     out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), " {2,}", " ")
-    out = strip(out)
-    return (
-        F.when(text == "", F.lit(""))
-        .when(F.length(out) < fixed.MIN_RECOMMENDATION_CHARS, F.lit(default))
-        .otherwise(out)
+    return F.when(text == "", F.lit("")).otherwise(
+        bind(
+            strip(out),
+            lambda prose: F.when(
+                F.length(prose) < fixed.MIN_DESCRIPTION_CHARS, F.lit(default)
+            ).otherwise(prose),
+        )
     )
 
 
@@ -172,20 +182,30 @@ def list_items(text: Column, triggers: Sequence[str], limit: int) -> Column:
     """
 
     def step(state: Column, line: Column) -> Column:
-        bare = strip(line)
-        item = strip_list_marker(bare)
-        trigger = contains_any(F.lower(bare), triggers)
-        listed = state["on"] & ~trigger & is_list_item(bare)
-        closes = state["on"] & ~is_list_item(bare) & ((bare == "") | bare.startswith("#"))
-        wanted = listed & (F.length(item) > fixed.MIN_ITEM_CHARS) & (F.size(state["items"]) < limit)
+        wanted = line["listed"] & (F.length(line["item"]) > fixed.MIN_ITEM_CHARS)
+        room = F.size(state["items"]) < limit
         return F.struct(
-            F.when(trigger, True).when(closes, False).otherwise(state["on"]).alias("on"),
-            F.when(wanted, F.concat(state["items"], F.array(item)))
+            F.when(line["trigger"], True)
+            .when(line["closes"], False)
+            .otherwise(state["on"])
+            .alias("on"),
+            F.when(state["on"] & wanted & room, F.concat(state["items"], F.array(line["item"])))
             .otherwise(state["items"])
             .alias("items"),
         )
 
+    def classified(bare: Column) -> Column:
+        trigger = contains_any(F.lower(bare), triggers)
+        listed = is_list_item(bare)
+        return F.struct(
+            trigger.alias("trigger"),
+            (~trigger & listed).alias("listed"),
+            (~listed & ((bare == "") | bare.startswith("#"))).alias("closes"),
+            F.when(listed, strip_list_marker(bare)).otherwise("").alias("item"),
+        )
+
     start = F.struct(
         F.lit(False).alias("on"), F.array().cast("array<string>").alias("items")
     )
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["items"])
+    lines = F.transform(F.transform(F.split(text, "\n"), strip), classified)
+    return F.aggregate(lines, start, step, lambda s: s["items"])

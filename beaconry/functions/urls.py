@@ -78,3 +78,9 @@ def risk_number(text: Column, pattern: str = fixed.RISK_LABEL) -> Column:
 
 def risk_label_title(text: Column, pattern: str = fixed.RISK_LABEL) -> Column:
     return strip(F.regexp_extract(text, f"(?Ud){pattern}", 2))
+
+
+def related_id(href: Column, pattern: str = fixed.RELATED_ID) -> Column:
+    """Id of the guidance page a link points to; null for other links."""
+    raw = F.nullif(F.regexp_extract(href, pattern, 1), F.lit(""))
+    return F.lower(F.replace(raw, F.lit("_"), F.lit("-")))

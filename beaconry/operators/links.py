@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
-from beaconry.functions.urls import resolve_url
+from beaconry.functions.urls import related_id, resolve_url
 from beaconry.operators.sections import owned_elements
 
 
@@ -45,10 +45,10 @@ def distinct_per_page(links: DataFrame, value: Column, limit: int) -> DataFrame:
 def related_edges(elements: DataFrame, pattern: str = fixed.RELATED_ID, limit: int = 5) -> DataFrame:
     """Edges from a page to the ids of the guidance pages it links to."""
     links = elements.filter("tag = 'a'").select(
-        "page_id", "pos", F.regexp_extract(F.col("attrs")["href"], pattern, 1).alias("raw")
+        "page_id", "pos", related_id(F.col("attrs")["href"], pattern).alias("related_id")
     )
-    target = F.lower(F.replace(F.col("raw"), F.lit("_"), F.lit("-")))
-    return distinct_per_page(links.filter("raw != ''"), target, limit).withColumnRenamed(
+    found = links.filter("related_id is not null")
+    return distinct_per_page(found, F.col("related_id"), limit).withColumnRenamed(
         "value", "related_id"
     )
 

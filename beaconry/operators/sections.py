@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.classify import is_boilerplate_title
 from beaconry.functions.text import clean_title, contains_any, paragraph_role
+from beaconry.functions.urls import related_id
 
 
 def _ordered(value: Column, field: str) -> Column:
@@ -59,132 +60,161 @@ def heading_body(elements: DataFrame, heading: str, body_tag: str) -> DataFrame:
     )
 
 
+def _merged(lists: str, field: str) -> Column:
+    """Values of several ordered lists of one section in document order."""
+    return F.array_sort(F.flatten(F.collect_list(lists))).getField(field)
+
+
 def sections(marked: DataFrame) -> DataFrame:
-    """``(page_id, section_no, pos, title, content, code_examples, warnings, tips)``.
+    """``(page_id, section_no, pos, title, content, code_examples, warnings, tips, subsections)``.
 
-    Numbers count the kept sections of a page in document order.
+    Numbers count the kept sections of a page in document order.  Elements under an
+    h3 belong to the section as well as to its subsection.  Elements are grouped by
+    (h2, h3) first, and those parts by h2, all inside the page's own partition.
     """
-    tag = F.col("tag")
+    tag, none = F.col("tag"), F.array().cast("array<string>")
     text = F.when(tag.isin("div", "p"), F.col("text"))
-    role = paragraph_role(text)
     code = F.when(tag.isin("pre", "code"), F.col("raw"))
-    grouped = (
+    sub_text = F.when(tag.isin("p", "div", "ul", "ol"), F.col("text"))
+    role = paragraph_role(F.col("_text"))
+    h3 = F.when(F.col("h23.tag") == "h3", F.col("h23"))
+
+    def listed(value: Column) -> Column:
+        return F.collect_list(F.when(value.isNotNull(), F.struct("pos", value.alias("t"))))
+
+    parts = (
         marked.filter("h2 is not null")
-        .groupBy("page_id", F.col("h2.pos").alias("h2_pos"), F.col("h2.text").alias("heading"))
+        .select(
+            "page_id", "pos", "h2", h3.alias("h3"),
+            text.alias("_text"), code.alias("_code"), sub_text.alias("_sub"),
+        )
+        .withColumn("_role", role)
+        .groupBy("page_id", "h2", "h3")
         .agg(
-            F.array_join(_ordered(F.when(role == "content", text), "t"), "\n\n").alias("content"),
-            _ordered(code, "c").alias("code_examples"),
-            _ordered(F.when(role == "warning", text), "w").alias("warnings"),
-            _ordered(F.when(role == "tip", text), "t").alias("tips"),
+            *[
+                listed(F.when(F.col("_role") == r, F.col("_text"))).alias(r)
+                for r in ("content", "warning", "tip")
+            ],
+            listed(F.col("_code")).alias("code"),
+            listed(F.col("_sub")).alias("sub"),
         )
-        .withColumn("title", clean_title(F.col("heading")))
-        .filter(~is_boilerplate_title(F.col("title")))
     )
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("h2_pos"))
-    return grouped.select(
-        "page_id", number.alias("section_no"), F.col("h2_pos").alias("pos"),
-        "title", "content", "code_examples", "warnings", "tips",
+    subsection = F.struct(
+        F.col("h3.pos").alias("pos"),
+        F.col("h3.text").alias("title"),
+        F.array_join(F.array_sort("sub").getField("t"), "\n\n").alias("content"),
+        F.array_sort("code").getField("t").alias("code_examples"),
+        none.alias("warnings"),
+        none.alias("tips"),
+    )
+    filled = F.col("h3").isNotNull() & ((F.size("sub") > 0) | (F.size("code") > 0))
+    grouped = parts.groupBy("page_id", "h2").agg(
+        F.array_join(_merged("content", "t"), "\n\n").alias("content"),
+        _merged("code", "t").alias("code_examples"),
+        _merged("warning", "t").alias("warnings"),
+        _merged("tip", "t").alias("tips"),
+        F.array_sort(F.collect_list(F.when(filled, subsection))).alias("subsections"),
+    )
+    titled = grouped.withColumn("title", clean_title(F.col("h2.text"))).filter(
+        ~is_boilerplate_title(F.col("title"))
+    )
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("h2.pos"))
+    named = F.transform(
+        "subsections", lambda s: s.withField("title", clean_title(s["title"])).dropFields("pos")
+    )
+    return titled.select(
+        "page_id", number.alias("section_no"), F.col("h2.pos").alias("pos"),
+        "title", "content", "code_examples", "warnings", "tips", named.alias("subsections"),
     )
 
 
-def subsections(marked: DataFrame) -> DataFrame:
-    """h3 parts below a kept or skipped h2: ``(page_id, section_pos, pos, title, ...)``."""
-    tag = F.col("tag")
-    body = F.when(tag.isin("p", "div", "ul", "ol"), F.col("text"))
-    code = F.when(tag.isin("pre", "code"), F.col("raw"))
-    owned = marked.filter("h2 is not null and h23.tag = 'h3'")
-    grouped = owned.groupBy(
-        "page_id",
-        F.col("h2.pos").alias("section_pos"),
-        F.col("h23.pos").alias("h3_pos"),
-        F.col("h23.text").alias("heading"),
-    ).agg(_ordered(body, "t").alias("parts"), _ordered(code, "c").alias("code_examples"))
-    return grouped.filter((F.size("parts") > 0) | (F.size("code_examples") > 0)).select(
-        "page_id",
-        "section_pos",
-        F.col("h3_pos").alias("pos"),
-        clean_title(F.col("heading")).alias("title"),
-        F.array_join("parts", "\n\n").alias("content"),
-        "code_examples",
-    )
-
-
-def section_tree(marked: DataFrame) -> DataFrame:
+def section_tree(section_rows: DataFrame) -> DataFrame:
     """Sections and their subsections in one table with ``level`` and ``parent_no``."""
-    top = sections(marked)
-    none = F.array().cast("array<string>")
-    numbered = subsections(marked).join(
-        top.select("page_id", F.col("pos").alias("section_pos"), "section_no"),
-        ["page_id", "section_pos"],
-    )
-    number = F.row_number().over(Window.partitionBy("page_id", "section_no").orderBy("pos"))
-    low = numbered.select(
-        "page_id", F.lit(3).alias("level"), F.col("section_no").alias("parent_no"),
-        number.alias("section_no"), "title", "content", "code_examples",
-        none.alias("warnings"), none.alias("tips"),
-    )
-    high = top.select(
+    body = ["title", "content", "code_examples", "warnings", "tips"]
+    top = section_rows.select(
         "page_id", F.lit(2).alias("level"), F.lit(None).cast("int").alias("parent_no"),
-        "section_no", "title", "content", "code_examples", "warnings", "tips",
+        "section_no", *body,
+    )
+    low = section_rows.select("page_id", "section_no", F.posexplode("subsections").alias("n", "s"))
+    return top.unionByName(
+        low.select(
+            "page_id", F.lit(3).alias("level"), F.col("section_no").alias("parent_no"),
+            (F.col("n") + 1).alias("section_no"), *[F.col(f"s.{c}").alias(c) for c in body],
+        )
     )
-    return high.unionByName(low)
 
 
-def heading_introductions(
-    marked: DataFrame, words: Sequence[str] = fixed.INTRO_HEADINGS
+def introductions(
+    marked: DataFrame,
+    words: Sequence[str] = fixed.INTRO_HEADINGS,
+    paragraphs: int = 3,
+    chars: int = fixed.INTRO_CHARS,
 ) -> DataFrame:
-    """Text under the first introductory heading per page, null where there is none.
+    """Introductory text per page: under a heading, else the first paragraphs, cut.
 
     For every word only the first heading with that word counts; a word whose
-    heading owns no element gives way to the next word.
+    heading owns no element gives way to the next word.  One pass: elements are
+    grouped by owning heading, then the headings by page.
     """
-    is_head = F.col("tag").startswith("h")
-    body = F.when(~is_head, F.coalesce("text", F.lit("")))
-    heads = (
-        marked.filter("head.tag in ('h1', 'h2', 'h3') and head.single is not null")
-        .groupBy(
-            "page_id",
-            F.col("head.pos").alias("head_pos"),
-            F.lower("head.single").alias("low"),
+    return page_heads(marked, words, paragraphs, chars).select("page_id", "intro")
+
+
+def page_heads(
+    marked: DataFrame,
+    words: Sequence[str] = fixed.INTRO_HEADINGS,
+    paragraphs: int = 3,
+    chars: int = fixed.INTRO_CHARS,
+) -> DataFrame:
+    """Introduction, ``h1`` and ``named`` (title element), keywords and related links per page."""
+    tag = F.col("tag")
+    low = F.when(F.col("head.tag").isin("h1", "h2", "h3"), F.lower("head.single"))
+    asked = contains_any(F.col("low"), words)
+    body = F.when(~tag.startswith("h") & asked, F.coalesce("text", F.lit("")))
+    keywords = F.when(
+        (tag == "meta") & (F.lower(F.col("attrs")["name"]) == "keywords"), F.col("attrs")["content"]
+    )
+    related = F.when(tag == "a", related_id(F.col("attrs")["href"]))
+
+    def first(value: Column) -> Column:
+        return F.min(F.when(value.isNotNull(), F.struct("pos", value.alias("v"))))
+
+    owners = (
+        marked.select(
+            "page_id", "pos", "tag", "text", F.col("head.pos").alias("head_pos"), low.alias("low"),
+            keywords.alias("keywords"), related.alias("related"),
         )
-        .agg(_ordered(body, "t").alias("parts"))
-        .filter(contains_any(F.col("low"), words))
-        .select(
-            "page_id", "head_pos", "low",
-            F.when(F.size("parts") > 0, F.array_join("parts", " ")).alias("body"),
+        .groupBy("page_id", "head_pos", "low")
+        .agg(
+            _ordered(body, "t").alias("parts"),
+            F.slice(
+                F.array_sort(F.collect_list(F.when(tag == "p", F.struct("pos", "text")))),
+                1, paragraphs,
+            ).alias("lead"),
+            first(F.when(tag == "h1", F.col("text"))).alias("h1"),
+            first(F.when(tag == "title", F.col("text"))).alias("named"),
+            first(F.col("keywords")).alias("keywords"),
+            F.collect_list(
+                F.when(F.col("related").isNotNull(), F.struct("pos", "related"))
+            ).alias("related"),
         )
+        .withColumn("body", F.when(F.size("parts") > 0, F.array_join("parts", " ")))
     )
-    firsts = heads.groupBy("page_id").agg(
+    leads = _merged("lead", "text")
+    pages = owners.groupBy("page_id").agg(
         *[
             F.min_by(
-                F.struct("body"),
-                F.when(F.col("low").contains(word), F.col("head_pos")),
+                F.struct("body"), F.when(F.col("low").contains(word), F.col("head_pos"))
             ).alias(f"_{n}")
             for n, word in enumerate(words)
-        ]
-    )
-    return firsts.select(
-        "page_id", F.coalesce(*[F.col(f"_{n}.body") for n in range(len(words))]).alias("intro")
-    )
-
-
-def first_paragraphs(elements: DataFrame, count: int = 3, chars: int = fixed.INTRO_CHARS) -> DataFrame:
-    """First ``p`` elements of each page joined by blanks and cut."""
-    paragraphs = elements.filter("tag = 'p'").groupBy("page_id").agg(
-        F.slice(_ordered(F.col("text"), "t"), 1, count).alias("parts")
+        ],
+        F.substring(F.array_join(F.slice(leads, 1, paragraphs), " "), 1, chars).alias("lead"),
+        *[F.min(c).getField("v").alias(c) for c in ("h1", "named", "keywords")],
+        F.slice(F.array_distinct(_merged("related", "related")), 1, 5).alias("related_ids"),
     )
-    return paragraphs.select(
-        "page_id", F.substring(F.array_join("parts", " "), 1, chars).alias("intro")
-    )
-
-
-def introductions(marked: DataFrame) -> DataFrame:
-    """Introductory text per page: heading first, else the first three paragraphs."""
-    lead = first_paragraphs(marked).withColumnRenamed("intro", "lead")
-    return (
-        heading_introductions(marked)
-        .join(lead, "page_id", "full_outer")
-        .select("page_id", F.coalesce("intro", "lead", F.lit("")).alias("intro"))
+    bodies = [F.col(f"_{n}.body") for n in range(len(words))]
+    return pages.select(
+        "page_id", F.coalesce(*bodies, "lead", F.lit("")).alias("intro"),
+        "h1", "named", "keywords", "related_ids",
     )
 
 
@@ -197,9 +227,21 @@ def owned_elements(elements: DataFrame, tag: str, roots: DataFrame) -> DataFrame
 
 
 def contributors(marked: DataFrame, words: Sequence[str] = fixed.CONTRIBUTOR_MARKS) -> DataFrame:
-    """Up to ten list entries of the element right after an author heading."""
+    """Up to ten list entries of the element right after an author heading.
+
+    The positions of such elements are attached to the page's rows by a window, so
+    entries find them among their ancestors without a join.
+    """
     after_heading = F.col("prev_tag").isin("h2", "h3") & contains_any(F.lower("prev_raw"), words)
-    roots = marked.filter(after_heading).select("page_id", F.col("pos").alias("root_pos"))
-    entries = owned_elements(marked, "li", roots)
+    page = Window.partitionBy("page_id")
+    roots = F.collect_list(F.when(after_heading, F.col("pos"))).over(page)
+    entries = (
+        marked.withColumn("roots", roots)
+        .filter("tag = 'li'")
+        .select(
+            "page_id", "pos", "text",
+            F.explode(F.array_intersect("ancestors", "roots")).alias("root_pos"),
+        )
+    )
     names = F.array_sort(F.collect_list(F.struct("root_pos", "pos", "text"))).getField("text")
     return entries.groupBy("page_id").agg(F.slice(names, 1, 10).alias("contributors"))

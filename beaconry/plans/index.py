@@ -24,13 +24,16 @@ def _entries(
     title_first: bool,
     category_keys: Sequence[str],
 ) -> DataFrame:
-    title = clean_title(F.col("text"))
-    named = title if title_first else F.col("text")
-    return links.select(
+    # Two steps, so that the cleaned title is computed once and not per category key.
+    titled = links.select(
+        "page_id", "pos", "href", "text", clean_title(F.col("text")).alias("title")
+    )
+    named = F.col("title") if title_first else F.col("text")
+    return titled.select(
         "page_id",
         "pos",
         id_from_url(F.col("href"), F.col("text"), id_pattern).alias("id"),
-        title.alias("title"),
+        "title",
         resolve_url(base, F.col("href")).alias("url"),
         category_of(named, F.col("href"), category_keys).alias("category"),
     )

@@ -88,9 +88,16 @@ def rule_scan(texts: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> D
     The rule table is small and fixed, so it is compiled into one projection: no join
     and no shuffle, whatever the number of texts.
     """
+    matched = texts.select(
+        key,
+        *[
+            F.regexp_extract(F.col(text), rule.pattern, 0).alias(f"_evidence_{n}")
+            for n, rule in enumerate(rules)
+        ],
+    )
     hits = []
-    for rule in rules:
-        evidence = F.regexp_extract(F.col(text), rule.pattern, 0)
+    for n, rule in enumerate(rules):
+        evidence = F.col(f"_evidence_{n}")
         finding = F.struct(
             F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.category_id).alias("category_id"),
@@ -100,7 +107,7 @@ def rule_scan(texts: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> D
             F.lit(rule.advice).alias("advice"),
         )
         hits.append(F.when(evidence != "", finding))
-    found = texts.select(key, F.array_compact(F.array(*hits)).alias("findings"))
+    found = matched.select(key, F.array_compact(F.array(*hits)).alias("findings"))
     levels = F.col("findings").getField("risk_level")
     return found.select(
         key,
@@ -117,11 +124,15 @@ def finding_rows(scanned: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _parsed(raw: Column) -> tuple[Column, Column]:
-    """Parsed review and whether the text is a JSON object at all."""
-    parsed = F.from_json(raw, schemas.SECURITY_REVIEW)
-    keys = F.json_object_keys(raw)
-    return parsed, F.try_parse_json(raw).isNotNull() & keys.isNotNull() & (F.size(keys) > 0)
+def _parsed(reviews: DataFrame, raw: str) -> DataFrame:
+    """Adds the parsed review and its keys; texts that are no JSON object have none."""
+    none = F.array().cast("array<string>")
+    return reviews.withColumns(
+        {
+            "_review": F.from_json(raw, schemas.SECURITY_REVIEW),
+            "_keys": F.coalesce(F.json_object_keys(raw), none),
+        }
+    )
 
 
 def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
@@ -129,15 +140,13 @@ def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
 
     A missing vulnerability list or a bad (also a null) level is rejected.
     """
-    parsed, is_object = _parsed(F.col(raw))
-    rows = reviews.withColumns({"_object": is_object, "_review": parsed})
-    has_list = F.array_contains(F.json_object_keys(raw), "security_vulnerabilities")
+    rows = _parsed(reviews, raw)
     levels = F.transform(
         F.coalesce("_review.security_vulnerabilities", F.array()),
         lambda v: F.lower(F.coalesce(v["risk_level"], F.lit(""))),
     )
     valid = F.array(*[F.lit(x) for x in fixed.RISK_LEVELS])
-    rows = rows.withColumns({"_has_list": has_list, "_levels": levels})
+    rows = rows.withColumn("_levels", levels)
     rows = rows.withColumn(
         "_bad", F.get(F.filter("_levels", lambda x: ~F.array_contains(valid, x)), 0)
     )
@@ -148,8 +157,8 @@ def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
         F.col("_review").withField("highest_risk", actual),
     ).otherwise(F.col("_review"))
     reason = (
-        F.when(~F.coalesce("_object", F.lit(False)), "Missing JSON output from task.")
-        .when(~F.col("_has_list"), "Missing 'security_vulnerabilities' key in output.")
+        F.when(F.size("_keys") == 0, "Missing JSON output from task.")
+        .when(~F.array_contains("_keys", "security_vulnerabilities"), "Missing 'security_vulnerabilities' key in output.")
         .when(
             F.col("_bad").isNotNull(),
             F.concat(
@@ -168,8 +177,7 @@ def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
 
 def guardrail_strict(reviews: DataFrame, raw: str) -> DataFrame:
     """Adds ``ok`` and ``reason``: a wrong or missing highest risk is rejected."""
-    parsed, is_object = _parsed(F.col(raw))
-    rows = reviews.withColumns({"_object": is_object, "_review": parsed})
+    rows = _parsed(reviews, raw)
     stated = F.lower("_review.highest_risk")
     valid = F.array(*[F.lit(x) for x in fixed.RISK_LEVELS])
     levels = F.transform(
@@ -181,7 +189,7 @@ def guardrail_strict(reviews: DataFrame, raw: str) -> DataFrame:
     )
     actual = highest_level(F.transform("_levels", F.lower))
     reason = (
-        F.when(~F.coalesce("_object", F.lit(False)), "Guardrail received empty output JSON.")
+        F.when(F.size("_keys") == 0, "Guardrail received empty output JSON.")
         .when(
             F.coalesce("_stated", F.lit("")) == "", "Missing or invalid highest risk level."
         )

@@ -18,22 +18,15 @@ from beaconry.functions.text import (
     clean_description, clean_title, list_items, meta_keywords, recommendations, slugify, title_tags,
 )
 from beaconry.operators import sections as sec
-from beaconry.operators.links import related_edges
-
-RISK_COLUMNS = [
-    "risk_id", "title", "severity", "icon", "description", "impacts", "mitigations", "examples",
-]
-
 
 def titles(elements: DataFrame) -> DataFrame:
     """``(page_id, title, id)``: the first h1, else the title element, else "Unknown"."""
-    heads = elements.filter("tag in ('h1', 'title')").groupBy("page_id").agg(
+    heads = elements.groupBy("page_id").agg(
         F.min_by("text", F.when(F.col("tag") == "h1", F.col("pos"))).alias("h1"),
         F.min_by("text", F.when(F.col("tag") == "title", F.col("pos"))).alias("named"),
     )
-    pages = elements.select("page_id").distinct().join(heads, "page_id", "left")
     title = clean_title(F.coalesce("h1", "named", F.lit("Unknown")))
-    return pages.select("page_id", title.alias("title")).withColumn("id", slugify(F.col("title")))
+    return heads.select("page_id", title.alias("title")).withColumn("id", slugify(F.col("title")))
 
 
 def tag_list(category: Column, keywords: Column, title: Column, limit: int = 10) -> Column:
@@ -43,8 +36,8 @@ def tag_list(category: Column, keywords: Column, title: Column, limit: int = 10)
     return F.slice(F.array_distinct(words), 1, limit)
 
 
-def risks(sections: DataFrame) -> DataFrame:
-    """Risks of ``(page_id, sheet_title, section_no, title, content, code_examples)`` rows.
+def with_risks(sections: DataFrame) -> DataFrame:
+    """Adds ``risk``, a struct or null, to ``(page_id, sheet_title, section_no, ...)`` rows.
 
     A page with sections but no risk gets one Medium risk from its first section.
     """
@@ -53,50 +46,58 @@ def risks(sections: DataFrame) -> DataFrame:
         "_risk", is_risk_text(title, content) | looks_like_risk(title, content)
     )
     page = Window.partitionBy("page_id")
-    first = F.min("section_no").over(page) == F.col("section_no")
-    kept = flagged.withColumns({"_any": F.max("_risk").over(page), "_first": first}).filter(
-        F.col("_risk") | (~F.col("_any") & F.col("_first"))
+    kept = F.col("_risk") | (
+        ~F.max("_risk").over(page) & (F.min("section_no").over(page) == F.col("section_no"))
     )
-    slug = slugify(F.col("sheet_title"))
-    listed = list_items(content, fixed.MITIGATION_TRIGGERS, 7)
-    advice = recommendations(content)
-    none = F.array().cast("array<string>")
-    is_risk = F.col("_risk")
-    severity = F.when(is_risk, assess_severity(content)).otherwise(F.lit(fixed.DEFAULT_SEVERITY))
-    detailed = kept.withColumns({"severity": severity, "_listed": listed, "_advice": advice})
-    return detailed.select(
-        "page_id",
-        F.when(is_risk, F.col("section_no")).otherwise(F.lit(1)).alias("risk_no"),
-        risk_id(slug, F.when(is_risk, F.col("section_no")).otherwise(F.lit(1))).alias("risk_id"),
-        F.when(is_risk, title).otherwise(F.col("sheet_title")).alias("title"),
-        "severity",
-        F.when(is_risk, severity_icon(F.col("severity")))
-        .otherwise(F.lit(fixed.DEFAULT_RISK_ICON))
-        .alias("icon"),
-        F.substring(clean_description(content), 1, fixed.DESCRIPTION_CHARS).alias("description"),
-        F.when(is_risk, list_items(content, fixed.IMPACT_TRIGGERS, 5))
-        .otherwise(none)
-        .alias("impacts"),
-        F.when(~is_risk, F.slice("_advice", 1, 5))
-        .when(F.size("_listed") > 0, F.col("_listed"))
-        .otherwise(F.slice("_advice", 1, 7))
-        .alias("mitigations"),
-        F.when(
-            is_risk,
-            F.transform(
-                F.slice("code_examples", 1, 3),
-                lambda e: F.substring(e, 1, fixed.SNIPPET_CHARS),
+    is_risk, listed = F.col("_risk"), F.col("_listed")
+    asked = flagged.withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    staged = asked.withColumns(
+        {
+            "_listed": F.when(is_risk, list_items(content, fixed.MITIGATION_TRIGGERS, 7)),
+            "_severity": F.when(is_risk, assess_severity(content)).otherwise(
+                F.lit(fixed.DEFAULT_SEVERITY)
             ),
-        )
-        .otherwise(none)
-        .alias("examples"),
+        }
+    )
+    no_list = F.col("_kept") & (~is_risk | (F.size(listed) == 0))
+    advised = staged.withColumn("_advice", F.when(no_list, recommendations(content)))
+    number = F.when(is_risk, F.col("section_no")).otherwise(F.lit(1))
+    none = F.array().cast("array<string>")
+    snippets = F.transform(
+        F.slice("code_examples", 1, 3), lambda e: F.substring(e, 1, fixed.SNIPPET_CHARS)
     )
+    fields = {
+        "risk_no": number,
+        "risk_id": risk_id(slugify(F.col("sheet_title")), number),
+        "title": F.when(is_risk, title).otherwise(F.col("sheet_title")),
+        "severity": F.col("_severity"),
+        "icon": F.when(is_risk, severity_icon(F.col("_severity"))).otherwise(
+            F.lit(fixed.DEFAULT_RISK_ICON)
+        ),
+        "description": F.substring(clean_description(content), 1, fixed.DESCRIPTION_CHARS),
+        "impacts": F.when(is_risk, list_items(content, fixed.IMPACT_TRIGGERS, 5)).otherwise(none),
+        "mitigations": F.when(~is_risk, F.slice("_advice", 1, 5))
+        .when(F.size(listed) > 0, listed)
+        .otherwise(F.slice("_advice", 1, 7)),
+        "examples": F.when(is_risk, snippets).otherwise(none),
+    }
+    risk = F.struct(*[value.alias(name) for name, value in fields.items()])
+    return advised.select(*sections.columns, F.when(F.col("_kept"), risk).alias("risk"))
+
 
+def risks(sections: DataFrame) -> DataFrame:
+    """Risk rows ``(page_id, risk_no, risk_id, title, severity, ...)``."""
+    return with_risks(sections).filter("risk is not null").select("page_id", "risk.*")
 
-def risks_per_page(risk_rows: DataFrame) -> DataFrame:
-    """Ordered risk array per page."""
-    entry = F.struct("risk_no", *RISK_COLUMNS)
-    return risk_rows.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("risks"))
+
+def page_findings() -> list[Column]:
+    """Aggregates over :func:`with_risks` rows: ordered ``risks`` and ``attacks`` of a page."""
+    attack = F.struct("section_no", "title", "content", "code_examples")
+    shown = F.when(is_attack_title(F.col("title")), attack)
+    return [
+        F.array_sort(F.collect_list("risk")).alias("risks"),
+        F.array_sort(F.collect_list(shown)).alias("attacks"),
+    ]
 
 
 def first_named_risk(risk_array: Column, title: Column) -> Column:
@@ -105,14 +106,8 @@ def first_named_risk(risk_array: Column, title: Column) -> Column:
     return F.coalesce(F.get(named, 0), F.get(risk_array, 0))
 
 
-def attack_examples(sections: DataFrame, risk_rows: DataFrame) -> DataFrame:
-    """Attack demonstrations of a page, or one scenario per risk (three at most)."""
-    attack_rows = sections.filter(is_attack_title(F.col("title"))).groupBy("page_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("section_no", "title", "content", "code_examples"))
-        ).alias("attacks")
-    )
-    pages = risks_per_page(risk_rows).join(attack_rows, "page_id", "left")
+def example_list() -> Column:
+    """Attack demonstrations from ``risks`` and ``attacks``, else one scenario per risk."""
 
     def first_of(array: Column, default: str) -> Column:
         return F.coalesce(F.get(array, 0), F.lit(default))
@@ -141,97 +136,75 @@ def attack_examples(sections: DataFrame, risk_rows: DataFrame) -> DataFrame:
             mitigation=first_of(risk["mitigations"], fixed.SCENARIO_MITIGATION),
         )
 
-    rows = F.when(F.col("attacks").isNotNull(), F.transform("attacks", shown)).otherwise(
+    return F.when(F.size("attacks") > 0, F.transform("attacks", shown)).otherwise(
         F.transform(F.slice("risks", 1, 3), scenario)
     )
-    exploded = pages.select("page_id", F.posexplode(rows).alias("example_no", "example"))
-    return exploded.select("page_id", (F.col("example_no") + 1).alias("example_no"), "example.*")
 
 
-def page_keywords(elements: DataFrame) -> DataFrame:
-    content = F.when(F.lower(F.col("attrs")["name"]) == "keywords", F.col("attrs")["content"])
-    return elements.filter("tag = 'meta'").groupBy("page_id").agg(
-        meta_keywords(F.min_by(content, F.when(content.isNotNull(), F.col("pos")))).alias("keywords")
-    )
+def attack_examples(sections: DataFrame) -> DataFrame:
+    """Attack demonstrations of a page, or one scenario per risk (three at most)."""
+    pages = with_risks(sections).groupBy("page_id").agg(*page_findings())
+    exploded = pages.select("page_id", F.posexplode(example_list()).alias("n", "example"))
+    return exploded.select("page_id", (F.col("n") + 1).alias("example_no"), "example.*")
 
 
 def parse_sheets(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per page with all parts of a guidance sheet.
 
-    Give a stored or cached element table: several branches read it.
+    Heads, sections and contributors are three branches over the elements, joined by
+    page.  Sections are then unfolded for the risk rules and folded again, the page's
+    other columns riding on its first section.  Give an element table that is stored
+    or cached and clustered by page: no branch shuffles it again.
     """
     marked = sec.sibling_marks(elements)
-    heads = titles(elements)
-    section_rows = sec.sections(marked)
-    titled = section_rows.join(heads.select("page_id", F.col("title").alias("sheet_title")), "page_id")
-    risk_rows = risks(titled)
-    examples = attack_examples(section_rows, risk_rows)
-
-    def gathered(rows: DataFrame, order: str, name: str, columns: list[str]) -> DataFrame:
-        entry = F.struct(F.col(order).alias("_order"), F.struct(*columns).alias("_row"))
-        return rows.groupBy("page_id").agg(
-            F.array_sort(F.collect_list(entry)).getField("_row").alias(name)
-        )
-
-    subs = gathered(
-        sec.subsections(marked).withColumn("_key", F.col("section_pos")),
-        "pos", "_subs", ["section_pos", "title", "content", "code_examples"],
+    none = F.array().cast("array<string>")
+    section = F.struct(
+        "section_no", "title", "content", "code_examples", "warnings", "tips", "subsections"
     )
-    tops = gathered(
-        section_rows, "section_no", "_tops",
-        ["pos", "title", "content", "code_examples", "warnings", "tips"],
+    tops = sec.sections(marked).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(section)).alias("sections")
     )
-    related = related_edges(elements).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "related_id")))
-        .getField("related_id")
-        .alias("related_ids")
+    heads = (
+        sec.page_heads(marked)
+        .join(pages.select("page_id", "url"), "page_id")
+        .join(tops, "page_id", "left")
+        .join(sec.contributors(marked), "page_id", "left")
+        .withColumn("sheet_title", clean_title(F.coalesce("h1", "named", F.lit("Unknown"))))
     )
-    parts = [
-        sec.introductions(marked),
-        tops,
-        subs,
-        gathered(risk_rows, "risk_no", "risks", RISK_COLUMNS),
-        gathered(
-            examples, "example_no", "attack_examples",
-            ["risk_id", "title", "goal", "attack_prompt", "impact", "mitigation"],
-        ),
-        sec.contributors(marked),
-        page_keywords(elements),
-        related,
-    ]
-    rows = heads.join(pages.select("page_id", "url"), "page_id")
-    for part in parts:
-        rows = rows.join(part, "page_id", "left")
-
-    def with_subsections(section: Column) -> Column:
-        own = F.filter(F.col("_subs"), lambda s: s["section_pos"] == section["pos"])
-        return F.struct(
-            section["title"].alias("title"),
-            section["content"].alias("content"),
-            section["code_examples"].alias("code_examples"),
-            section["warnings"].alias("warnings"),
-            section["tips"].alias("tips"),
-            F.coalesce(F.transform(own, lambda s: s.dropFields("section_pos")), F.array()).alias(
-                "subsections"
-            ),
-        )
-
-    none = F.array().cast("array<string>")
-    category = category_of(F.col("title"), F.col("url"))
-    intro = F.coalesce("intro", F.lit(""))
-    return rows.withColumn("category", category).select(
+    page_columns = ["url", "intro", "keywords", "related_ids", "contributors", "sections"]
+    unfolded = heads.select(
+        "page_id",
+        "sheet_title",
+        F.struct(*page_columns).alias("page"),
+        F.explode_outer("sections").alias("s"),
+    ).select(
+        "page_id",
+        "sheet_title",
+        F.when(F.coalesce("s.section_no", F.lit(1)) == 1, F.col("page")).alias("page"),
+        *[F.col(f"s.{c}").alias(c) for c in ("section_no", "title", "content", "code_examples")],
+    )
+    folded = (
+        with_risks(unfolded)
+        .groupBy("page_id", "sheet_title")
+        .agg(F.any_value("page", True).alias("page"), *page_findings())
+        .select("page_id", F.col("sheet_title").alias("title"), "page.*", "risks", "attacks")
+        .withColumn("category", category_of(F.col("title"), F.col("url")))
+    )
+    return folded.select(
         "page_id",
-        "id",
+        slugify(F.col("title")).alias("id"),
         "title",
         "url",
-        F.substring(intro, 1, fixed.DESCRIPTION_CHARS).alias("description"),
+        F.substring("intro", 1, fixed.DESCRIPTION_CHARS).alias("description"),
         "category",
         category_icon(F.col("category")).alias("icon"),
-        intro.alias("introduction"),
-        F.coalesce(F.transform("_tops", with_subsections), F.array()).alias("sections"),
-        F.coalesce("risks", F.array()).alias("risks"),
-        F.coalesce("attack_examples", F.array()).alias("attack_examples"),
+        F.col("intro").alias("introduction"),
+        F.coalesce(
+            F.transform("sections", lambda s: s.dropFields("section_no")), F.array()
+        ).alias("sections"),
+        F.transform("risks", lambda r: r.dropFields("risk_no")).alias("risks"),
+        example_list().alias("attack_examples"),
         F.coalesce("contributors", none).alias("contributors"),
-        F.coalesce("related_ids", none).alias("related_ids"),
-        tag_list(F.col("category"), F.col("keywords"), F.col("title")).alias("tags"),
+        "related_ids",
+        tag_list(F.col("category"), meta_keywords(F.col("keywords")), F.col("title")).alias("tags"),
     )

@@ -45,6 +45,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def persist_clustered(df: DataFrame) -> DataFrame:
+    """Cache ``df`` and keep its hash clustering, so later steps by that key need no shuffle.
+
+    By default the adaptive planner may change the partitioning of a cached plan,
+    which makes every reader shuffle again.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(key, None)
+    conf.set(key, "false")
+    try:
+        return df.persist()
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input of fewer splits than cores before work that is heavy per row.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     path = scratch_path(df.sparkSession, label)

@@ -1,9 +1,9 @@
 """Element table: one row per HTML element, in document order.
 
 Parsing is the only step that needs Python.  It is a narrow Arrow UDF over the
-raw HTML column; everything later works relationally on its output.  Pages are
-hash-clustered by ``page_id`` *before* parsing, so the one shuffle moves raw
-HTML, and windows or aggregations by page afterwards need no further exchange.
+raw HTML column; everything later works relationally on its output.  Clustered
+element tables are shuffled once by ``page_id``, with only the columns that are
+used later; windows and aggregations by page then need no further exchange.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconry.session import spread
+
 ELEMENT_TYPE = (
     "array<struct<pos:int,parent:int,ancestors:array<int>,tag:string,"
     "attrs:map<string,string>,text:string,raw:string,single:string>>"
@@ -190,15 +192,15 @@ _ARROW_TYPE = pa.list_(
 
 
 def element_table(
-    pages: DataFrame, tags: Sequence[str] | None = None, cluster: bool = True
+    pages: DataFrame, tags: Sequence[str] | None = None, cluster: bool = False
 ) -> DataFrame:
     """Rows ``(page_id, pos, parent, ancestors, tag, attrs, text, raw, single)``.
 
     ``text`` strips every text node and joins the rest without a separator; ``raw``
     is the unstripped text (headings and code only); ``single`` is the text of an
     element whose only content is one text node.  ``tags`` drops other elements
-    right in the parser.  ``cluster=False`` skips the shuffle for callers that do
-    not group by page.
+    right in the parser.  ``cluster`` shuffles by page, for callers that use windows
+    per page; aggregations per page combine before their own shuffle instead.
     """
     wanted = None if tags is None else frozenset(tags)
 
@@ -207,7 +209,6 @@ def element_table(
         parsed = [parse_elements(value.as_py(), wanted) for value in column]
         return pa.array(parsed, type=_ARROW_TYPE)
 
-    source = pages.select("page_id", "html")
-    if cluster:
-        source = source.repartition("page_id")
-    return source.select("page_id", F.inline(elements_of("html")))
+    source = spread(pages.select("page_id", "html"))
+    rows = source.select("page_id", F.inline(elements_of("html")))
+    return rows.repartition("page_id") if cluster else rows

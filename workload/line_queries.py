@@ -268,5 +268,5 @@ def section_risks(spark, sf):
 )
 def section_attacks(spark, sf):
     sections = _sections(spark, sf)
-    found = sheets.attack_examples(sections.drop("sheet_title"), sheets.risks(sections))
+    found = sheets.attack_examples(sections)
     return found.select("page_id", F.col("example_no").cast("bigint").alias("example_no"), "title", "goal")

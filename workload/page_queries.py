@@ -10,6 +10,7 @@ from beaconry.operators import links as lk
 from beaconry.operators import sections as sec
 from beaconry.operators.firsts import first_per_key, last_per_key
 from beaconry.plans import index, numbered, sheets
+from beaconry.session import persist_clustered
 from beaconry.sources.html_elements import element_table
 from beaconry.sources.pages import first_pages, path_filter, read_pages, url_inventory
 from workload.registry import query, table
@@ -152,7 +153,7 @@ def first_link_per_href(spark, sf):
 )
 def heading_sections(spark, sf):
     """Paragraphs owned by each h1 through the sibling window."""
-    owned = sec.heading_body(element_table(_pages(spark, sf)), "h1", "p")
+    owned = sec.heading_body(element_table(_pages(spark, sf), cluster=True), "h1", "p")
     return owned.select("page_id", "body_count", F.col("body_chars").cast("bigint").alias("body_chars"))
 
 
@@ -163,7 +164,7 @@ def heading_sections(spark, sf):
     """,
 )
 def introductions(spark, sf):
-    marked = sec.sibling_marks(element_table(_pages(spark, sf)))
+    marked = sec.sibling_marks(element_table(_pages(spark, sf), cluster=True))
     return sec.introductions(marked)
 
 
@@ -172,7 +173,7 @@ def introductions(spark, sf):
     f"SELECT page_id, text AS description FROM ({SQL_PARAGRAPHS}) WHERE n = 1",
 )
 def first_paragraphs(spark, sf):
-    elements = element_table(_pages(spark, sf), tags=["p", "h2", "h3", "ul", "ol", "li"])
+    elements = element_table(_pages(spark, sf), tags=["p", "h2", "h3", "ul", "ol", "li"], cluster=True)
     return numbered.risk_page_html(elements).select("page_id", "description")
 
 
@@ -281,7 +282,7 @@ def detail_per_host(spark, sf):
 )
 def parse_sheets(spark, sf):
     pages = _pages(spark, sf)
-    elements = element_table(pages).persist()
+    elements = persist_clustered(element_table(pages, cluster=True))
     parsed = sheets.parse_sheets(elements, pages)
     return parsed.select(
         "page_id", "title", "id", "url", "description", "introduction", "category",
