@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Plans here are made of many small Column calls; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Raw HTML rows are large, so Arrow batches are bounded by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.classify import category_of, normalize_severity
 from beaconry.functions.keys import report_timestamp
-from beaconry.functions.text import slugify, slugify_ascii, strip
+from beaconry.functions.text import decode_lossy, slugify, slugify_ascii, strip
 from beaconry.functions.urls import title_from_url
 from beaconry.operators.firsts import last_per_key
 from beaconry.sources import schemas
@@ -173,7 +173,7 @@ def read_text_files(spark: SparkSession, requested: DataFrame) -> tuple[DataFram
         raise ValueError("give at most 10000 folders per call")
     present = [f for f in folders if _exists(spark, f)]
     if present:
-        files = spark.read.option("wholetext", True).text(present).select(
+        files = spark.read.text(present, wholetext=True).select(
             F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"),
             F.col("value").alias("content"),
         )
@@ -189,8 +189,6 @@ def read_text_files(spark: SparkSession, requested: DataFrame) -> tuple[DataFram
 
 def read_binary_text(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded files as text; bytes that are not UTF-8 are dropped."""
-    from beaconry.functions.text import decode_lossy
-
     return spark.read.format("binaryFile").load(path).select(
         _file_name().alias("file_name"), decode_lossy(F.col("content")).alias("content")
     )
@@ -203,10 +201,9 @@ def read_reports(spark: SparkSession, directory: str) -> DataFrame:
             [], "file_name string, generated_at timestamp, content string"
         )
     rows = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
+        spark.read.option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", True)
-        .text(directory)
+        .text(directory, wholetext=True)
         .select(_file_name().alias("file_name"), F.col("value").alias("content"))
     )
     return rows.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,15 +75,15 @@ def stream_cache_hits(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values([time, row_id])
-        micros = rows[time].astype("datetime64[us]").astype("int64")
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        micros = rows[time].to_numpy().astype("datetime64[us]").astype("int64")
         expiry = state.get[0] if state.exists else None
-        flags = []
-        for at in micros:
-            miss = expiry is None or at > expiry
-            if miss:
-                expiry = at + ttl_us
-            flags.append(miss)
+        flags = np.zeros(len(rows), dtype=bool)
+        for place in np.lexsort((rows[row_id].to_numpy(), micros)):
+            if expiry is None or micros[place] > expiry:
+                expiry = micros[place] + ttl_us
+                flags[place] = True
         state.update((int(expiry),))
         state.setTimeoutTimestamp(max(int(expiry) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(miss=flags)
