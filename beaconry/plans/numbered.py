@@ -48,7 +48,7 @@ def _last_at_first_place(rows: DataFrame, keys: Sequence[str], order: str) -> Da
 def risks_from_markdown(sources: DataFrame) -> DataFrame:
     """Risks of ``(source_id, markdown)`` texts split at their numbered headings."""
     heading = F.lit(f"(?Umd){fixed.RISK_HEADING}")
-    split = sources.select(
+    split = sources.select("source_id", "markdown").repartition("source_id").select(
         "source_id",
         F.arrays_zip(
             F.regexp_extract_all("markdown", heading, F.lit(1)).alias("risk_id"),
@@ -57,7 +57,7 @@ def risks_from_markdown(sources: DataFrame) -> DataFrame:
                 F.split("markdown", f"(?Umd){fixed.RISK_HEADING}"), 2, 2**31 - 1
             ).alias("body"),
         ).alias("parts"),
-    ).repartition("source_id")
+    )
     parts = split.select("source_id", F.posexplode("parts").alias("risk_no", "part")).select(
         "source_id",
         "risk_no",
@@ -212,12 +212,13 @@ def detail_enrich(links: DataFrame, details: DataFrame, elements: DataFrame) ->
     Failed fetches drop their link.  One detail page per URL (the newest) is used, and
     HTML is read only for pages whose markdown gave no description.
     """
-    one = last_per_key(
-        details.filter("success").select("url", "page_id", "markdown"), ["url"], ["page_id"]
-    ).select("url", F.col("page_id").alias("detail_id"), F.coalesce("markdown", F.lit("")).alias("markdown"))
-    joined = links.join(one, "url")
-    asked = joined.select("detail_id", "markdown").distinct()
-    texts = risk_page_markdown(asked, ["detail_id"])
+    fetched = details.filter("success")
+    newest = fetched.groupBy("url").agg(F.max("page_id").alias("detail_id"))
+    asked = newest.join(links.select("url").distinct(), "url", "left_semi")
+    bodies = fetched.select(
+        F.col("page_id").alias("detail_id"), F.coalesce("markdown", F.lit("")).alias("markdown")
+    ).join(asked.select("detail_id"), "detail_id", "left_semi")
+    texts = risk_page_markdown(bodies, ["detail_id"])
     described = asked.select("detail_id").join(texts, "detail_id", "left")
     empty = described.filter("coalesce(description, '') = ''").select(
         F.col("detail_id").alias("page_id")
@@ -227,7 +228,7 @@ def detail_enrich(links: DataFrame, details: DataFrame, elements: DataFrame) ->
     )
     parsed = described.filter("description != ''").unionByName(html, allowMissingColumns=True)
     return _shaped(
-        joined.join(parsed, "detail_id").select(
+        links.join(asked, "url").join(parsed, "detail_id").select(
             F.col("page_id").cast("string").alias("source_id"),
             "risk_id",
             F.substring("risk_id", 2, 2).cast("int").alias("risk_no"),

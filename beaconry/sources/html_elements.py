@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,20 +176,36 @@ def parse_elements(source: str | None, wanted: frozenset[str] | None = None) ->
     return [r for r in page.rows if wanted is None or r["tag"] in wanted]
 
 
-_ARROW_TYPE = pa.list_(
-    pa.struct(
-        [
-            ("pos", pa.int32()),
-            ("parent", pa.int32()),
-            ("ancestors", pa.list_(pa.int32())),
-            ("tag", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())),
-            ("text", pa.string()),
-            ("raw", pa.string()),
-            ("single", pa.string()),
-        ]
-    )
-)
+def _offsets(lists: Iterable[Sequence]) -> pa.Array:
+    return pa.array([0, *accumulate(len(x) for x in lists)], pa.int32())
+
+
+def element_arrays(sources: Iterable[str | None], wanted: frozenset[str] | None) -> pa.Array:
+    """Elements of many pages as one Arrow list array, built column by column."""
+    pages = [parse_elements(source, wanted) for source in sources]
+    rows = list(chain.from_iterable(pages))
+    paths = [r["ancestors"] for r in rows]
+    attrs = [r["attrs"] for r in rows]
+    pairs = list(chain.from_iterable(attrs))
+    columns = {
+        "pos": pa.array([r["pos"] for r in rows], pa.int32()),
+        "parent": pa.array([r["parent"] for r in rows], pa.int32()),
+        "ancestors": pa.ListArray.from_arrays(
+            _offsets(paths), pa.array(list(chain.from_iterable(paths)), pa.int32())
+        ),
+        "tag": pa.array([r["tag"] for r in rows], pa.string()),
+        "attrs": pa.MapArray.from_arrays(
+            _offsets(attrs),
+            pa.array([k for k, _ in pairs], pa.string()),
+            pa.array([v for _, v in pairs], pa.string()),
+        ),
+        **{
+            name: pa.array([r[name] for r in rows], pa.string())
+            for name in ("text", "raw", "single")
+        },
+    }
+    structs = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(_offsets(pages), structs)
 
 
 def element_table(
@@ -206,8 +223,7 @@ def element_table(
 
     @F.arrow_udf(ELEMENT_TYPE)
     def elements_of(column: pa.Array) -> pa.Array:
-        parsed = [parse_elements(value.as_py(), wanted) for value in column]
-        return pa.array(parsed, type=_ARROW_TYPE)
+        return element_arrays(column.to_pylist(), wanted)
 
     source = spread(pages.select("page_id", "html"))
     rows = source.select("page_id", F.inline(elements_of("html")))

@@ -63,7 +63,8 @@ def stream_cache_hits(
 ) -> DataFrame:
     """Hit or miss per request of a stream; the state of a key is one expiry time.
 
-    Rows of a micro-batch are put in time order per key.  Rows later than the
+    Rows of a micro-batch are put in time order per key, so size micro-batches (for
+    files ``maxFilesPerTrigger``) to what one task can sort.  Rows later than the
     watermark are dropped by Spark; state without requests for a while times out,
     which cannot change a result because it is expired by then.
     """

@@ -158,7 +158,7 @@ def content_changes(spark, sf):
 )
 def pace_requests(spark, sf):
     paced = running.pace_requests(
-        _requests(spark, sf), "user_id", "t", "event_id", 2 * HOUR_US, 24 * HOUR_US
+        _requests(spark, sf), "user_id", "t", "event_id", 2 * HOUR_US
     )
     return paced.select("event_id", "start_us", "delayed")
 
