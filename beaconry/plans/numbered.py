@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +112,10 @@ def risk_links(elements: DataFrame, site: str) -> DataFrame:
 
 
 def risk_page_markdown(
-    pages: DataFrame, keys: Sequence[str], pattern: str = r"^#{2,4}\s+(.+)$"
+    pages: DataFrame,
+    keys: Sequence[str],
+    pattern: str = r"^#{2,4}\s+(.+)$",
+    words: Mapping[str, Sequence[str]] = fixed.MARKDOWN_KEYS,
 ) -> DataFrame:
     """Description and lists of single-risk ``markdown`` pages, one row per key."""
     lines = ln.line_table(pages, keys, "markdown", ln.LINE_END)
@@ -120,7 +123,7 @@ def risk_page_markdown(
     grouped = ln.headers_per_key(buckets, keys)
     headers = F.col("headers")
     named = [ln.header_lines(headers, h) for h in [*fixed.DESCRIPTION_HEADERS, "body"]]
-    lists = ln.collect_all(headers, fixed.MARKDOWN_KEYS, clean=True)
+    lists = ln.collect_all(headers, words, clean=True)
     return grouped.select(
         *keys,
         F.coalesce(*named, F.lit("")).alias("description"),

@@ -67,12 +67,20 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(
     r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?"
 )
+# Named references count only with their semicolon; numeric ones also without.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)")
+
+
+def _unescape(value: str) -> str:
+    if "&" not in value:
+        return value
+    return REFERENCE.sub(lambda m: html.unescape(m[0]), value)
 
 
 def _attributes(source: str) -> list[tuple[str, str]]:
     found: dict[str, str] = {}
     for name, double, single, bare in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), html.unescape(double or single or bare))
+        found.setdefault(name.lower(), _unescape(double or single or bare))
     return list(found.items())
 
 
@@ -93,7 +101,7 @@ class _Page:
     def text(self, value: str) -> None:
         if not value:
             return
-        value = html.unescape(value) if "&" in value else value
+        value = _unescape(value)
         self.add_child(value)
         self.raws.append(value)
         if bare := value.strip():

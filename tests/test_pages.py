@@ -29,6 +29,7 @@ def texts(html, tag):
 
 
 def test_text_is_glued_and_stripped():
+    assert texts("<p>x&amp &#65; &lt;&copy</p>", "p") == ["x&amp A <&copy"]
     assert texts("<p> a <b> b </b>\n c&amp;d </p>", "p") == ["abc&d"]
 
 

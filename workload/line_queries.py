@@ -142,6 +142,47 @@ def collect_by_keys(spark, sf):
     return rows.select("doc_id", "item", (F.col("n") + 1).cast("bigint").alias("rank"))
 
 
+LIST_WORDS = {"impacts": ["re", "th"], "mitigations": ["de"], "examples": ["zz", "ou"], "types": ["in"]}
+
+
+def _sql_list(words):
+    return f"""
+    SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS rank FROM (
+        SELECT doc_id, item, min((k, first_pos, pos)) AS o FROM (
+            SELECT f.doc_id, f.pos, f.header, h.first_pos, regexp_replace(bare, '^[\\-*\\d\\.]+\\s+', '') AS item FROM ({SQL_FILLED}) f
+            JOIN (SELECT doc_id, header, min(pos) AS first_pos FROM ({SQL_FILLED}) WHERE head IS NOT NULL OR bare <> '' GROUP BY 1, 2) h
+            USING (doc_id, header) WHERE f.head IS NULL AND bare <> '') l
+        JOIN (SELECT unnest({words!r}) AS word, generate_subscripts({words!r}, 1) AS k) ON contains(header, word) WHERE item <> '' GROUP BY 1, 2)
+    """
+
+
+@query(
+    "risk_page_markdown",
+    f"""
+    SELECT d.doc_id, coalesce(b.bare, '') AS description, coalesce(i.n, 0) AS n_impacts, coalesce(i.digest, md5('')) AS impacts,
+        coalesce(m.n, 0) AS n_mitigations, coalesce(e.n, 0) AS n_examples, coalesce(t.n, 0) AS n_types
+    FROM documents d
+    LEFT JOIN (SELECT doc_id, min_by(bare, pos) AS bare FROM ({SQL_FILLED}) WHERE header = 'body' AND head IS NULL AND bare <> '' GROUP BY 1) b USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n, md5(string_agg(item, '|' ORDER BY rank)) AS digest FROM ({_sql_list(LIST_WORDS["impacts"])}) GROUP BY 1) i USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_sql_list(LIST_WORDS["mitigations"])}) GROUP BY 1) m USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_sql_list(LIST_WORDS["examples"])}) GROUP BY 1) e USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_sql_list(LIST_WORDS["types"])}) WHERE rank <= 5 GROUP BY 1) t USING (doc_id)
+    """,
+)
+def risk_page_markdown(spark, sf):
+    pages = table(spark, sf, "documents").select("doc_id", F.col("text").alias("markdown"))
+    found = numbered.risk_page_markdown(pages, ["doc_id"], HEADING, LIST_WORDS)
+    return found.select(
+        "doc_id",
+        "description",
+        F.size("impacts").cast("bigint").alias("n_impacts"),
+        F.md5(F.array_join("impacts", "|")).alias("impacts"),
+        F.size("mitigations").cast("bigint").alias("n_mitigations"),
+        F.size("examples").cast("bigint").alias("n_examples"),
+        F.size("types").cast("bigint").alias("n_types"),
+    )
+
+
 @query(
     "number_items",
     """

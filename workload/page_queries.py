@@ -13,7 +13,7 @@ from beaconry.plans import index, numbered, sheets
 from beaconry.session import persist_clustered
 from beaconry.sources.html_elements import element_table
 from beaconry.sources.pages import first_pages, path_filter, read_pages, url_inventory
-from workload.registry import query, table
+from workload.registry import query, sql_words, table
 from workload.text_queries import SQL_SLUG, sql_category
 
 BASE = "https://guides.example.org"
@@ -270,23 +270,67 @@ def detail_per_host(spark, sf):
     return pages.join(named, "host").select("page_id", "host", "detail_id", "title")
 
 
+ROLE_CASE = f"""CASE WHEN {sql_words("lower(text)", fixed.WARNING_MARKS)} THEN 'warning'
+    WHEN {sql_words("lower(text)", fixed.TIP_MARKS)} THEN 'tip' ELSE 'content' END"""
+SQL_SECTIONS = f"""
+    SELECT page_id, coalesce(string_agg(CASE WHEN role = 'content' THEN text END, chr(10) || chr(10) ORDER BY n), '') AS content,
+        count(*) FILTER (role = 'warning') AS n_warnings, count(*) FILTER (role = 'tip') AS n_tips
+    FROM (SELECT *, {ROLE_CASE} AS role FROM ({SQL_PARAGRAPHS})) GROUP BY 1
+"""
+
+
+def _sectioned(spark, sf):
+    """Pages whose h1 is followed by an h2 of the same text, so that each has a section."""
+    doubled = F.regexp_replace("html", "<h1>(.*?)</h1>", "<h1>$1</h1><h2>$1</h2>")
+    return _pages(spark, sf).withColumn("html", doubled)
+
+
+@query(
+    "page_sections",
+    f"""
+    SELECT page_id, title, md5(content) AS digest, n_warnings, n_tips FROM ({SQL_SECTIONS}) JOIN (SELECT page_id, {SQL_TITLE} AS title FROM pages) USING (page_id)
+    """,
+)
+def page_sections(spark, sf):
+    elements = element_table(_sectioned(spark, sf), cluster=True)
+    found = sec.sections(sec.sibling_marks(elements))
+    return found.select(
+        "page_id", "title", F.md5("content").alias("digest"),
+        F.size("warnings").cast("bigint").alias("n_warnings"),
+        F.size("tips").cast("bigint").alias("n_tips"),
+    )
+
+
+SQL_TERMS = " + ".join(
+    f"cast(contains(lower(title || ' ' || content), '{t}') AS INT)" for t in fixed.SECURITY_TERMS
+)
+
+
 @query(
     "parse_sheets",
     f"""
     SELECT p.page_id, title, {SQL_SLUG.format("title")} AS id, url, left(intro, 500) AS description, intro AS introduction,
         {sql_category("lower(title || ' ' || url)", list(fixed.CATEGORY_ICONS), fixed.CATEGORY_FALLBACKS)} AS category,
-        0 AS n_sections, 0 AS n_risks
+        1 AS n_sections, upper(replace(left({SQL_SLUG.format("title")}, 6), 'ß', 'ss')) || '01' AS risk_id,
+        CASE WHEN NOT ({sql_words("lower(title || ' ' || content)", fixed.RISK_KEYWORDS)} OR {SQL_TERMS} >= 2) THEN 'Medium'
+            {" ".join(f"WHEN {sql_words('lower(content)', w)} THEN '{k.capitalize()}'" for k, w in fixed.SEVERITY_KEYWORDS.items())} ELSE 'Medium' END AS severity,
+        CASE WHEN {sql_words("lower(title)", fixed.ATTACK_KEYWORDS)} THEN left(content, 200) ELSE 'Exploit ' || lower(title) || ' vulnerability' END AS goal
     FROM (SELECT page_id, url, {SQL_TITLE} AS title FROM pages) p
     JOIN (SELECT page_id, left(string_agg(text, ' ' ORDER BY n), 1000) AS intro FROM ({SQL_PARAGRAPHS}) WHERE n <= 3 GROUP BY 1) i USING (page_id)
+    JOIN ({SQL_SECTIONS}) s USING (page_id)
     """,
 )
 def parse_sheets(spark, sf):
-    pages = _pages(spark, sf)
+    pages = _sectioned(spark, sf)
     elements = persist_clustered(element_table(pages, cluster=True))
     parsed = sheets.parse_sheets(elements, pages)
+    risk, example = F.get("risks", 0), F.get("attack_examples", 0)
     return parsed.select(
         "page_id", "title", "id", "url", "description", "introduction", "category",
-        F.size("sections").alias("n_sections"), F.size("risks").alias("n_risks"),
+        F.size("sections").alias("n_sections"),
+        risk["risk_id"].alias("risk_id"),
+        risk["severity"].alias("severity"),
+        example["goal"].alias("goal"),
     )
 
 
