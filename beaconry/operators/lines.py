@@ -54,14 +54,14 @@ def list_item_rows(
     return kept.select(*keys, "pos", "item")
 
 
-def bucket_rows(
+def bucket_marks(
     lines: DataFrame,
     keys: Sequence[str],
     prefixes: Sequence[tuple[str, str]] = tuple(fixed.BUCKET_PREFIXES),
 ) -> DataFrame:
-    """Lines with the bucket opened by the last line that starts with a bucket word.
+    """Adds ``bucket``, opened by the last line that starts with a bucket word.
 
-    The opening lines themselves and lines before the first one are left out.
+    It is null for the opening lines themselves and for lines before the first one.
     """
     low = F.lower("line")
     opened = F.lit(None).cast("string")
@@ -69,8 +69,17 @@ def bucket_rows(
         opened = F.when(low.startswith(prefix), F.lit(bucket)).otherwise(opened)
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("_opened", opened)
-    filled = marked.withColumn("bucket", F.last("_opened", ignorenulls=True).over(upto))
-    return filled.filter("_opened is null and bucket is not null").select(
+    filled = F.last("_opened", ignorenulls=True).over(upto)
+    return marked.withColumn("bucket", F.when(F.col("_opened").isNull(), filled)).drop("_opened")
+
+
+def bucket_rows(
+    lines: DataFrame,
+    keys: Sequence[str],
+    prefixes: Sequence[tuple[str, str]] = tuple(fixed.BUCKET_PREFIXES),
+) -> DataFrame:
+    """The lines that are in a bucket, without their bullets."""
+    return bucket_marks(lines, keys, prefixes).filter("bucket is not null").select(
         *keys, "pos", "bucket", strip_bullet(F.col("line")).alias("line")
     )
 

@@ -9,6 +9,7 @@ are joined.  Results equal the plain window exactly.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,26 +33,35 @@ def running_before(
     order: Sequence[str],
     chunk: Column,
     values: Mapping[str, Column],
+    at_most: float | None = None,
 ) -> DataFrame:
     """Add, per name in ``values``, the sum over all earlier rows of the same key.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``.  With ``at_most``, rows whose sum is
+    larger are dropped; chunks that lie behind it as a whole go before any sorting.
     """
     chunked = df.withColumns({"_chunk": chunk, **{f"_v_{n}": c for n, c in values.items()}})
     totals = chunked.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_v_{n}").alias(n) for n in values]
     )
     prefix = chunk_prefix(totals, keys, list(values))
+    if at_most is not None:
+        prefix = prefix.filter(within([F.col(f"_before_{n}") for n in values], at_most))
     earlier = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    local = chunked.withColumns(
+    joined = chunked.join(prefix, [*keys, "_chunk"])
+    local = joined.withColumns(
         {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)) for n in values}
     )
-    joined = local.join(prefix, [*keys, "_chunk"])
-    return joined.select(
+    out = local.select(
         *df.columns, *[(F.col(f"_before_{n}") + F.col(f"_l_{n}")).alias(n) for n in values]
     )
+    return out if at_most is None else out.filter(within([F.col(n) for n in values], at_most))
+
+
+def within(columns: Sequence[Column], limit: float) -> Column:
+    return reduce(lambda a, b: a & b, [c <= limit for c in columns])
 
 
 def ordinal(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
-from beaconry.functions.text import strip
+from beaconry.functions.text import strip, strip_bullet
 from beaconry.functions.urls import risk_label_title, risk_number
 from beaconry.operators import lines as ln
 from beaconry.operators import sections as sec
@@ -67,29 +67,25 @@ def risks_from_markdown(sources: DataFrame) -> DataFrame:
             F.transform(F.split("part.body", ln.LINE_END), strip), lambda line: line != ""
         ).alias("body"),
     )
-    keys = ["source_id", "risk_no"]
-    detail = parts.select(
-        *keys, F.posexplode(F.slice("body", 2, 2**31 - 1)).alias("pos", "line")
+    keys = ["source_id", "risk_no", "risk_id", "title"]
+    # The first line is the description; only the lines after it open or fill buckets.
+    lines = parts.select(*keys, F.posexplode_outer("body").alias("pos", "first")).withColumn(
+        "line", F.when(F.col("pos") > 0, F.col("first"))
     )
-    bucketed = ln.bucket_rows(detail, keys)
-    lists = bucketed.groupBy(*keys).agg(
+    bucketed = ln.bucket_marks(lines, ["source_id", "risk_no"])
+    entry = F.struct("pos", strip_bullet(F.col("line")).alias("line"))
+    names = ("impacts", "mitigations", "examples", "types")
+    rows = bucketed.groupBy(*keys).agg(
+        F.coalesce(F.min_by("first", "pos"), F.lit("")).alias("description"),
         *[
-            F.array_sort(
-                F.collect_list(F.when(F.col("bucket") == name, F.struct("pos", "line")))
-            ).getField("line").alias(f"_{name}")
-            for name in ("impacts", "mitigations", "examples", "types")
-        ]
+            F.array_sort(F.collect_list(F.when(F.col("bucket") == name, entry)))
+            .getField("line")
+            .alias(name)
+            for name in names
+        ],
     )
-    rows = parts.join(lists, keys, "left").select(
-        "source_id",
-        "risk_id",
-        "risk_no",
-        "title",
-        F.coalesce(F.get("body", 0), F.lit("")).alias("description"),
-        ln.as_types(F.col("_types")).alias("types"),
-        *[F.col(f"_{n}").alias(n) for n in ("impacts", "mitigations", "examples")],
-    )
-    return _shaped(_last_at_first_place(rows, ["source_id", "risk_id"], "risk_no"))
+    typed = rows.withColumn("types", ln.as_types(F.col("types")))
+    return _shaped(_last_at_first_place(typed, ["source_id", "risk_id"], "risk_no"))
 
 
 def risk_links(elements: DataFrame, site: str) -> DataFrame:

@@ -32,16 +32,18 @@ def content_parts(
     parts starting behind the limit cannot show and are not gathered.  A key with any
     number of parts therefore gathers at most about ``limit`` characters.
     """
-    pieces = parts.select(key, order, text.alias("_text"))
-    placed = running_before(
+    pieces = parts.select(
+        key, order, F.substring(text, 1, limit + 1).alias("_text"), F.length(text).alias("_size")
+    )
+    near = running_before(
         pieces,
         [key],
         [order],
         F.floor(F.col(order) / chunk),
-        {"_start": F.length("_text") + len(SEPARATOR)},
+        {"_start": F.col("_size") + len(SEPARATOR)},
+        at_most=limit + len(SEPARATOR),
     )
-    near = placed.filter(F.col("_start") <= limit + len(SEPARATOR))
-    piece = F.struct(F.col(order).alias("_o"), F.substring("_text", 1, limit + 1).alias("_t"))
+    piece = F.struct(F.col(order).alias("_o"), F.col("_text").alias("_t"))
     gathered = near.groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
     joined = F.array_join(F.col("_pieces").getField("_t"), SEPARATOR)
     return gathered.select(key, cap_context(joined, limit).alias("content"))
