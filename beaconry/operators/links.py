@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
+from beaconry.functions.text import strip
 from beaconry.functions.urls import related_id, resolve_url
 from beaconry.operators.sections import owned_elements
 
@@ -74,7 +75,7 @@ def languages_by_url(elements: DataFrame, base: Column) -> DataFrame:
     )
     images = owned_elements(elements, "img", links).filter("attrs['alt'] != ''")
     names = F.array_sort(
-        F.collect_list(F.struct("pos", F.trim(F.col("attrs")["alt"]).alias("alt")))
+        F.collect_list(F.struct("pos", strip(F.col("attrs")["alt"]).alias("alt")))
     ).getField("alt")
     per_link = images.groupBy("page_id", "href", "link_pos").agg(
         F.concat_ws(", ", names).alias("languages")

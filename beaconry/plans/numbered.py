@@ -255,7 +255,8 @@ def risks_of_sources(
 ) -> DataFrame:
     """Risk set per source page: markdown, else linked detail pages, else headings, else lists.
 
-    Sources present in ``static`` use its rows.  Every fallback parser only sees the
+    Parse both element tables with ``implied_ends=False``.  Sources present in
+    ``static`` use its rows.  Every fallback parser only sees the
     pages the parsers before it left empty.
     """
     ids = scraped.filter("success").select(

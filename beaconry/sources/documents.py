@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from beaconry.functions.urls import title_from_url
 from beaconry.operators.firsts import last_per_key
 from beaconry.sources import schemas
 
-# Defaults of optional sheet and risk fields.
+# Required sheet fields, and defaults of optional sheet and risk fields.
+SHEET_REQUIRED = ["id", "title", "url"]
 SHEET_DEFAULTS = {"description": "", "category": "General", "icon": "📋", "introduction": "",
                   "raw_markdown": ""}
 RISK_DEFAULTS = {"icon": "⚠️", "description": ""}
@@ -55,7 +56,9 @@ def normalise_risk(risk: Column) -> Column:
     )
 
 
-def _read_json(spark: SparkSession, directory: str, schema: str, required: str) -> DataFrame:
+def _read_json(
+    spark: SparkSession, directory: str, schema: str, required: Sequence[str]
+) -> DataFrame:
     """One row per file with its name; broken files keep ``_corrupt_record``."""
     full = f"{schema}, _corrupt_record string"
     if not _exists(spark, directory):
@@ -67,23 +70,21 @@ def _read_json(spark: SparkSession, directory: str, schema: str, required: str)
         .json(directory)
         .withColumn("file_name", _file_name())
     )
-    broken = F.col("_corrupt_record").isNull() & F.col(required).isNull()
-    return rows.withColumn(
-        "_corrupt_record",
-        F.when(broken, F.lit(f"missing {required}")).otherwise(F.col("_corrupt_record")),
-    )
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+    return rows.withColumn("_corrupt_record", F.coalesce("_corrupt_record", reason))
 
 
 def read_sheet_json(spark: SparkSession, directory: str) -> DataFrame:
     """Sheets of a directory by file name; bad files yield nothing, a missing one is empty."""
-    rows = _read_json(spark, directory, schemas.SHEET, "id")
+    rows = _read_json(spark, directory, schemas.SHEET, SHEET_REQUIRED)
     good = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return normalise_sheets(good).orderBy("file_name")
 
 
-def read_bad_json(spark: SparkSession, directory: str, schema: str = schemas.SHEET) -> DataFrame:
+def read_bad_sheets(spark: SparkSession, directory: str) -> DataFrame:
     """The files :func:`read_sheet_json` skipped, with the reason."""
-    rows = _read_json(spark, directory, schema, "id")
+    rows = _read_json(spark, directory, schemas.SHEET, SHEET_REQUIRED)
     return rows.filter(F.col("_corrupt_record").isNotNull()).select(
         "file_name", F.col("_corrupt_record").alias("reason")
     )
@@ -101,7 +102,7 @@ def normalise_sheets(sheets: DataFrame) -> DataFrame:
 
 def read_numbered_risk_json(spark: SparkSession, directory: str) -> DataFrame:
     """One row per risk of every numbered-risk file, in file and key order."""
-    rows = _read_json(spark, directory, schemas.NUMBERED_RISKS, "risks")
+    rows = _read_json(spark, directory, schemas.NUMBERED_RISKS, ["risks"])
     good = rows.filter(F.col("_corrupt_record").isNull())
     return normalise_risk_map(good).orderBy("file_name", "risk_id")
 

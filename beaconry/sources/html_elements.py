@@ -29,6 +29,7 @@ VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
 )
 OPAQUE_TAGS = frozenset(["script", "style", "template"])
+HEADING_TAGS = frozenset(["h1", "h2", "h3"])
 RAW_TEXT_TAGS = frozenset(["pre", "code", "h1", "h2", "h3", "h4", "h5", "h6"])
 TEXT_TAGS = RAW_TEXT_TAGS | frozenset(
     "title p div li ul ol a td th dt dd blockquote span b i em strong".split()
@@ -87,9 +88,12 @@ def _attributes(source: str) -> list[tuple[str, str]]:
 class _Page:
     """Open-element stack for one page; ``rows`` are in document order."""
 
-    def __init__(self) -> None:
+    def __init__(self, implied_ends: bool) -> None:
+        self.implied_ends = implied_ends
         self.rows: list[dict] = []
         self.open: list[tuple[int, str, int, int]] = []  # pos, tag, first piece, first raw
+        self.headed: set[int | None] = set()  # parents that have had a heading child
+        self.following: set[int] = set()  # elements with a heading before them among siblings
         self.pieces: list[str] = []
         self.raws: list[str] = []
         self.children: list[list] = []  # per element: up to two children (row number or text)
@@ -108,14 +112,19 @@ class _Page:
             self.pieces.append(bare)
 
     def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
-        while self.open and tag in IMPLIED_END.get(self.open[-1][1], ()):
+        while self.implied_ends and self.open and tag in IMPLIED_END.get(self.open[-1][1], ()):
             self.close_top()
         pos = len(self.rows)
         self.add_child(pos)
         path = [entry[0] for entry in self.open]
+        parent = path[-1] if path else None
+        if tag in HEADING_TAGS:
+            self.headed.add(parent)
+        elif parent in self.headed:
+            self.following.add(pos)
         self.rows.append(
             {
-                "pos": pos, "parent": path[-1] if path else None, "ancestors": path, "tag": tag,
+                "pos": pos, "parent": parent, "ancestors": path, "tag": tag,
                 "attrs": attrs, "text": None, "raw": None, "single": None,
             }
         )
@@ -132,13 +141,13 @@ class _Page:
                 while len(self.open) > depth:
                     self.close_top()
                 return
-            if CLOSE_RANK.get(name, 0) > rank:
+            if self.implied_ends and CLOSE_RANK.get(name, 0) > rank:
                 return
 
     def close_top(self) -> None:
         pos, tag, piece, raw = self.open.pop()
         row = self.rows[pos]
-        if tag in TEXT_TAGS:
+        if tag in TEXT_TAGS or pos in self.following:
             row["text"] = "".join(self.pieces[piece:])
         if tag in RAW_TEXT_TAGS:
             row["raw"] = "".join(self.raws[raw:])
@@ -155,9 +164,11 @@ class _Page:
         return None
 
 
-def parse_elements(source: str | None, wanted: frozenset[str] | None = None) -> list[dict]:
+def parse_elements(
+    source: str | None, wanted: frozenset[str] | None = None, implied_ends: bool = True
+) -> list[dict]:
     """Elements of one page; ``wanted`` limits which tags are returned."""
-    page = _Page()
+    page = _Page(implied_ends)
     at, size = 0, len(source or "")
     while at < size:
         token = TOKEN.search(source, at)
@@ -188,9 +199,11 @@ def _offsets(lists: Iterable[Sequence]) -> pa.Array:
     return pa.array([0, *accumulate(len(x) for x in lists)], pa.int32())
 
 
-def element_arrays(sources: Iterable[str | None], wanted: frozenset[str] | None) -> pa.Array:
+def element_arrays(
+    sources: Iterable[str | None], wanted: frozenset[str] | None, implied_ends: bool = True
+) -> pa.Array:
     """Elements of many pages as one Arrow list array, built column by column."""
-    pages = [parse_elements(source, wanted) for source in sources]
+    pages = [parse_elements(source, wanted, implied_ends) for source in sources]
     rows = list(chain.from_iterable(pages))
     paths = [r["ancestors"] for r in rows]
     attrs = [r["attrs"] for r in rows]
@@ -217,21 +230,27 @@ def element_arrays(sources: Iterable[str | None], wanted: frozenset[str] | None)
 
 
 def element_table(
-    pages: DataFrame, tags: Sequence[str] | None = None, cluster: bool = False
+    pages: DataFrame,
+    tags: Sequence[str] | None = None,
+    cluster: bool = False,
+    implied_ends: bool = True,
 ) -> DataFrame:
     """Rows ``(page_id, pos, parent, ancestors, tag, attrs, text, raw, single)``.
 
     ``text`` strips every text node and joins the rest without a separator; ``raw``
     is the unstripped text (headings and code only); ``single`` is the text of an
-    element whose only content is one text node.  ``tags`` drops other elements
+    element whose only content is one text node.  Containers such as ``body`` have no
+    text of their own unless they follow a heading.  ``tags`` drops other elements
     right in the parser.  ``cluster`` shuffles by page, for callers that use windows
-    per page; aggregations per page combine before their own shuffle instead.
+    per page; aggregations per page combine before their own shuffle instead.  With
+    ``implied_ends=False`` only end tags close elements, which is the rule for the
+    numbered-risk pages.
     """
     wanted = None if tags is None else frozenset(tags)
 
     @F.arrow_udf(ELEMENT_TYPE)
     def elements_of(column: pa.Array) -> pa.Array:
-        return element_arrays(column.to_pylist(), wanted)
+        return element_arrays(column.to_pylist(), wanted, implied_ends)
 
     source = spread(pages.select("page_id", "html"))
     rows = source.select("page_id", F.inline(elements_of("html")))

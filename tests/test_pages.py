@@ -40,6 +40,20 @@ def test_paragraphs_end_each_other():
     ]
 
 
+def test_without_implied_ends():
+    parsed = parse_elements("<p>a<p>b</p><div>c</p>d", None, implied_ends=False)
+    assert [(r["tag"], r["parent"], r["text"]) for r in parsed] == [
+        ("p", None, "abc"), ("p", 0, "b"), ("div", 0, "c"),
+    ]
+
+
+def test_containers_have_text_after_a_heading():
+    parsed = parse_elements("<section>a</section><h2>t</h2><section>b<table><tr><td>c</table></section>")
+    assert [(r["tag"], r["text"]) for r in parsed if r["tag"] != "h2"] == [
+        ("section", None), ("section", "bc"), ("table", None), ("tr", None), ("td", "c"),
+    ]
+
+
 def test_scripts_comments_and_attributes():
     html = """<div id='a' CLASS="x&amp;y" hidden data-n=3><!-- <p>no</p> --><script>var t="</p><p>";</script>z</div>"""
     parsed = parse_elements(html)
@@ -192,7 +206,11 @@ def test_risks_of_sources_falls_back_per_source(spark):
         scraped.schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " "),
     )
     found = numbered.risks_of_sources(
-        scraped, element_table(scraped), details, element_table(details), "https://top.example"
+        scraped,
+        element_table(scraped, implied_ends=False),
+        details,
+        element_table(details, implied_ends=False),
+        "https://top.example",
     )
     assert rows(found, "source_id", "risk_id", "title", "description") == [
         ("1", "A01", "2025 - Again", "New text."),

@@ -23,6 +23,7 @@ def test_sheet_json(spark, tmp_path):
     folder = put(tmp_path / "sheets", "b.json", json.dumps({"id": "s", "title": "S", "url": "u", "risks": [RISK]}))
     put(tmp_path / "sheets", "a.json", json.dumps({"id": "a", "title": "A", "url": "u", "category": "Api"}))
     put(tmp_path / "sheets", "c.json", '{"id": "broken"')
+    put(tmp_path / "sheets", "d.json", '{"id": "no title"}')
     put(tmp_path / "sheets", "notes.txt", "x")
     sheets = docs.read_sheet_json(spark, folder).collect()
     assert [s.file_name for s in sheets] == ["a.json", "b.json"]
@@ -31,7 +32,7 @@ def test_sheet_json(spark, tmp_path):
     assert risk.severity == "High" and risk.icon == "⚠️" and risk.mitigations == []
     assert [tuple(t) for t in risk.types] == [("a", "b"), ("c", "")]
     assert sheets[0].risks == [] and sheets[0].tags == []
-    assert rows(docs.read_bad_json(spark, folder), "file_name") == [("c.json",)]
+    assert rows(docs.read_bad_sheets(spark, folder), "file_name") == [("c.json",), ("d.json",)]
     assert docs.read_sheet_json(spark, str(tmp_path / "none")).count() == 0
 
 
