@@ -68,12 +68,9 @@ def evicted(
     total = snapshot.agg(F.sum("size_bytes").alias("total")).first()["total"] or 0
     if total <= max_bytes:
         return snapshot.filter(F.lit(False))
-    levels = [
-        F.to_date("expires_at"),
-        F.date_trunc("minute", "expires_at"),
-        F.col("expires_at"),
-        F.substring("key", 1, 4),
-    ]
+    # Texts sort like the times they show and need no time zone when compared later.
+    times = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS"]
+    levels = [*[F.date_format("expires_at", t) for t in times], F.substring("key", 1, 4)]
     order = ["expires_at", "key"]
     return cumulative_cut(snapshot, "size_bytes", levels, order, total - target * max_bytes)
 
