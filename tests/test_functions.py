@@ -14,7 +14,7 @@ def one(spark, column):
     "raw, clean, slug",
     [
         ("Café_Über  Cheat Sheet ¶", "Café_Über", "café-über"),
-        ("Access Control – OWASP Cheat Sheet Series", "Access Control", "access-control"),
+        ("Access Control – OWASP notes", "Access Control", "access-control"),
         ("  A -- B__C! ", "A -- B__C!", "a-b-c"),
         ("Cheat Sheet", "", ""),
     ],
