@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import packing, records
+from beaconry.llm import packing, records, toxicity
 from beaconry.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,8 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-records")
     records.write_token_files(table(spark, sf_dir, "documents"), path)
     return records.read_token_files(spark, path, with_ids=False).drop("file_no", "ids")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
