@@ -11,12 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import RecentMap, crc_bucket, keyed_texts, mix, slices
+from beaconry.llm.common import crc_bucket, keyed_texts, mix, slices
 from beaconry.llm.sampling import labelled_sample
+from beaconry.llm.words import hashed_words
 
 SLOT_BITS = 20
 #: Documented bound: so many labelled rows at most are used for fitting.
@@ -28,19 +28,10 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 #: Slot of the constant feature.
 BIAS = 0
 
-_BREAKS = bytes(32 if chr(b) not in "0123456789abcdefghijklmnopqrstuvwxyz" and b < 128 else b for b in range(256))
-_WORD_HASHES = RecentMap(lambda words: [xxhash.xxh64_intdigest(w) for w in words], 400_000)
-
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of every word, adjacent pair and pair with one word between; repeats included."""
-    words, sizes = [], []
-    for t in texts:
-        w = t.lower().encode().translate(_BREAKS).split()
-        words += w
-        sizes.append(len(w))
-    h = np.array(_WORD_HASHES.find(words), np.uint64)
-    row = np.repeat(np.arange(len(texts)), sizes)
+    row, h = hashed_words(texts)
     near, far = row[1:] == row[:-1], row[2:] == row[:-2]
     pairs = mix(h[:-1], h[1:])[near]
     skips = mix(h[:-2], h[2:] ^ np.uint64(0x5851F42D4C957F2D))[far]
