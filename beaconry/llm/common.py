@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +64,14 @@ class RecentMap(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        fresh = set(keys).difference(self)
-        known = {k: v for k in fresh if (v := self.old.get(k)) is not None}
-        self.update(known)
-        unknown = [k for k in fresh if k not in known]
-        if unknown:
-            self.update(zip(unknown, self.make(unknown)))
+        values = list(map(self.get, keys))
+        unknown = set(compress(keys, map(not_, values)))
+        if not unknown:
+            return values
+        self.update((k, v) for k in unknown if (v := self.old.get(k)) is not None)
+        make = [k for k in unknown if k not in self]
+        if make:
+            self.update(zip(make, self.make(make)))
         return list(map(self.__getitem__, keys))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import regex
@@ -27,14 +28,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: The same rule for texts whose only numbers are decimal digits; faster in the standard library.
+_DECIMAL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+#: Kinds of ASCII characters: w white space, _ other white space or line drawing, s sign, a the rest.
+_KINDS = bytes(
+    ord("w" if b in (10, 32) else "_" if b in (0, 9, 11, 12, 13, 28, 29, 30, 31, 95) else "s" if b < 128 and not chr(b).isalnum() else "a")
+    for b in range(256)
+)
+
+
 class Encoder:
     """Ids as little-endian bytes: 16 bits each where the vocabulary allows it, else 32.
 
-    For byte-level BPE files a text is cut at spaces that have a non-space on one side: no split of
-    the file's rule spans such a place, so the ids of a text are those of its parts in a row. Parts
-    are remembered (a bounded memo), and unknown ones go through the library's BPE model in one call.
-    Special-token strings in a text are ordinary text. Other files, and texts where a space has
-    white space on both sides, go to the library whole.
+    For byte-level BPE files a text is first cut into units of the file's split rule, so the ids of a text
+    are those of its units in a row. Units are remembered (a bounded memo), and the unknown ones of many
+    texts go through the library's BPE model in one call. Texts without neighbouring signs or blanks
+    are cut by plain replacement, others by the rule itself. Special-token strings in a text are
+    ordinary text. Other kinds of files get whole texts.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
@@ -56,49 +66,49 @@ class Encoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.encode_special_tokens = True
             self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-            self.letters = byte_letters()
-            self.mark = self.letters[10]
+            letters = byte_letters()
+            self.mark = letters.pop(10)
+            self.letters = letters
             self.mark_id = self.whole.token_to_id(self.mark)
             self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
-            self.unsafe = regex.compile(r"\s \s").search
+            self.split_decimal = re.compile(_DECIMAL_SPLIT).findall
+            self.odd = re.compile(r"[^\w\x00-\x7f]").search
             self.parts = RecentMap(self._parts, memo)
-            self.pieces = RecentMap(self._pieces, memo)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Each piece is one unit of the split rule; a line feed's own id tells them apart afterwards."""
-        written = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        plain = [w for w in written if self.mark not in w]
-        sent = "\n".join(f"{w}\n{self.mark}" for w in plain)
-        ids = np.asarray(self.bare.encode_batch_fast([sent], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.flatnonzero(ids == self.mark_id).tolist()
-        found = iter([ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], ends)])
-        return [self._library(p) if self.mark in w else next(found) for p, w in zip(pieces, written)]
+    def _units(self, text: str) -> list[str]:
+        decimal = all(c.isalpha() or c.isdecimal() for c in set(text) if c.isalnum())
+        return (self.split_decimal if decimal and not re.search("[\x1c-\x1f]", text) else self.split)(text)
+
+    def _cut(self, text: str) -> list[str]:
+        """Parts of a text, none of which shares a unit with another."""
+        kinds = text.encode().translate(_KINDS)
+        if b"ws" in kinds or b"ss" in kinds or b"ww" in kinds or b"_" in kinds or not text.isascii() and self.odd(text):
+            return self._units(text)
+        return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        cut = [self.split(p) for p in parts]
-        found = self.pieces.find([x for c in cut for x in c])
-        out, at = [], 0
-        for c in cut:
-            out.append(b"".join(found[at : at + len(c)]))
-            at += len(c)
-        return out
+        """Units of all parts in one call of the library; a line feed's own id tells the parts apart."""
+        plain = [p for p in parts if p and not p[-1].isspace() and "\n" not in p]
+        units = self._units("\n".join(plain)) if plain else []
+        sent = "\n".join(units).encode().decode("latin-1").translate(self.letters).replace("\n\n\n", f"\n{self.mark}\n")
+        ids = np.asarray(self.bare.encode_batch_fast([sent], add_special_tokens=False)[0].ids, self.dtype)
+        width, found = ids.itemsize, ids.tobytes()
+        ends = (np.flatnonzero(ids == self.mark_id) * width).tolist()
+        known = dict(zip(plain, [found[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(found)])]))
+        return [v if (v := known.get(p)) is not None else self._library(p) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``self.dtype``."""
         if not self.by_parts:
             return [np.asarray(e.ids, self.dtype).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        whole = [bool(self.unsafe(t)) for t in texts]
-        cut = []
-        for t, w in zip(texts, whole):
-            first, *rest = [""] if w else t.split(" ")
-            cut.append([first, *[" " + x for x in rest]])
+        cut = list(map(self._cut, texts))
         found = self.parts.find([x for c in cut for x in c])
         out, at = [], 0
-        for t, w, c in zip(texts, whole, cut):
-            out.append(self._library(t) if w else b"".join(found[at : at + len(c)]))
+        for c in cut:
+            out.append(b"".join(found[at : at + len(c)]))
             at += len(c)
         return out
 
