@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -42,14 +43,14 @@ class Encoder:
 
     For byte-level BPE files a text is first cut into units of the file's split rule, so the ids of a text
     are those of its units in a row. Units are remembered (a bounded memo), and the unknown ones of many
-    texts go through the library's BPE model in one call. Texts without neighbouring signs or blanks
+    texts go through the library's BPE model together. Texts without neighbouring signs or blanks
     are cut by plain replacement, others by the rule itself. Special-token strings in a text are
     ordinary text. Other kinds of files get whole texts.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
@@ -63,13 +64,8 @@ class Encoder:
             and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
         )
         if self.by_parts:
-            self.bare = Tokenizer.from_file(path)
-            self.bare.encode_special_tokens = True
-            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-            letters = byte_letters()
-            self.mark = letters.pop(10)
-            self.letters = letters
-            self.mark_id = self.whole.token_to_id(self.mark)
+            self.letters = byte_letters()
+            del self.letters[10]
             self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
             self.split_decimal = re.compile(_DECIMAL_SPLIT).findall
             self.odd = re.compile(r"[^\w\x00-\x7f]").search
@@ -90,15 +86,19 @@ class Encoder:
         return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """Units of all parts in one call of the library; a line feed's own id tells the parts apart."""
+        """Each distinct unit of the parts goes through the model once."""
         plain = [p for p in parts if p and not p[-1].isspace() and "\n" not in p]
-        units = self._units("\n".join(plain)) if plain else []
-        sent = "\n".join(units).encode().decode("latin-1").translate(self.letters).replace("\n\n\n", f"\n{self.mark}\n")
-        ids = np.asarray(self.bare.encode_batch_fast([sent], add_special_tokens=False)[0].ids, self.dtype)
-        width, found = ids.itemsize, ids.tobytes()
-        ends = (np.flatnonzero(ids == self.mark_id) * width).tolist()
-        known = dict(zip(plain, [found[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(found)])]))
-        return [v if (v := known.get(p)) is not None else self._library(p) for p in parts]
+        units = list(set(self._units("\n".join(plain))).difference(["\n"]))
+        written = "\n".join(units).encode().decode("latin-1").translate(self.letters).split("\n")
+        bpe, code = self.whole.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        known = {u: array(code, [t.id for t in bpe(w)]).tobytes() for u, w in zip(units, written)}
+        out = []
+        for p in parts:
+            found = known.get(p)
+            if found is None:
+                found = b"".join([known.get(u) or self._library(u) for u in self._units(p)])
+            out.append(found)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``self.dtype``."""
