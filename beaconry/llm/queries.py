@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import articles, decontamination, language, licenses, neighbours, packing, records, simhash, toxicity
+from beaconry.llm import articles, decontamination, language, licenses, neighbours, packing, records, repeats, simhash, toxicity
 from beaconry.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,8 @@ def op4_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
