@@ -127,26 +127,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(found["slot"].to_numpy(np.int64), found["weight"].to_numpy(float))
 
 
+_DENSE: dict[int, np.ndarray] = {}
+
+
+class _Sent:
+    """A broadcast model under a name that tasks of one worker recognise."""
+
+    def __init__(self, docs: DataFrame, model: Model):
+        self.broadcast = docs.sparkSession.sparkContext.broadcast(model)
+        self.name = self.broadcast._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "name": self.name}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.name not in _DENSE:
+            _DENSE.clear()
+            _DENSE[self.name] = self.broadcast.value.dense()
+        w = _DENSE[self.name]
+        row, slot = features(texts)
+        hit = np.flatnonzero(w[slot])
+        both = np.unique(row[hit] << SLOT_BITS | slot[hit])
+        sums = np.full(len(texts), w[BIAS])
+        np.add.at(sums, both >> SLOT_BITS, w[both & ((1 << SLOT_BITS) - 1)])
+        return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row, from the text alone.
 
     A null or empty text gets the score of the constant feature; a repeated feature counts once, so
     length does not matter by itself. Extra columns are not looked at; an empty table gives no row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    dense: list[np.ndarray] = []
+    sent = _Sent(docs, model)
 
     def apply(batches):
-        if not dense:
-            dense.append(sent.value.dense())
-        w = dense[0]
         for batch in slices(batches):
-            row, slot = features(batch.column(1).to_pylist())
-            hit = np.flatnonzero(w[slot])
-            both = np.unique(row[hit] << SLOT_BITS | slot[hit])
-            sums = np.full(batch.num_rows, w[BIAS])
-            np.add.at(sums, both >> SLOT_BITS, w[both & ((1 << SLOT_BITS) - 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return keyed_texts(docs).mapInArrow(apply, "doc_id long, score double")
 
@@ -158,3 +175,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is below ``least``."""
+    sent = _Sent(docs, model)
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])], text=0)
+        return pa.array(np.concatenate([np.zeros(0), *(sent.scores(p.column(0).to_pylist()) for p in parts)]))
+
+    return docs.filter(scores(F.coalesce(F.col("text").cast("string"), F.lit(""))) < least)
