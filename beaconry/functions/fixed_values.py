@@ -122,7 +122,6 @@ LANGUAGE_HREF = r"cheatsheets/.*\.html"
 RELATED_ID = r"([^/]+)_Cheat_Sheet"
 LOOSE_WORD = "cheat"
 SITEMAP_MARKS = ["_Cheat_Sheet", "/cheatsheets/"]
-TITLE_SITE_SUFFIX = r"\s*[-–]\s*OWASP.*$"
 TITLE_KIND_SUFFIX = r"\s*Cheat\s*Sheet\s*$"
 
 # Numbered-risk documents.
@@ -153,27 +152,27 @@ HTML_KEYS = {
 }
 DESCRIPTION_HEADERS = ["overview", "description", "about"]
 
-# Texts shown when something is missing or cut.
-EMPTY_DESCRIPTION = "See the cheat sheet for detailed security guidance."
-NO_IMPACTS = "See detailed documentation"
-NO_MITIGATIONS = "Apply recommended security controls"
+# Texts shown when something is missing or cut.
+EMPTY_DESCRIPTION = "No short description; the page itself has the details."
+NO_IMPACTS = "No impact listed"
+NO_MITIGATIONS = "No mitigation listed"
 DETAIL_HINTS = {
-    "types": "Refer to the main content sections for detailed categorization.",
-    "impacts": "See the cheat sheet documentation for impact details.",
-    "mitigations": "Apply security best practices as documented in the cheat sheet.",
-    "examples": "See the source cheat sheet for code examples.",
+    "types": "No kinds listed; the sections of the page may name some.",
+    "impacts": "No impacts listed on this page.",
+    "mitigations": "No mitigations listed on this page.",
+    "examples": "No code examples listed on this page.",
 }
-SCENARIO_PROMPT = "See documentation for examples"
-SCENARIO_IMPACT = "Security compromise"
-SCENARIO_MITIGATION = "Apply recommended controls"
+SCENARIO_PROMPT = "No example listed"
+SCENARIO_IMPACT = "Impact not listed"
+SCENARIO_MITIGATION = "Mitigation not listed"
 TRUNCATION_NOTICE = "\n\n[Truncated to fit context limit]"
 REVIEW_INSTRUCTION = (
-    "Review the code ONLY against the selected guidance below. "
-    "Do not use any other OWASP Top 10 or external frameworks."
+    "Judge the change by the guidance that follows and by nothing else; "
+    "leave other rule sets aside."
 )
 NO_CONTEXT = "(no context provided)"
 NO_PROMPT = "(none)"
-UNREADABLE_FILE = "<Could not read file>"
+UNREADABLE_FILE = "(file not readable)"
 
 # Limits.
 REVIEW_CHAR_LIMIT = 12_000

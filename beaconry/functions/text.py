@@ -33,9 +33,11 @@ def contains_any_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike(f"(?<![{WORD}])(?:{alternatives})(?![{WORD}])")
 
 
-def clean_title(text: Column) -> Column:
+def clean_title(text: Column, site: str | None = None) -> Column:
+    """Title without heading marks, a trailing kind word, and what a dash and the name of ``site`` begin."""
     out = F.regexp_replace(text, r"(?U)\s*¶\s*", " ")
-    out = F.regexp_replace(out, "(?iUd)" + fixed.TITLE_SITE_SUFFIX, "")
+    if site:
+        out = F.regexp_replace(out, rf"(?iUd)\s*[-–]\s*\Q{site}\E.*$", "")
     out = F.regexp_replace(out, "(?iUd)" + fixed.TITLE_KIND_SUFFIX, "")
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
@@ -48,9 +50,15 @@ def slugify(text: Column) -> Column:
 
 
 def slugify_ascii(text: Column, default: str) -> Column:
-    """ASCII-only slug of at most 80 characters for file names."""
+    """ASCII-only slug of at most 80 characters for file names.
+
+    A longer one ends with a hash of the whole, so names that begin alike stay apart.
+    """
     out = F.regexp_replace(F.lower(strip(text)), r"(?U)[^a-z0-9\s-]", "")
-    out = F.left(F.regexp_replace(out, r"(?U)\s+", "-"), F.lit(fixed.SLUG_CHARS))
+    out = F.regexp_replace(out, r"(?U)\s+", "-")
+    head = F.left(out, F.lit(fixed.SLUG_CHARS - 9))
+    cut = F.concat(head, F.lit("-"), F.left(F.md5(out), F.lit(8)))
+    out = F.when(F.length(out) > fixed.SLUG_CHARS, cut).otherwise(out)
     return F.coalesce(F.nullif(out, F.lit("")), F.lit(default))
 
 
@@ -172,8 +180,18 @@ def decode_lossy(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def list_items(text: Column, triggers: Sequence[str], limit: int) -> Column:
-    """First ``limit`` list items that follow a trigger line, folded inside the row.
+def head(array: Column, count: int | None) -> Column:
+    """First ``count`` elements; all with ``None``."""
+    return array if count is None else F.slice(array, 1, count)
+
+
+def head_text(text: Column, chars: int | None) -> Column:
+    """First ``chars`` characters; all with ``None``."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def list_items(text: Column, triggers: Sequence[str], limit: int | None) -> Column:
+    """First ``limit`` (with ``None`` all) list items that follow a trigger line, folded inside the row.
 
     A line holding a trigger word opens a list and is not an item itself; a blank
     line or a ``#`` line closes it.  The fold keeps at most ``limit`` items, so its
@@ -183,7 +201,7 @@ def list_items(text: Column, triggers: Sequence[str], limit: int) -> Column:
 
     def step(state: Column, line: Column) -> Column:
         wanted = line["listed"] & (F.length(line["item"]) > fixed.MIN_ITEM_CHARS)
-        room = F.size(state["items"]) < limit
+        room = F.lit(True) if limit is None else F.size(state["items"]) < limit
         return F.struct(
             F.when(line["trigger"], True)
             .when(line["closes"], False)

@@ -2,10 +2,15 @@
 
 A request is a hit until ``ttl`` after the last miss of its key (inclusive); the
 next one is a miss and restarts the clock.  Each miss depends on the one before,
-so ordinary keys are scanned in time order, one Arrow batch at a time.  Keys with
-more than ``scan_limit`` requests are answered without any per-key scan: every
-distinct time points to the time of the miss that would follow it, and the chain
-from the first request is found by pointer doubling over unique (key, time) pairs.
+so keys are read in time order as a stream of Arrow batches whose only state is one
+expiry: from a miss the next one is found by binary search, so the steps are the misses,
+not the requests.  Where one key may own more of the log than a task should read,
+the caller asks for ``split_keys``: every distinct time points to the time of the miss
+that would follow it, and the chain from the first request is found by pointer
+doubling over unique (key, time) pairs.  Both give the same rows.
+
+A request without a time is no miss and leaves the clock alone; of requests at one time
+the one with the smallest id comes first; null keys are keys like others.
 """
 
 from __future__ import annotations
@@ -13,13 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.session import materialise
 
-SCAN_LIMIT = 1_000_000
 SUB_BUCKETS = 64
 
 
@@ -29,20 +34,24 @@ def cache_hits(
     micros: str,
     row_id: str,
     ttl_us: int,
-    scan_limit: int = SCAN_LIMIT,
+    split_keys: bool = False,
 ) -> DataFrame:
     """``requests`` (keys, time, id) with a boolean ``miss``."""
     rows = requests.select(*keys, micros, row_id)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > scan_limit).drop("_n")
-    if hot.isEmpty():
-        return scan_misses(rows, keys, micros, row_id, ttl_us)
-    hot = materialise(hot, "hot-keys")
-    cold_rows = rows.join(hot, list(keys), "left_anti")
-    hot_rows = rows.join(hot, list(keys), "left_semi")
-    return scan_misses(cold_rows, keys, micros, row_id, ttl_us).unionByName(
-        chain_misses(hot_rows, keys, micros, row_id, ttl_us)
-    )
+    replay = chain_misses if split_keys else scan_misses
+    return replay(rows, keys, micros, row_id, ttl_us)
+
+
+def misses_in_order(times: np.ndarray, expiry: int | None, ttl_us: int) -> tuple[list[int], int | None]:
+    """Places of the misses among rising times, and the expiry after them; ``expiry`` is that of the
+    last miss before, None if there was none."""
+    at = 0 if expiry is None else int(np.searchsorted(times, expiry, "right"))
+    found = []
+    while at < len(times):
+        found.append(at)
+        expiry = int(times[at]) + ttl_us
+        at = int(np.searchsorted(times, expiry, "right"))
+    return found, expiry
 
 
 def scan_misses(
@@ -52,15 +61,25 @@ def scan_misses(
     schema = rows.select(*keys, micros, row_id).schema.add("miss", "boolean")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, expiry = None, 0
+        current, expiry = None, None
         for batch in batches:
-            owners = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            flags = []
-            for owner, time in zip(owners, batch.column(micros).to_pylist()):
-                miss = owner != current or time > expiry
-                if miss:
-                    current, expiry = owner, time + ttl_us
-                flags.append(miss)
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+            changed = np.any([np.diff(c) != 0 for c in codes], axis=0) if n > 1 else np.zeros(0, bool)
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist(), n]
+            time = batch.column(micros)
+            missing = np.asarray(time.is_null())
+            values = time.fill_null(0).to_numpy(zero_copy_only=False)
+            flags = np.zeros(n, dtype=bool)
+            for a, b in zip(starts, starts[1:]):
+                owner = tuple(batch.column(k)[a].as_py() for k in keys)
+                if owner != current:
+                    current, expiry = owner, None
+                a += int(missing[a:b].sum())  # requests without a time are sorted first
+                found, expiry = misses_in_order(values[a:b], expiry, ttl_us)
+                flags[[a + at for at in found]] = True
             columns = [*batch.columns, pa.array(flags, type=pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "miss"])
 
@@ -72,27 +91,31 @@ def chain_misses(
     rows: DataFrame, keys: Sequence[str], micros: str, row_id: str, ttl_us: int
 ) -> DataFrame:
     """The same result from pointer doubling; no task ever holds a whole key."""
-    keys = list(keys)
-    times = rows.groupBy(*keys, F.col(micros).alias("t")).agg(F.min(row_id).alias("_first_id"))
+    names = list(keys)
+    # A struct compares its null fields as equal, so null keys join like others.
+    rows = rows.withColumn("_key", F.struct(*names))
+    keys = ["_key"]
+    timed = rows.filter(F.col(micros).isNotNull())
+    times = timed.select("_key", F.col(micros).alias("t")).distinct()
     times = materialise(times, "request-times")
-    pointers = materialise(_next_miss(times.select(*keys, "t"), keys, ttl_us), "next-miss")
-    reached = times.groupBy(*keys).agg(F.min("t").alias("t"))
-    span = times.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0]
+    pointers = materialise(_next_miss(times, keys, ttl_us), "next-miss")
+    reached = times.groupBy("_key").agg(F.min("t").alias("t"))
+    span = times.groupBy("_key").agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0]
     rounds = math.ceil(math.log2((span or 0) // ttl_us + 2))
     for n in range(rounds):
-        step = reached.join(pointers, [*keys, "t"]).select(*keys, F.col("nxt").alias("t"))
+        step = reached.join(pointers, ["_key", "t"]).select("_key", F.col("nxt").alias("t"))
         reached = materialise(reached.unionByName(step).distinct(), "reached")
         if n + 1 < rounds:
-            onward = pointers.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
+            onward = pointers.select("_key", F.col("t").alias("nxt"), F.col("nxt").alias("far"))
             pointers = materialise(
-                pointers.join(onward, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")),
+                pointers.join(onward, ["_key", "nxt"]).select("_key", "t", F.col("far").alias("nxt")),
                 "next-miss",
             )
-    misses = times.join(reached, [*keys, "t"], "left_semi").select(
-        *keys, F.col("t").alias(micros), F.col("_first_id").alias(row_id), F.lit(True).alias("miss")
-    )
-    return rows.join(misses, [*keys, micros, row_id], "left").select(
-        *keys, micros, row_id, F.coalesce("miss", F.lit(False)).alias("miss")
+    first = F.row_number().over(Window.partitionBy("_key", micros).orderBy(row_id)) == 1
+    numbered = rows.withColumn("_first", first)
+    misses = reached.withColumn("_reached", F.lit(True)).withColumnRenamed("t", micros)
+    return numbered.join(misses, ["_key", micros], "left").select(
+        *names, micros, row_id, (F.coalesce("_reached", F.lit(False)) & F.col("_first")).alias("miss")
     )
 
 

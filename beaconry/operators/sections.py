@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.classify import is_boilerplate_title
-from beaconry.functions.text import clean_title, contains_any, paragraph_role
+from beaconry.functions.text import clean_title, contains_any, head, paragraph_role
 from beaconry.functions.urls import related_id
 
 
@@ -65,7 +65,12 @@ def _merged(lists: str, field: str) -> Column:
     return F.array_sort(F.flatten(F.collect_list(lists))).getField(field)
 
 
-def sections(marked: DataFrame) -> DataFrame:
+def sections(
+    marked: DataFrame,
+    warnings: Sequence[str] = fixed.WARNING_MARKS,
+    tips: Sequence[str] = fixed.TIP_MARKS,
+    site: str | None = None,
+) -> DataFrame:
     """``(page_id, section_no, pos, title, content, code_examples, warnings, tips, subsections)``.
 
     Numbers count the kept sections of a page in document order.  Elements under an
@@ -76,7 +81,7 @@ def sections(marked: DataFrame) -> DataFrame:
     text = F.when(tag.isin("div", "p"), F.col("text"))
     code = F.when(tag.isin("pre", "code"), F.col("raw"))
     sub_text = F.when(tag.isin("p", "div", "ul", "ol"), F.col("text"))
-    role = paragraph_role(F.col("_text"))
+    role = paragraph_role(F.col("_text"), warnings, tips)
     h3 = F.when(F.col("h23.tag") == "h3", F.col("h23"))
 
     def listed(value: Column) -> Column:
@@ -115,12 +120,12 @@ def sections(marked: DataFrame) -> DataFrame:
         _merged("tip", "t").alias("tips"),
         F.array_sort(F.collect_list(F.when(filled, subsection))).alias("subsections"),
     )
-    titled = grouped.withColumn("title", clean_title(F.col("h2.text"))).filter(
+    titled = grouped.withColumn("title", clean_title(F.col("h2.text"), site)).filter(
         ~is_boilerplate_title(F.col("title"))
     )
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("h2.pos"))
     named = F.transform(
-        "subsections", lambda s: s.withField("title", clean_title(s["title"])).dropFields("pos")
+        "subsections", lambda s: s.withField("title", clean_title(s["title"], site)).dropFields("pos")
     )
     return titled.select(
         "page_id", number.alias("section_no"), F.col("h2.pos").alias("pos"),
@@ -164,6 +169,7 @@ def page_heads(
     words: Sequence[str] = fixed.INTRO_HEADINGS,
     paragraphs: int = 3,
     chars: int = fixed.INTRO_CHARS,
+    related_limit: int | None = 5,
 ) -> DataFrame:
     """Introduction, ``h1`` and ``named`` (title element), keywords and related links per page."""
     tag = F.col("tag")
@@ -209,7 +215,7 @@ def page_heads(
         ],
         F.substring(F.array_join(F.slice(leads, 1, paragraphs), " "), 1, chars).alias("lead"),
         *[F.min(c).getField("v").alias(c) for c in ("h1", "named", "keywords")],
-        F.slice(F.array_distinct(_merged("related", "related")), 1, 5).alias("related_ids"),
+        head(F.array_distinct(_merged("related", "related")), related_limit).alias("related_ids"),
     )
     bodies = [F.col(f"_{n}.body") for n in range(len(words))]
     return pages.select(
@@ -226,8 +232,10 @@ def owned_elements(elements: DataFrame, tag: str, roots: DataFrame) -> DataFrame
     return inner.join(roots, ["page_id", "root_pos"])
 
 
-def contributors(marked: DataFrame, words: Sequence[str] = fixed.CONTRIBUTOR_MARKS) -> DataFrame:
-    """Up to ten list entries of the element right after an author heading.
+def contributors(
+    marked: DataFrame, words: Sequence[str] = fixed.CONTRIBUTOR_MARKS, limit: int | None = 10
+) -> DataFrame:
+    """Up to ``limit`` (with ``None`` all) list entries of the element right after an author heading.
 
     The positions of such elements are attached to the page's rows by a window, so
     entries find them among their ancestors without a join.
@@ -244,4 +252,4 @@ def contributors(marked: DataFrame, words: Sequence[str] = fixed.CONTRIBUTOR_MAR
         )
     )
     names = F.array_sort(F.collect_list(F.struct("root_pos", "pos", "text"))).getField("text")
-    return entries.groupBy("page_id").agg(F.slice(names, 1, 10).alias("contributors"))
+    return entries.groupBy("page_id").agg(head(names, limit).alias("contributors"))

@@ -31,10 +31,18 @@ def snapshot_rows(
 
 
 def upsert(snapshot: DataFrame, entries: DataFrame) -> DataFrame:
-    """Newest entry per identifier; among equally new ones the larger hash."""
-    return last_per_key(
-        snapshot.unionByName(entries), ["identifier"], ["created_at", "content_hash"]
-    )
+    """Newest entry per identifier; a fresh one replaces a stored one of the same time, and of
+    equally new fresh ones the larger hash stays.
+
+    ``snapshot`` has one row per identifier. Only the fresh entries are reduced; stored rows are kept or dropped by their key and time.
+    """
+    fresh = last_per_key(entries, ["identifier"], ["created_at", "content_hash"])
+    times = fresh.select("identifier", F.col("created_at").alias("_fresh"))
+    both = snapshot.join(times, "identifier", "left")
+    older = F.col("_fresh").isNotNull() & F.coalesce(F.col("created_at") <= F.col("_fresh"), F.lit(True))
+    kept = both.filter(~older).drop("_fresh")
+    newer = kept.select("identifier").distinct()
+    return kept.select(snapshot.columns).unionByName(fresh.join(newer, "identifier", "left_anti"))
 
 
 def is_valid(as_of: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.classify import severity_icon
 from beaconry.functions.text import truncate
-from beaconry.operators.firsts import first_per_key, top_per_key
+from beaconry.operators.firsts import first_per_key, last_per_key, top_per_key
 
 
 def overview_metrics(
@@ -109,30 +109,32 @@ def risk_cards(risks: DataFrame, limit: int | None = 6) -> DataFrame:
 
 
 def risk_detail(risks: DataFrame, label: str) -> DataFrame:
-    """Ordered detail rows of the last risk labelled ``"id: title"``."""
+    """Ordered detail rows of the risk labelled ``"id: title"``, of every sheet that has one.
+
+    Labels are unique inside a sheet only; of equal ones the last risk counts.
+    """
     labelled = risks.filter(F.concat_ws(": ", "risk_id", "title") == label)
-    chosen = labelled.orderBy(F.desc("risk_no")).limit(1)
-    kinds = []
-    for kind, hint in fixed.DETAIL_HINTS.items():
-        text = "value.name" if kind == "types" else "value"
-        extra = F.col("value.descr") if kind == "types" else F.lit(None).cast("string")
-        exploded = chosen.select(
-            "sheet_id", "risk_id", F.posexplode_outer(kind).alias("n", "value")
-        )
-        kinds.append(
-            exploded.select(
-                "sheet_id",
-                "risk_id",
-                F.lit(kind).alias("kind"),
-                (F.coalesce("n", F.lit(0)) + 1).alias("item_no"),
-                F.coalesce(F.col(text), F.lit(hint)).alias("text"),
-                extra.alias("descr"),
+    chosen = last_per_key(
+        labelled.select("sheet_id", "risk_no", "risk_id", *fixed.DETAIL_HINTS), ["sheet_id"], ["risk_no"]
+    )
+
+    def items(kind: str, hint: str) -> Column:
+        def item(value: Column) -> Column:
+            named = kind == "types"
+            return F.struct(
+                (value["name"] if named else value).alias("text"),
+                (value["descr"] if named else F.lit(None).cast("string")).alias("descr"),
             )
-        )
-    out = kinds[0]
-    for rows in kinds[1:]:
-        out = out.unionByName(rows)
-    return out
+
+        nothing = F.struct(F.lit(hint).alias("text"), F.lit(None).cast("string").alias("descr"))
+        listed = F.when(F.size(kind) > 0, F.transform(kind, item)).otherwise(F.array(nothing))
+        numbered = F.transform(listed, lambda x, n: F.struct((n + 1).alias("item_no"), x["text"].alias("text"), x["descr"].alias("descr")))
+        return F.transform(numbered, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
+
+    every = F.concat(*[items(kind, hint) for kind, hint in fixed.DETAIL_HINTS.items()])
+    return chosen.select("sheet_id", "risk_id", F.inline(every)).select(
+        "sheet_id", "risk_id", "kind", "item.*"
+    )
 
 
 def guidance_context(risks: DataFrame, headers: Column, limit: int = 10, advice: int = 3) -> DataFrame:

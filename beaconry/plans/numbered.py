@@ -14,6 +14,7 @@ from beaconry.operators import lines as ln
 from beaconry.operators import sections as sec
 from beaconry.operators.firsts import last_per_key
 from beaconry.operators.links import anchors
+from beaconry.session import materialise
 
 RISK_TYPE = (
     "source_id string, risk_id string, risk_no int, title string, severity string, icon string, "
@@ -255,15 +256,17 @@ def risks_of_sources(
 ) -> DataFrame:
     """Risk set per source page: markdown, else linked detail pages, else headings, else lists.
 
-    Parse both element tables with ``implied_ends=False``.  Sources present in
-    ``static`` use its rows.  Every fallback parser only sees the
-    pages the parsers before it left empty.
+    Parse both element tables with ``implied_ends=False`` and store them first: three levels
+    read them.  Sources present in ``static`` use its rows.  Every fallback parser only sees
+    the pages the parsers before it left empty; each level is a table in the shared folder
+    before the next one asks it, so the plan does not grow with the levels.
     """
     ids = scraped.filter("success").select(
         F.col("page_id").cast("string").alias("source_id"),
         F.coalesce("markdown", F.lit("")).alias("markdown"),
     )
-    done = _shaped(static) if static is not None else None
+    ids = materialise(ids, "risk-sources")
+    done = materialise(_shaped(static), "risk-level") if static is not None else None
 
     def missing(frame: DataFrame) -> DataFrame:
         return frame if done is None else frame.join(
@@ -272,6 +275,7 @@ def risks_of_sources(
 
     def add(rows: DataFrame) -> None:
         nonlocal done
+        rows = materialise(rows, "risk-level")
         done = rows if done is None else done.unionByName(rows)
 
     def left_elements() -> DataFrame:

@@ -33,7 +33,8 @@ def content_parts(
     number of parts therefore gathers at most about ``limit`` characters.
     """
     pieces = parts.select(
-        key, order, F.substring(text, 1, limit + 1).alias("_text"), F.length(text).alias("_size")
+        key, order, F.substring(text, 1, limit + 1).alias("_text"),
+        F.coalesce(F.length(text), F.lit(0)).alias("_size"),
     )
     near = running_before(
         pieces,
@@ -126,23 +127,23 @@ def finding_rows(scanned: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _parsed(reviews: DataFrame, raw: str) -> DataFrame:
+def _parsed(reviews: DataFrame, raw: str, category_list: str) -> DataFrame:
     """Adds the parsed review and its keys; texts that are no JSON object have none."""
     none = F.array().cast("array<string>")
     return reviews.withColumns(
         {
-            "_review": F.from_json(raw, schemas.SECURITY_REVIEW),
+            "_review": F.from_json(raw, schemas.security_review(category_list)),
             "_keys": F.coalesce(F.json_object_keys(raw), none),
         }
     )
 
 
-def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
+def guardrail_fix(reviews: DataFrame, raw: str, category_list: str = "categories") -> DataFrame:
     """Adds ``ok``, ``reason`` and ``fixed``: a wrong highest risk is repaired.
 
     A missing vulnerability list or a bad (also a null) level is rejected.
     """
-    rows = _parsed(reviews, raw)
+    rows = _parsed(reviews, raw, category_list)
     levels = F.transform(
         F.coalesce("_review.security_vulnerabilities", F.array()),
         lambda v: F.lower(F.coalesce(v["risk_level"], F.lit(""))),
@@ -159,15 +160,9 @@ def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
         F.col("_review").withField("highest_risk", actual),
     ).otherwise(F.col("_review"))
     reason = (
-        F.when(F.size("_keys") == 0, "Missing JSON output from task.")
-        .when(~F.array_contains("_keys", "security_vulnerabilities"), "Missing 'security_vulnerabilities' key in output.")
-        .when(
-            F.col("_bad").isNotNull(),
-            F.concat(
-                F.lit("Invalid risk_level '"), "_bad",
-                F.lit("'. Must be one of: ['low', 'medium', 'high']"),
-            ),
-        )
+        F.when(F.size("_keys") == 0, "missing_json")
+        .when(~F.array_contains("_keys", "security_vulnerabilities"), "missing_list")
+        .when(F.col("_bad").isNotNull(), F.concat(F.lit("bad_level:"), "_bad"))
     )
     return rows.withColumn("reason", reason).select(
         *reviews.columns,
@@ -177,9 +172,9 @@ def guardrail_fix(reviews: DataFrame, raw: str) -> DataFrame:
     )
 
 
-def guardrail_strict(reviews: DataFrame, raw: str) -> DataFrame:
+def guardrail_strict(reviews: DataFrame, raw: str, category_list: str = "categories") -> DataFrame:
     """Adds ``ok`` and ``reason``: a wrong or missing highest risk is rejected."""
-    rows = _parsed(reviews, raw)
+    rows = _parsed(reviews, raw, category_list)
     stated = F.lower("_review.highest_risk")
     valid = F.array(*[F.lit(x) for x in fixed.RISK_LEVELS])
     levels = F.transform(
@@ -191,19 +186,11 @@ def guardrail_strict(reviews: DataFrame, raw: str) -> DataFrame:
     )
     actual = highest_level(F.transform("_levels", F.lower))
     reason = (
-        F.when(F.size("_keys") == 0, "Guardrail received empty output JSON.")
-        .when(
-            F.coalesce("_stated", F.lit("")) == "", "Missing or invalid highest risk level."
-        )
-        .when(~F.array_contains(valid, F.col("_stated")), "Invalid highest risk level.")
-        .when(
-            F.size(bad) > 0,
-            F.concat(F.lit("Invalid risk level: "), F.coalesce(F.get(bad, 0), F.lit("None"))),
-        )
-        .when(
-            F.col("_stated") != actual,
-            "Highest risk level does not match the highest risk level in the vulnerabilities.",
-        )
+        F.when(F.size("_keys") == 0, "missing_json")
+        .when(F.coalesce("_stated", F.lit("")) == "", "missing_highest")
+        .when(~F.array_contains(valid, F.col("_stated")), "bad_highest")
+        .when(F.size(bad) > 0, F.concat(F.lit("bad_level:"), F.coalesce(F.get(bad, 0), F.lit(""))))
+        .when(F.col("_stated") != actual, "other_highest")
     )
     return rows.withColumn("reason", reason).select(
         *reviews.columns, F.col("reason").isNull().alias("ok"), "reason"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A cached plan keeps its partitioning, so readers by the same key need no shuffle.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
     # Plans here are made of many small Column calls; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Raw HTML rows are large, so Arrow batches are bounded by bytes, not only by rows.
@@ -32,11 +35,14 @@ def build_session(app_name: str, master: str | None = None, **extra: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: what ``spark.checkpoint.dir`` names.
 
-    Only where the session leaves it unset (single-machine tests) is a fresh
-    temporary folder chosen, and the choice is recorded in the session.
+    Only a session that runs on one machine may leave it unset; it then gets a fresh
+    temporary folder. On a cluster each executor would write to a disk of its own, so an
+    unset folder is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="beaconry-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -48,30 +54,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def persist_clustered(df: DataFrame) -> DataFrame:
-    """Cache ``df`` and keep its hash clustering, so later steps by that key need no shuffle.
-
-    By default the adaptive planner may change the partitioning of a cached plan,
-    which makes every reader shuffle again.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-    before = conf.get(key, None)
-    conf.set(key, "false")
-    try:
-        return df.persist()
-    finally:
-        if before is None:
-            conf.unset(key)
-        else:
-            conf.set(key, before)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input of fewer splits than cores before work that is heavy per row.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Cache ``df``. Sessions of :func:`build_session` keep its hash clustering, so later
+    steps by that key need no shuffle; the caller unpersists it."""
+    return df.persist()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

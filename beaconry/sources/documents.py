@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from beaconry.functions.keys import report_timestamp
 from beaconry.functions.text import decode_lossy, slugify, slugify_ascii, strip
 from beaconry.functions.urls import title_from_url
 from beaconry.operators.firsts import last_per_key
+from beaconry.session import materialise
 from beaconry.sources import schemas
 
 # Required sheet fields, and defaults of optional sheet and risk fields.
@@ -22,9 +26,14 @@ SHEET_DEFAULTS = {"description": "", "category": "General", "icon": "📋", "int
 RISK_DEFAULTS = {"icon": "⚠️", "description": ""}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _if_there(read: Callable[[], DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
+    """``read()``, or ``empty()`` where its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty()
 
 
 def _file_name() -> Column:
@@ -61,14 +70,13 @@ def _read_json(
 ) -> DataFrame:
     """One row per file with its name; broken files keep ``_corrupt_record``."""
     full = f"{schema}, _corrupt_record string"
-    if not _exists(spark, directory):
-        return spark.createDataFrame([], f"{full}, file_name string")
-    rows = (
-        spark.read.schema(full)
+    rows = _if_there(
+        lambda: spark.read.schema(full)
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
         .json(directory)
-        .withColumn("file_name", _file_name())
+        .withColumn("file_name", _file_name()),
+        lambda: spark.createDataFrame([], f"{full}, file_name string"),
     )
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
     reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
@@ -76,10 +84,10 @@ def _read_json(
 
 
 def read_sheet_json(spark: SparkSession, directory: str) -> DataFrame:
-    """Sheets of a directory by file name; bad files yield nothing, a missing one is empty."""
+    """Sheets of a directory with their file names; bad files yield nothing, a missing directory is empty."""
     rows = _read_json(spark, directory, schemas.SHEET, SHEET_REQUIRED)
     good = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return normalise_sheets(good).orderBy("file_name")
+    return normalise_sheets(good)
 
 
 def read_bad_sheets(spark: SparkSession, directory: str) -> DataFrame:
@@ -101,10 +109,10 @@ def normalise_sheets(sheets: DataFrame) -> DataFrame:
 
 
 def read_numbered_risk_json(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per risk of every numbered-risk file, in file and key order."""
+    """One row per risk of every numbered-risk file; order by (file_name, risk_id) where it matters."""
     rows = _read_json(spark, directory, schemas.NUMBERED_RISKS, ["risks"])
     good = rows.filter(F.col("_corrupt_record").isNull())
-    return normalise_risk_map(good).orderBy("file_name", "risk_id")
+    return normalise_risk_map(good)
 
 
 def normalise_risk_map(sets: DataFrame) -> DataFrame:
@@ -129,14 +137,27 @@ def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+CATALOG_SCHEMA = "priority int, id string, label string, url string, source string"
+
+
 def source_catalog(spark: SparkSession, entries: Iterable[dict[str, str]]) -> DataFrame:
     """Data sources ``(priority, id, label, url, source)`` from configuration entries."""
     rows = [
         (n, e.get("id"), e.get("label"), e.get("url"), e.get("source"))
         for n, e in enumerate(entries)
     ]
-    schema = "priority int, id string, label string, url string, source string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+
+
+def read_source_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a JSON file with a ``data_sources`` list; a missing file has no sources."""
+    entry = "array<struct<id:string,label:string,url:string,source:string>>"
+    return _if_there(
+        lambda: spark.read.schema(f"data_sources {entry}").option("multiLine", True).json(path)
+        .select(F.posexplode("data_sources").alias("priority", "e"))
+        .select("priority", "e.*"),
+        lambda: spark.createDataFrame([], CATALOG_SCHEMA),
+    )
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
@@ -156,36 +177,30 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_text_files(spark: SparkSession, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole files for the requested ``path`` column, and errors for missing ones.
+def read_text_files(requested: DataFrame) -> DataFrame:
+    """Whole files for the distinct ``path`` values: ``(path, content, error)``.
 
-    Parent folders are listed once; paths that were not found come back as errors
-    instead of failing the job.
+    Tasks open exactly the requested paths, whatever their names, and nothing else in the
+    folders. What cannot be read has an error and no content; bytes that are not UTF-8
+    are dropped. Null paths are left out.
     """
-    names = requested.select("path").distinct()
-    folders = [
-        r.folder
-        for r in names.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
-        .distinct()
-        .limit(10_001)
-        .collect()
-    ]
-    if len(folders) > 10_000:
-        raise ValueError("give at most 10000 folders per call")
-    present = [f for f in folders if _exists(spark, f)]
-    if present:
-        files = spark.read.text(present, wholetext=True).select(
-            F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"),
-            F.col("value").alias("content"),
-        )
-    else:
-        files = spark.createDataFrame([], "path string, content string")
-    found = files.join(names, "path", "left_semi")
-    errors = names.join(files.select("path"), "path", "left_anti").select(
-        "path",
-        F.concat(F.lit("There was an error reading the file at "), "path").alias("error"),
-    )
-    return found, errors
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                content = error = None
+                try:
+                    store, local = fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(local) as stream:
+                        content = stream.readall().decode(errors="ignore")
+                except (OSError, pa.ArrowException) as failed:
+                    error = f"cannot read {path}: {type(failed).__name__}"
+                yield pa.RecordBatch.from_pydict(
+                    {"path": [path], "content": pa.array([content], pa.string()), "error": pa.array([error], pa.string())}
+                )
+
+    paths = requested.select("path").filter("path is not null").distinct()
+    return paths.mapInArrow(read, "path string, content string, error string")
 
 
 def read_binary_text(spark: SparkSession, path: str) -> DataFrame:
@@ -195,48 +210,77 @@ def read_binary_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+REPORT_FILES = "file_name string, generated_at timestamp, content string"
+
+
 def read_reports(spark: SparkSession, directory: str) -> DataFrame:
-    """Stored markdown reports, newest file name first; missing folder -> empty."""
-    if not _exists(spark, directory):
-        return spark.createDataFrame(
-            [], "file_name string, generated_at timestamp, content string"
-        )
-    rows = (
-        spark.read.option("pathGlobFilter", "*.md")
+    """Markdown reports kept as files: name, time in the name, content; missing folder -> empty.
+
+    Order by ``file_name`` where the newest must come first.
+    """
+    return _if_there(
+        lambda: spark.read.option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", True)
         .text(directory, wholetext=True)
-        .select(_file_name().alias("file_name"), F.col("value").alias("content"))
+        .select(
+            _file_name().alias("file_name"),
+            report_timestamp(_file_name()).alias("generated_at"),
+            F.col("value").alias("content"),
+        ),
+        lambda: spark.createDataFrame([], REPORT_FILES),
+    )
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Append ``(report_name, report)`` to the report table, partitioned by the day in the name."""
+    stamped = reports.select(
+        F.col("report_name").alias("file_name"),
+        report_timestamp(F.col("report_name")).alias("generated_at"),
+        F.col("report").alias("content"),
+    )
+    day = F.coalesce(F.to_date("generated_at").cast("string"), F.lit("undated"))
+    stamped.withColumn("day", day).write.partitionBy("day").mode("append").parquet(path)
+
+
+def read_report_table(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_reports` stored, in the columns of :func:`read_reports`; a name written
+    twice counts once, with the larger content."""
+    stored = _if_there(
+        lambda: spark.read.schema(f"{REPORT_FILES}, day string").parquet(path).drop("day"),
+        lambda: spark.createDataFrame([], REPORT_FILES),
     )
-    return rows.select(
-        "file_name", report_timestamp(F.col("file_name")).alias("generated_at"), "content"
-    ).orderBy(F.desc("file_name"))
+    return last_per_key(stored, ["file_name"], ["content"])
 
 
 def write_json_by_slug(
-    records: DataFrame, path: str, slug_source: str, default: str, order_by: str
+    records: DataFrame, path: str, slug_source: str, default: str, order_by: str, buckets: int = 64
 ) -> None:
-    """One JSON folder per slug; a later record with the same slug replaces an earlier one.
+    """JSON lines with their slug in at most ``buckets`` folders by hash of the slug.
 
-    Only the slugs present in ``records`` are overwritten.
+    Of records with one slug the last by ``order_by`` stays. Stored records of other slugs stay
+    too; only the buckets that ``records`` touch are written again.
     """
-    slugged = records.withColumn("slug", slugify_ascii(F.col(slug_source), default))
-    latest = last_per_key(slugged, ["slug"], [order_by])
+    slug = slugify_ascii(F.col(slug_source), default)
+    fresh = last_per_key(records.withColumn("slug", slug), ["slug"], [order_by])
+    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int"))
+    stored = _if_there(
+        lambda: records.sparkSession.read.schema(fresh.schema).json(path),
+        lambda: fresh.filter(F.lit(False)),
+    )
+    kept = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").join(
+        fresh.select("slug"), "slug", "left_anti"
+    )
+    # The buckets are read and written again, so the result is stored before it replaces them.
+    merged = materialise(kept.unionByName(fresh), "json-by-slug")
     (
-        latest.repartition("slug")
-        .write.partitionBy("slug")
+        merged.repartition("bucket")
+        .write.partitionBy("bucket")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .json(path)
     )
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One folder per ``report_name`` holding the rendered markdown."""
-    reports.select("report_name", F.col("report").alias("value")).write.partitionBy(
-        "report_name"
-    ).option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
-
-
 def write_review_state(states: DataFrame, path: str) -> None:
     states.write.mode("overwrite").json(path)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.functions.urls import host_of, path_of
+from beaconry.operators.firsts import top_per_key
 
 SCRAPE_FIELDS = {
     "page_id": "bigint",
@@ -59,19 +62,26 @@ def explode_crawl(
     crawls: DataFrame,
     include: str | None = None,
     exclude: str | None = None,
-    max_pages: int = 50,
+    max_pages: int | None = 50,
 ) -> DataFrame:
-    """Pages of a crawl result ``(job_id, pages array<struct<page_id,url,...>>)``."""
+    """Pages of crawl results ``(job_id, pages array<struct<page_id,url,...>>)``.
+
+    Every job keeps its own first ``max_pages`` pages; ``None`` keeps all.
+    """
     pages = crawls.select("job_id", F.inline("pages"))
-    return first_pages(path_filter(pages, include, exclude), max_pages)
+    return first_pages(path_filter(pages, include, exclude), max_pages, ["job_id"])
 
 
-def first_pages(pages: DataFrame, max_pages: int = 50) -> DataFrame:
-    """The crawl's page limit: the lowest page ids."""
-    return pages.orderBy("page_id").limit(max_pages)
+def first_pages(
+    pages: DataFrame, max_pages: int | None = 50, keys: Sequence[str] = ("job_id",)
+) -> DataFrame:
+    """The page limit of a crawl: the lowest page ids of each key; ``None`` keeps all."""
+    if max_pages is None:
+        return pages
+    return top_per_key(pages, keys, [F.col("page_id")], max_pages, "_rank").drop("_rank")
 
 
-def crawl_key(url, include: str | None, exclude: str | None, max_pages: int):
+def crawl_key(url, include: str | None, exclude: str | None, max_pages: int | None):
     """Snapshot identifier of a crawl; the path filters are part of it."""
     parts = [F.lit("crawl:"), url, F.lit(f":{max_pages}:{include or ''}:{exclude or ''}")]
     return F.concat(*parts)

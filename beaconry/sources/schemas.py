@@ -23,11 +23,16 @@ SHEET = (
 )
 NUMBERED_RISKS = f"id string, title string, source_url string, risks map<string,{RISK}>"
 CODE_QUALITY = "critical_issues array<string>, minor_issues array<string>, reasoning string"
-SECURITY_REVIEW = (
-    "security_vulnerabilities array<struct<description:string,risk_level:string,evidence:string>>, "
-    "owasp_top_10 array<struct<id:string,name:string,status:string,evidence:string>>, "
-    "blocking boolean, highest_risk string, security_recommendations array<string>"
-)
+
+def security_review(category_list: str = "categories") -> str:
+    """Schema of a security review; ``category_list`` is the field that holds the coverage list."""
+    return (
+        "security_vulnerabilities array<struct<description:string,risk_level:string,evidence:string>>, "
+        f"`{category_list}` array<struct<id:string,name:string,status:string,evidence:string>>, "
+        "blocking boolean, highest_risk string, security_recommendations array<string>"
+    )
+
+
 FIX = "struct<description:string,solutions:string,explanation:string>"
 SUMMARY = f"confidence int, findings string, fix array<{FIX}>, recommendations string"
 REVIEW_STATE = (

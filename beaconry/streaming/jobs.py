@@ -11,25 +11,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from beaconry.operators.snapshots import snapshot_rows, upsert
-from beaconry.plans.sheets import titles
+from beaconry.operators.firsts import last_per_key
+from beaconry.operators.replay import misses_in_order
+from beaconry.operators.snapshots import snapshot_rows
+from beaconry.plans.sheets import Rules, parse_sheets
 from beaconry.sources.html_elements import element_table
 from beaconry.sources.pages import normalise_pages, successful
 
 
-def page_entries(pages: DataFrame, created_at: str) -> DataFrame:
-    """Snapshot rows of freshly fetched pages: parsed title and id per URL."""
+def page_entries(pages: DataFrame, created_at: str, rules: Rules = Rules()) -> DataFrame:
+    """Snapshot rows of freshly fetched pages: the whole parsed sheet as JSON per URL.
+
+    An entry was made when its page was fetched (``scraped_at``, seconds), else at ``created_at``.
+    """
     good = successful(normalise_pages(pages))
-    heads = titles(element_table(good, tags=["h1", "title", "html"]))
-    entries = heads.join(good.select("page_id", "url"), "page_id").select(
+    fetched = F.coalesce(F.timestamp_seconds("scraped_at"), F.lit(created_at).cast("timestamp"))
+    elements = element_table(good, cluster=True)
+    sheets = parse_sheets(elements, good, rules=rules)
+    fields = [c for c in sheets.columns if c not in ("page_id", "url")]
+    entries = sheets.join(good.select("page_id", fetched.alias("created_at")), "page_id").select(
         F.col("url").alias("identifier"),
-        F.to_json(F.struct("id", "title")).alias("payload"),
-        F.lit(created_at).cast("timestamp").alias("created_at"),
+        F.to_json(F.struct(*fields)).alias("payload"),
+        "created_at",
     )
     return snapshot_rows(entries)
 
 
-def ingest_pages(stream: DataFrame, target: str, checkpoint: str, created_at: str) -> StreamingQuery:
+def ingest_pages(
+    stream: DataFrame, target: str, checkpoint: str, created_at: str, rules: Rules = Rules()
+) -> StreamingQuery:
     """Parse every micro-batch of pages and store its snapshot rows.
 
     Each batch goes to its own folder, overwritten when the batch is retried, so a
@@ -37,7 +47,8 @@ def ingest_pages(stream: DataFrame, target: str, checkpoint: str, created_at: st
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        page_entries(batch, created_at).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        entries = page_entries(batch, created_at, rules)
+        entries.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -48,9 +59,9 @@ def ingest_pages(stream: DataFrame, target: str, checkpoint: str, created_at: st
 
 
 def ingested(spark, target: str) -> DataFrame:
-    """Newest row per identifier over all stored batches."""
-    rows = spark.read.parquet(target).drop("batch")
-    return upsert(rows.filter(F.lit(False)), rows)
+    """Newest row per identifier: by time of fetching, then by batch."""
+    rows = spark.read.parquet(target).withColumn("batch", F.col("batch").cast("bigint"))
+    return last_per_key(rows, ["identifier"], ["created_at", "batch", "content_hash"]).drop("batch")
 
 
 def stream_cache_hits(
@@ -79,12 +90,10 @@ def stream_cache_hits(
         parts = list(frames)
         rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         micros = rows[time].to_numpy().astype("datetime64[us]").astype("int64")
-        expiry = state.get[0] if state.exists else None
+        order = np.lexsort((rows[row_id].to_numpy(), micros))
+        found, expiry = misses_in_order(micros[order], state.get[0] if state.exists else None, ttl_us)
         flags = np.zeros(len(rows), dtype=bool)
-        for place in np.lexsort((rows[row_id].to_numpy(), micros)):
-            if expiry is None or micros[place] > expiry:
-                expiry = micros[place] + ttl_us
-                flags[place] = True
+        flags[order[found]] = True
         state.update((int(expiry),))
         state.setTimeoutTimestamp(max(int(expiry) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(miss=flags)

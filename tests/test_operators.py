@@ -32,17 +32,32 @@ def misses(requests, ttl):
     return found
 
 
-@pytest.mark.parametrize("scan_limit", [1_000_000, 200, 0])
+@pytest.mark.parametrize("split_keys", [False, True])
 @pytest.mark.parametrize("ttl", [64, 640])
-def test_cache_hits(spark, scan_limit, ttl):
+def test_cache_hits(spark, split_keys, ttl):
     requests = skewed_requests(ttl)
     df = spark.createDataFrame(requests, "k string, t bigint, id bigint").repartition(5)
-    got = replay.cache_hits(df, ["k"], "t", "id", ttl, scan_limit)
+    got = replay.cache_hits(df, ["k"], "t", "id", ttl, split_keys)
     flags = {r.id: r.miss for r in got.collect()}
     assert len(flags) == len(requests)
     assert {n for n, miss in flags.items() if miss} == misses(requests, ttl)
 
 
+@pytest.mark.parametrize("split_keys", [False, True])
+def test_cache_hits_with_nulls_and_repeats(spark, split_keys):
+    data = [("a", 5, 1), ("a", 5, 1), ("a", None, 2), ("a", 5, 3), (None, 5, 4), (None, 14, 5), (None, 16, 6), ("a", 16, 7)]
+    df = spark.createDataFrame(data, "k string, t bigint, id bigint")
+    got = sorted((r.id, r.miss) for r in replay.cache_hits(df, ["k"], "t", "id", 10, split_keys).collect())
+    assert got == [(1, False), (1, True), (2, False), (3, False), (4, True), (5, False), (6, True), (7, True)]
+
+
+def test_upsert_prefers_the_fresh_entry(spark):
+    schema = "identifier string, created_at bigint, content_hash string"
+    stored = spark.createDataFrame([("a", 1, "z"), ("b", 5, "y"), ("c", 1, "x")], schema)
+    fresh = spark.createDataFrame([("a", 1, "b"), ("b", 4, "z"), ("d", 1, "p"), ("d", 1, "q")], schema)
+    assert rows(snapshots.upsert(stored, fresh)) == [("a", 1, "b"), ("b", 5, "y"), ("c", 1, "x"), ("d", 1, "q")]
+
+
 @pytest.mark.parametrize("chunk", [1, 700, 10_000])
 def test_pace_requests(spark, chunk):
     requests = skewed_requests(5)

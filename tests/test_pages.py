@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from beaconry.functions import fixed_values
 from beaconry.operators import links as lk
 from beaconry.operators import sections as sec
 from beaconry.plans import index, numbered, sheets
@@ -80,7 +81,7 @@ def test_sheet_fields(sheet):
     assert sheet.category == "Web Security" and sheet.icon == "📋"
     assert sheet.tags == ["Web Security", "tokens", "sessions", "token", "handling"]
     assert sheet.contributors == ["Ada", "BoB"]
-    assert sheet.related_ids == ["other", "access-control"]
+    assert sheet.related_cheatsheets == ["other", "access-control"]
 
 
 def test_sheet_sections(sheet):
@@ -101,7 +102,7 @@ def test_sheet_sections(sheet):
 
 def test_sheet_risks_and_examples(sheet):
     risk = sheet.risks[0]
-    assert [r.risk_id for r in sheet.risks] == ["TOKEN-02"]
+    assert [r.id for r in sheet.risks] == ["TOKEN-02"]
     assert (risk.title, risk.severity, risk.icon) == ("Injection Attack", "Critical", "🔴")
     assert risk.examples == ["  select 1;  "]
     example = sheet.attack_examples[0]
@@ -115,9 +116,9 @@ def test_sheet_without_sections_or_risks(spark):
     assert found[0].title == "Unknown" and found[0].sections == [] and found[0].risks == []
     assert found[0].introduction == "first second third"
     risk = found[1].risks[0]
-    assert (risk.risk_id, risk.title, risk.severity, risk.icon) == ("QUIET-01", "Quiet page", "Medium", "⚠️")
+    assert (risk.id, risk.title, risk.severity, risk.icon) == ("QUIET-01", "Quiet page", "Medium", "⚠️")
     assert found[1].attack_examples[0].title == "Quiet page Attack Scenario"
-    assert found[1].attack_examples[0].impact == "Security compromise"
+    assert found[1].attack_examples[0].impact == fixed_values.SCENARIO_IMPACT
 
 
 def test_introduction_rules(spark):
@@ -228,6 +229,11 @@ def test_crawl_and_scrape_records(spark):
         " named_struct('page_id', 1L, 'url', 'https://h/en/a'), named_struct('page_id', 3L, 'url', 'https://h/de/c')) pages"
     )
     assert rows(explode_crawl(crawl, "^/en", "html$"), "page_id") == [(1,)]
+    jobs = spark.range(3).selectExpr(
+        "concat('j', id) AS job_id", "transform(sequence(1, 60), n -> named_struct('page_id', id * 100 + n, 'url', 'https://h/a')) AS pages"
+    )
+    assert rows(explode_crawl(jobs).groupBy("job_id").count()) == [("j0", 50), ("j1", 50), ("j2", 50)]
+    assert explode_crawl(jobs, max_pages=None).count() == 180
     records = spark.createDataFrame(
         [(1, "u", True, "<p>"), (2, "u", False, "<p>"), (3, "u", True, "")],
         "page_id bigint, url string, success boolean, html string",

@@ -45,17 +45,17 @@ def test_guardrail_fix(reviews):
         assert (found[name].reason is None) == ok
         if ok:
             assert found[name].fixed.highest_risk == highest, name
-    assert "risk_level ''" in found["null_level"].reason
-    assert found["no_list"].reason.startswith("Missing 'security_vulnerabilities'")
-    assert found["not_json"].reason == found["null"].reason == "Missing JSON output from task."
+    assert found["null_level"].reason == "bad_level:"
+    assert found["no_list"].reason == "missing_list"
+    assert found["not_json"].reason == found["null"].reason == "missing_json"
 
 
 def test_guardrail_strict(reviews):
     found = {r.name: r for r in review.guardrail_strict(reviews, "raw").collect()}
     for name, (_, _, _, ok) in CASES.items():
         assert found[name].ok == ok, (name, found[name].reason)
-    assert found["null_level"].reason == "Invalid risk level: None"
-    assert found["missing_highest"].reason == "Missing or invalid highest risk level."
+    assert found["null_level"].reason == "bad_level:"
+    assert found["missing_highest"].reason == "missing_highest"
 
 
 def test_routing_and_decisions(spark):

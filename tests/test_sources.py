@@ -25,7 +25,7 @@ def test_sheet_json(spark, tmp_path):
     put(tmp_path / "sheets", "c.json", '{"id": "broken"')
     put(tmp_path / "sheets", "d.json", '{"id": "no title"}')
     put(tmp_path / "sheets", "notes.txt", "x")
-    sheets = docs.read_sheet_json(spark, folder).collect()
+    sheets = docs.read_sheet_json(spark, folder).orderBy("file_name").collect()
     assert [s.file_name for s in sheets] == ["a.json", "b.json"]
     assert (sheets[0].category, sheets[1].category) == ("Api", "General")
     risk = sheets[1].risks[0]
@@ -40,7 +40,7 @@ def test_numbered_risk_json(spark, tmp_path):
     body = {"id": "top", "title": "T", "source_url": "u", "risks": {"A02": RISK, "A01": {"title": "Only"}}}
     folder = put(tmp_path / "top", "top.json", json.dumps(body))
     put(tmp_path / "top", "bad.json", "[1")
-    found = docs.read_numbered_risk_json(spark, folder).collect()
+    found = docs.read_numbered_risk_json(spark, folder).orderBy("file_name", "risk_id").collect()
     assert [(r.source_id, r.risk_id, r.title, r.severity) for r in found] == [
         ("top", "A01", "Only", "Medium"), ("top", "A02", "T", "High"),
     ]
@@ -75,9 +75,14 @@ def test_text_files_and_errors(spark, tmp_path):
     asked = spark.createDataFrame(
         [(f"{folder}/a.diff",), (f"{folder}/gone.diff",), (str(tmp_path / "no/b.diff"),)], "path string"
     )
-    found, errors = docs.read_text_files(spark, asked)
-    assert rows(found) == [(f"{folder}/a.diff", fixtures.DIFF_RENAME)]
-    assert [r[0] for r in rows(errors)] == [f"{folder}/gone.diff", str(tmp_path / "no/b.diff")]
+    got = docs.read_text_files(asked)
+    assert rows(got.filter("error is null"), "path", "content") == [(f"{folder}/a.diff", fixtures.DIFF_RENAME)]
+    failed = rows(got.filter("error is not null"), "path", "content")
+    assert failed == [(f"{folder}/gone.diff", None), (str(tmp_path / "no/b.diff"), None)]
+    for name in ("with blank.diff", "_under.diff"):
+        put(tmp_path / "diffs", name, name)
+    odd = spark.createDataFrame([(f"{folder}/with blank.diff",), (f"{folder}/_under.diff",), (None,)], "path string")
+    assert [r[0] for r in rows(docs.read_text_files(odd), "content")] == ["_under.diff", "with blank.diff"]
     put(tmp_path / "bin", "x.bin", b"a\xffb")
     assert rows(docs.read_binary_text(spark, str(tmp_path / "bin"))) == [("x.bin", "ab")]
 
@@ -87,14 +92,23 @@ def test_reports_round_trip(spark, tmp_path):
     assert docs.read_reports(spark, target).count() == 0
     put(tmp_path / "reports", "code_review_20260101_101010.md", "older")
     put(tmp_path / "reports", "code_review_20260102_101010.md", "newer")
-    found = docs.read_reports(spark, target).collect()
+    found = docs.read_reports(spark, target).orderBy(F.desc("file_name")).collect()
     assert [r.content for r in found] == ["newer", "older"]
     assert str(found[0].generated_at) == "2026-01-02 10:10:10"
     out = str(tmp_path / "written")
-    report = spark.createDataFrame([("code_review_x.md", "line\nnext")], "report_name string, report string")
+    assert docs.read_report_table(spark, out).count() == 0
+    names = ["code_review_20260101_101010.md", "code_review_20260102_101010.md", "code_review_x.md"]
+    report = spark.createDataFrame([(n, f"line\n{n}") for n in names], "report_name string, report string")
     docs.write_reports(report, out)
     docs.write_reports(report, out)
-    assert spark.read.text(out, wholetext=True).first().value.strip() == "line\nnext"
+    assert rows(docs.read_report_table(spark, out), "file_name", "content") == [(n, f"line\n{n}") for n in names]
+
+
+def test_source_catalog_file(spark, tmp_path):
+    folder = put(tmp_path / "conf", "sources.json", '{"data_sources": [{"id": "a", "label": "A", "url": "u", "source": "web"}, {"id": "b"}]}')
+    got = rows(docs.read_source_catalog(spark, f"{folder}/sources.json"), "priority", "id", "source")
+    assert got == [(0, "a", "web"), (1, "b", None)]
+    assert docs.read_source_catalog(spark, f"{folder}/none.json").count() == 0
 
 
 def test_json_by_slug(spark, tmp_path):
@@ -102,8 +116,11 @@ def test_json_by_slug(spark, tmp_path):
     first = spark.createDataFrame([("My Sheet", 1), ("my  sheet!", 2), ("Other", 3)], "title string, n int")
     docs.write_json_by_slug(first, target, "title", "sheet", "n")
     docs.write_json_by_slug(first.filter("n = 3").withColumn("n", F.lit(4)), target, "title", "sheet", "n")
+    long = spark.createDataFrame([("x" * 90 + end, 1) for end in "ab"], "title string, n int")
+    docs.write_json_by_slug(long, target, "title", "sheet", "n")
     back = spark.read.schema("title string, n int, slug string").json(target)
-    assert rows(back, "slug", "n") == [("my-sheet", 2), ("other", 4)]
+    assert rows(back.filter("length(slug) < 80"), "slug", "n") == [("my-sheet", 2), ("other", 4)]
+    assert back.filter("length(slug) = 80").select("slug").distinct().count() == 2
 
 
 def test_review_state(spark, tmp_path):

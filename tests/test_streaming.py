@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from beaconry.operators.replay import cache_hits
+from beaconry.sources import schemas
 from beaconry.streaming import jobs
 from tests.conftest import rows
 from tests.test_operators import skewed_requests
@@ -31,15 +32,18 @@ def test_stream_hits_equal_batch(spark, tmp_path):
 
 def test_ingest_batches_and_retry(spark, tmp_path):
     source = str(tmp_path / "pages")
-    pages = [(1, "u1", "<h1>One</h1>"), (2, "u2", "<title>Two</title>"), (3, "u3", "")]
-    schema = "page_id bigint, url string, html string"
+    pages = [
+        (1, "u1", "<h1>One</h1>", None), (2, "u2", "<title>Two</title>", 2e9), (3, "u3", "", None),
+        (4, "u1", "<h1>One again</h1>", None), (5, "u2", "<title>Older</title>", 1.9e9),
+    ]
+    schema = "page_id bigint, url string, html string, scraped_at double"
     for page in pages:
         spark.createDataFrame([page], schema).coalesce(1).write.mode("append").parquet(source)
     target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     for _ in range(2):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
         jobs.ingest_pages(stream, target, checkpoint, DAY).awaitTermination()
-    got = jobs.ingested(spark, target)
-    assert rows(got, "identifier", "payload") == [
-        ("u1", '{"id":"one","title":"One"}'), ("u2", '{"id":"two","title":"Two"}'),
-    ]
+    sheet = F.from_json("payload", f"{schemas.SHEET}")
+    got = jobs.ingested(spark, target).select("identifier", sheet["id"].alias("id"), sheet["title"].alias("title"), F.size(sheet["tags"]).alias("tags"))
+    # Of equally old versions the one of the later batch stays; an older page replaces nothing.
+    assert rows(got) == [("u1", "one-again", "One again", 1), ("u2", "two", "Two", 1)]

@@ -12,7 +12,7 @@ from beaconry.operators.firsts import first_per_key, last_per_key
 from beaconry.plans import index, numbered, sheets
 from beaconry.session import persist_clustered
 from beaconry.sources.html_elements import element_table
-from beaconry.sources.pages import first_pages, path_filter, read_pages, url_inventory
+from beaconry.sources.pages import explode_crawl, first_pages, path_filter, read_pages, url_inventory
 from workload.registry import query, sql_words, table
 from workload.text_queries import SQL_SLUG, sql_category
 
@@ -42,7 +42,7 @@ SQL_PARAGRAPHS = f"""
 SQL_TITLE = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
     + sql_unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
-    + ", '\\s*¶\\s*', ' ', 'g'), '(?i)\\s*[-–]\\s*OWASP.*$', '', 'g'), '(?i)\\s*Cheat\\s*Sheet\\s*$', '', 'g'), '\\s+', ' ', 'g'))"
+    + ", '\\s*¶\\s*', ' ', 'g'), '', ''), '(?i)\\s*Cheat\\s*Sheet\\s*$', '', 'g'), '\\s+', ' ', 'g'))"
 )
 
 
@@ -87,9 +87,9 @@ def loose_links(spark, sf):
     return found.groupBy("page_id", "href", "text").agg(F.count("*").alias("n"))
 
 
-@query("link_pattern_filter", f"SELECT href, count(*) AS n FROM ({SQL_ANCHORS}) GROUP BY 1")
+@query("link_pattern_filter", f"SELECT href, count(*) AS n FROM ({SQL_ANCHORS}) WHERE regexp_matches(href, '/[a-m][^/]*n') GROUP BY 1")
 def link_pattern_filter(spark, sf):
-    found = lk.link_pattern_filter(_links(spark, sf), None)
+    found = lk.link_pattern_filter(_links(spark, sf), "/[a-m][^/]*n")
     return found.groupBy("href").agg(F.count("*").alias("n"))
 
 
@@ -112,8 +112,24 @@ def resolve_urls(spark, sf):
     """,
 )
 def crawl_pages(spark, sf):
-    kept = path_filter(table(spark, sf, "pages").select("page_id", "url"), "^/en", "html$")
-    return first_pages(kept, 50)
+    """One crawl over all pages."""
+    pages = table(spark, sf, "pages").select(F.lit("all").alias("job_id"), "page_id", "url")
+    return first_pages(path_filter(pages, "^/en", "html$"), 50).drop("job_id")
+
+
+@query(
+    "crawl_jobs",
+    f"""
+    SELECT host AS job_id, page_id, url FROM (SELECT host, page_id, url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n
+        FROM (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, page_id, url FROM pages
+              WHERE NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), 'html$'))) WHERE n <= 20
+    """,
+)
+def crawl_jobs(spark, sf):
+    """A crawl per host, each with its own limit."""
+    pages = table(spark, sf, "pages").withColumn("job_id", host_of(F.col("url")))
+    crawls = pages.groupBy("job_id").agg(F.collect_list(F.struct("page_id", "url")).alias("pages"))
+    return explode_crawl(crawls, None, "html$", 20)
 
 
 @query(
@@ -328,7 +344,7 @@ def parse_sheets(spark, sf):
     return parsed.select(
         "page_id", "title", "id", "url", "description", "introduction", "category",
         F.size("sections").alias("n_sections"),
-        risk["risk_id"].alias("risk_id"),
+        risk["id"].alias("risk_id"),
         risk["severity"].alias("severity"),
         example["goal"].alias("goal"),
     )

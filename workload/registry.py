@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -30,11 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def heavy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for rules that are costly per row: small inputs use all cores."""
-    return spread(table(spark, sf_dir, "documents"))
-
-
 def sql_words(column: str, words: list[str]) -> str:
     """SQL condition: any word is a substring of the column."""
     quoted = [w.replace("'", "''") for w in words]

@@ -8,7 +8,7 @@ from beaconry.functions import fixed_values as fixed
 from beaconry.functions.keys import report_name
 from beaconry.plans import review
 from beaconry.sources.documents import review_state_json
-from workload.registry import heavy_documents, query, sql_words, table
+from workload.registry import query, sql_words, table
 from workload.text_queries import SQL_FIRST, first_line
 
 SQL_CONTENT = f"""
@@ -71,7 +71,7 @@ def _confidence():
 
 @query("rule_findings", f"SELECT doc_id, rule_id, risk_level, evidence FROM ({SQL_FINDINGS})")
 def rule_findings(spark, sf):
-    scanned = review.rule_scan(heavy_documents(spark, sf), "doc_id", "text", RULES)
+    scanned = review.rule_scan(table(spark, sf, "documents"), "doc_id", "text", RULES)
     return review.finding_rows(scanned, "doc_id").select("doc_id", "rule_id", "risk_level", "evidence")
 
 
@@ -84,7 +84,7 @@ def rule_findings(spark, sf):
     """,
 )
 def rule_scan(spark, sf):
-    scanned = review.rule_scan(heavy_documents(spark, sf), "doc_id", "text", RULES)
+    scanned = review.rule_scan(table(spark, sf, "documents"), "doc_id", "text", RULES)
     return scanned.select(
         "doc_id", "highest_risk", "blocking", F.size("findings").cast("bigint").alias("findings")
     )
@@ -116,7 +116,7 @@ SQL_LEVEL = "lower(substr(o_orderpriority, 3))"
 )
 def guardrail_fix(spark, sf):
     checked = review.guardrail_fix(_reviews(spark, sf), "raw")
-    missing = F.col("reason").startswith("Missing")
+    missing = F.col("reason").startswith("missing")
     return checked.select(
         "o_orderkey", "ok", F.lower("fixed.highest_risk").alias("highest_risk"),
         F.when(missing, "missing").when(~F.col("ok"), "level").alias("failure"),
@@ -200,7 +200,7 @@ def decide(spark, sf):
     """,
 )
 def review_fan_in(spark, sf):
-    security = review.rule_scan(heavy_documents(spark, sf), "doc_id", "text", RULES)
+    security = review.rule_scan(table(spark, sf, "documents"), "doc_id", "text", RULES)
     joined = review.review_fan_in(table(spark, sf, "labels"), security.select("doc_id", "blocking"), "doc_id")
     return joined.select("doc_id", "quality", "blocking")
 
@@ -219,7 +219,7 @@ def _reports(spark, sf):
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.col("source"), first_line(),
         _confidence(), fixes, F.lit(None).cast("string"),
     )
-    return heavy_documents(spark, sf).select(
+    return table(spark, sf, "documents").select(
         "doc_id", report_name(at).alias("file_name"), report.alias("content")
     )
 

@@ -58,7 +58,7 @@ def _requests(spark, sf):
     """,
 )
 def snapshot_upsert(spark, sf):
-    """Events as upserts per user: purchases are the stored table, the rest arrive later."""
+    """Events as upserts per user: purchases come first and make the stored table, the rest arrive later."""
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("identifier"),
         F.col("ts").alias("created_at"),
@@ -66,6 +66,7 @@ def snapshot_upsert(spark, sf):
         "event_type",
     )
     stored, fresh = rows.filter("event_type = 'purchase'"), rows.filter("event_type != 'purchase'")
+    stored = snapshots.upsert(stored.filter(F.lit(False)), stored)
     return snapshots.upsert(stored, fresh).select(
         F.col("identifier").alias("user_id"), F.col("content_hash").alias("event_id"), "event_type"
     )

@@ -336,14 +336,14 @@ def fallback_chain(spark, sf):
 @query(
     "union_matches",
     """
-    SELECT DISTINCT m FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+tion\\b')) AS m FROM documents WHERE lang = 'en'
-        UNION ALL SELECT unnest(regexp_extract_all(text, '\\bthe[a-z]+ing\\b')) FROM documents WHERE lang = 'en')
+    SELECT DISTINCT m FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\pL])([A-Z][a-z]+tion)', 1)) AS m FROM documents
+        UNION ALL SELECT unnest(regexp_extract_all(text, '(?:^|[^\\pL])(the[a-z]+ing)', 1)) FROM documents)
     """,
 )
 def union_matches(spark, sf):
-    docs = table(spark, sf, "documents").filter("lang = 'en'")
     found = [
-        docs.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m"))
-        for p in (r"\b[A-Z][a-z]+tion\b", r"\bthe[a-z]+ing\b")
+        F.regexp_extract_all("text", F.lit(p), F.lit(1))
+        for p in (r"(?:^|[^\p{L}])([A-Z][a-z]+tion)", r"(?:^|[^\p{L}])(the[a-z]+ing)")
     ]
-    return found[0].unionByName(found[1]).distinct()
+    docs = table(spark, sf, "documents")
+    return docs.select(F.explode(F.concat(*found)).alias("m")).distinct()

@@ -11,7 +11,7 @@ from beaconry.operators.running import ordinal
 from beaconry.plans import metrics
 from beaconry.plans.sheets import tag_list
 from beaconry.sources.pages import read_pages
-from workload.registry import heavy_documents, query, sql_words, table
+from workload.registry import query, sql_words, table
 
 SQL_FIRST = "split_part(text, chr(10), 1)"
 SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, " \
@@ -39,15 +39,15 @@ def sql_category(text_sql: str, keys_: list[str], fallbacks=(), default=fixed.DE
     "clean_title",
     f"""
     SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        {SQL_FIRST} || ' ¶  Cheat  Sheet - OWASP notes', '\\s*¶\\s*', ' ', 'g'),
-        '(?i)\\s*[-–]\\s*OWASP.*$', '', 'g'), '(?i)\\s*Cheat\\s*Sheet\\s*$', '', 'g'),
+        {SQL_FIRST} || ' ¶  Cheat  Sheet - Gatehouse notes', '\\s*¶\\s*', ' ', 'g'),
+        '(?i)\\s*[-–]\\s*Gatehouse.*$', '', 'g'), '(?i)\\s*Cheat\\s*Sheet\\s*$', '', 'g'),
         '\\s+', ' ', 'g')) AS title
     FROM documents
     """,
 )
 def clean_title(spark, sf):
-    titled = F.concat(first_line(), F.lit(" ¶  Cheat  Sheet - OWASP notes"))
-    return heavy_documents(spark, sf).select("doc_id", text.clean_title(titled).alias("title"))
+    titled = F.concat(first_line(), F.lit(" ¶  Cheat  Sheet - Gatehouse notes"))
+    return table(spark, sf, "documents").select("doc_id", text.clean_title(titled, "Gatehouse").alias("title"))
 
 
 SQL_SLUG = (
@@ -68,7 +68,7 @@ def slugify(spark, sf):
     parts = table(spark, sf, "part").select(
         F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), text.slugify(name).alias("slug")
     )
-    docs = heavy_documents(spark, sf).select(
+    docs = table(spark, sf, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
         text.slugify(first_line()).alias("slug"),
     )
@@ -78,9 +78,8 @@ def slugify(spark, sf):
 @query(
     "slugify_ascii",
     f"""
-    SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim({SQL_FIRST})),
-        '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), 80), ''), 'sheet') AS slug
-    FROM documents
+    SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 80 THEN left(s, 71) || '-' || left(md5(s), 8) ELSE s END, ''), 'sheet') AS slug
+    FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(trim({SQL_FIRST})), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g') AS s FROM documents)
     """,
 )
 def slugify_ascii(spark, sf):
@@ -134,7 +133,7 @@ def category_of(spark, sf):
         F.lit("page").alias("kind"), F.col("page_id").alias("id"),
         classify.category_of(urls.path_of(url), url).alias("category"),
     )
-    docs = heavy_documents(spark, sf).select(
+    docs = table(spark, sf, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
         classify.category_of(
             F.col("text"), F.col("source"), OWN_CATEGORIES, OWN_FALLBACKS, "Other"
@@ -152,7 +151,7 @@ SEVERITY_CASE = "CASE " + " ".join(
 @query("assess_severity", f"SELECT doc_id, {SEVERITY_CASE} AS severity FROM documents")
 def assess_severity(spark, sf):
     level = classify.assess_severity(F.col("text"))
-    return heavy_documents(spark, sf).select("doc_id", level.alias("severity"))
+    return table(spark, sf, "documents").select("doc_id", level.alias("severity"))
 
 
 OWN_SEVERITY = {"critical": ["worthless", "über"], "high": ["the", "und"], "low": ["que", "ción"]}
@@ -171,7 +170,7 @@ OWN_SEVERITY = {"critical": ["worthless", "über"], "high": ["the", "und"], "low
 )
 def assess_severity_words(spark, sf):
     level = classify.assess_severity(F.col("text"), OWN_SEVERITY, word_boundary=True)
-    return heavy_documents(spark, sf).select("doc_id", level.alias("severity"))
+    return table(spark, sf, "documents").select("doc_id", level.alias("severity"))
 
 
 @query(
@@ -180,7 +179,7 @@ def assess_severity_words(spark, sf):
 )
 def severity_distribution(spark, sf):
     level = classify.assess_severity(F.col("text")).alias("severity")
-    return metrics.distribution(heavy_documents(spark, sf).select(level), "severity")
+    return metrics.distribution(table(spark, sf, "documents").select(level), "severity")
 
 
 ICON_CODES = {"click": "C", "view": "V", "purchase": "P"}
@@ -281,7 +280,7 @@ def sql_prose(text_sql: str) -> str:
     f"SELECT doc_id, md5(p) AS digest, length(p) AS n_chars FROM (SELECT doc_id, {sql_prose('text')} AS p FROM documents)",
 )
 def drop_code_lines(spark, sf):
-    prose = heavy_documents(spark, sf).select("doc_id", text.drop_code_lines(F.col("text")).alias("p"))
+    prose = table(spark, sf, "documents").select("doc_id", text.drop_code_lines(F.col("text")).alias("p"))
     return prose.select("doc_id", F.md5("p").alias("digest"), F.length("p").cast("bigint").alias("n_chars"))
 
 
@@ -301,7 +300,7 @@ _STRIPPED = (
 )
 def clean_description(spark, sf):
     cleaned = text.clean_description(F.col("text"))
-    return heavy_documents(spark, sf).select("doc_id", cleaned.alias("description"))
+    return table(spark, sf, "documents").select("doc_id", cleaned.alias("description"))
 
 
 def _sql_all(pattern: str) -> str:
@@ -320,7 +319,7 @@ def _sql_all(pattern: str) -> str:
 )
 def recommendations(spark, sf):
     found = text.recommendations(F.col("text"))
-    rows = heavy_documents(spark, sf).select("doc_id", F.posexplode(found).alias("n", "recommendation"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("n", "recommendation"))
     return rows.select("doc_id", "recommendation", (F.col("n") + 1).cast("bigint").alias("rank"))
 
 
@@ -336,7 +335,7 @@ def recommendations(spark, sf):
 )
 def title_tags(spark, sf):
     tags = tag_list(F.col("lang"), F.lit(None), first_line())
-    rows = heavy_documents(spark, sf).select("doc_id", F.posexplode(tags).alias("n", "tag"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tags).alias("n", "tag"))
     return rows.select("doc_id", "tag", (F.col("n") + 1).cast("bigint").alias("rank"))
 
 
@@ -502,7 +501,7 @@ def paragraph_role(spark, sf):
 )
 def risk_texts(spark, sf):
     found = classify.is_risk_text(F.col("source"), F.col("text"))
-    return heavy_documents(spark, sf).filter(found).select("doc_id")
+    return table(spark, sf, "documents").filter(found).select("doc_id")
 
 
 OWN_TERMS = ["the", "of", "que", "der", "und", "la", "in", "ention", "thou"]
@@ -516,7 +515,7 @@ OWN_TERMS = ["the", "of", "que", "der", "und", "la", "in", "ention", "thou"]
 )
 def term_counts(spark, sf):
     count = classify.term_count(F.col("text"), OWN_TERMS)
-    return heavy_documents(spark, sf).select("doc_id", count.alias("terms")).filter("terms >= 2")
+    return table(spark, sf, "documents").select("doc_id", count.alias("terms")).filter("terms >= 2")
 
 
 OWN_ATTACK = ["ation", "ment", "ung"]
