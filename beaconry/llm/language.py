@@ -90,6 +90,16 @@ class Pieces:
         return out
 
 
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One per worker process and file."""
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
 def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sums over all cuts of each prefix: [row, bytes so far, language], scaled by ``PER_BYTE`` per byte.
 
@@ -120,7 +130,7 @@ def scaled(table: np.ndarray, pieces: Pieces) -> np.ndarray:
     return np.concatenate([(table * PER_BYTE**lengths).T, np.zeros((1, len(table)))])
 
 
-def by_length(words: list[bytes], most: int = 8_192):
+def by_length(words: list[bytes], most: int = 4_096):
     """(numbers, byte matrix) of words of one length after the other; every word gets a blank in front."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
@@ -134,10 +144,10 @@ def by_length(words: list[bytes], most: int = 8_192):
 
 class Scorer:
     def __init__(self, path: str, table: np.ndarray):
-        self.pieces = Pieces(path)
+        self.pieces = pieces_of(path)
         self.table = scaled(table, self.pieces)
         self.languages = len(table)
-        self.known = RecentMap(self._score, 150_000)
+        self.known = RecentMap(self._score, 60_000)
 
     def _score(self, words: list[bytes]) -> list[bytes]:
         out = np.zeros((len(words), self.languages), np.float32)
@@ -188,7 +198,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, sample_rows: int = SAMPL
     counted = materialise(counted, "words")
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(shares)
-    pieces = Pieces(vocabulary)
+    pieces = pieces_of(vocabulary)
     table = np.full((len(languages), pieces.count), 1 / pieces.count)
     for _ in range(rounds if languages else 0):
         sent = docs.sparkSession.sparkContext.broadcast((vocabulary, languages, table))
@@ -204,7 +214,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, sample_rows: int = SAMPL
 def _expect(sent):
     def expect(batches):
         path, languages, table = sent.value
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         number = {lang: i for i, lang in enumerate(languages)}
         factors = scaled(table, pieces)
         sums = np.zeros((len(languages), pieces.count + 1))
