@@ -20,7 +20,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from beaconry.llm.anchors import runs
 from beaconry.llm.common import materialise, slices
@@ -224,8 +223,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key, own = _keys("doc_id", text)
-    spans = repeated_spans(docs, length).withColumnsRenamed({"id": "_id", "hash": "_hash", "spans": "_spans"})
-    out = docs.join(spans, (key == F.col("_id")) & (own == F.col("_hash")), "left").withColumn("text", cut("text", "_spans"))
-    if isinstance(docs.schema["text"].dataType, T.StringType) and "n_chars" in docs.columns:
+    names = {"id": "__repeats_id", "hash": "__repeats_hash", "spans": "__repeats_spans"}
+    spans = repeated_spans(docs, length).withColumnsRenamed(names)
+    same = (key == F.col("__repeats_id")) & (own == F.col("__repeats_hash"))
+    out = docs.join(spans, same, "left").withColumn("text", cut(F.col("text").cast("string"), "__repeats_spans"))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.drop(*names.values())

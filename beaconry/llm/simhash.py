@@ -273,8 +273,9 @@ def one_of_each(docs: DataFrame, k: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` that remain when of each component one document stays: that with the smallest id,
     and among rows of that id the one with the smallest hash. All columns are kept."""
     found = near_duplicates(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("component_id").agg(F.min("text_hash").alias("keep_hash")).select(F.col("component_id").alias("keep_id"), "keep_hash")
+    keep = found.groupBy(F.col("component_id").alias("__keep_id")).agg(F.min("text_hash").alias("__keep_hash"))
+    own_id = F.col("doc_id").cast("long")
     own_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = Window.partitionBy("doc_id", own_hash).orderBy(F.lit(0))
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (own_hash == F.col("keep_hash")), "left_semi")
-    return kept.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").drop("_copy")
+    kept = docs.join(keep, own_id.eqNullSafe(F.col("__keep_id")) & (own_hash == F.col("__keep_hash")), "left_semi")
+    same = Window.partitionBy(own_id, own_hash).orderBy(F.lit(0))
+    return kept.withColumn("__copy", F.row_number().over(same)).filter("__copy = 1").drop("__copy")
