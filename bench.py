@@ -26,6 +26,7 @@ HEADLINE = [
     "snapshot_upsert", "snapshot_evict", "content_changes", "pace_requests", "cache_hits",
     "content_parts", "guardrail_fix", "render_report", "parse_reports",
     "stream_cache_hits", "stream_ingest",
+    "crawl_jobs", "detail_per_host", "report_table", "json_round_trip",
 ]
 
 
@@ -37,6 +38,16 @@ def run(spark, name: str, sf_dir: str) -> float:
     return took
 
 
+def growth(spark, timings: dict[str, float], sf_dir: str, small: str, count: int = 10) -> dict[str, float]:
+    """Time at ``sf_dir`` over time at the smaller scale, for the slowest queries."""
+    slowest = sorted(timings, key=timings.get, reverse=True)[:count]
+    before = {}
+    for name in slowest:
+        run(spark, name, small)
+        before[name] = run(spark, name, small)
+    return {name: round(timings[name] / before[name], 2) for name in slowest}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -55,6 +66,8 @@ def main() -> None:
     for name in names:
         run(spark, name, sf_dir)
         timings[name] = round(run(spark, name, sf_dir), 3)
+    small = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
+    ratios = growth(spark, timings, sf_dir, small) if os.path.isdir(small) else {}
     spark.stop()
     print(
         json.dumps(
@@ -63,6 +76,7 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "growth": ratios,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
         )

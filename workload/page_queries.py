@@ -281,7 +281,9 @@ def detail_per_host(spark, sf):
     """Pages enriched from one detail page per host: the many side joins a unique side."""
     pages = table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("host"))
     detail = last_per_key(pages, ["host"], ["page_id"]).withColumnRenamed("page_id", "detail_id")
-    heads = sheets.titles(element_table(_pages(spark, sf), tags=["h1", "title", "html"]))
+    # Only the chosen pages are parsed.
+    chosen = _pages(spark, sf).join(detail.select(F.col("detail_id").alias("page_id")), "page_id", "left_semi")
+    heads = sheets.titles(element_table(chosen, tags=["h1", "title", "html"]))
     named = detail.join(heads.select(F.col("page_id").alias("detail_id"), "title"), "detail_id")
     return pages.join(named, "host").select("page_id", "host", "detail_id", "title")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.keys import report_name
 from beaconry.plans import review
+from beaconry.session import scratch_path
+from beaconry.sources import documents
 from beaconry.sources.documents import review_state_json
 from workload.registry import query, sql_words, table
 from workload.text_queries import SQL_FIRST, first_line
@@ -278,3 +280,43 @@ def review_states(spark, sf):
         F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("users")
     )
     return review_state_json(states).select(F.col("id").cast("bigint").alias("conv_id"), "state")
+
+
+@query(
+    "report_table",
+    """
+    SELECT 'code_review_' || strftime(TIMESTAMP '2026-01-15' + conv_id * INTERVAL 1 SECOND, '%Y%m%d_%H%M%S') || '.md' AS file_name,
+        strftime(TIMESTAMP '2026-01-15' + conv_id * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS generated_at,
+        md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id
+    """,
+)
+def report_table(spark, sf):
+    """Reports written to the report table and read back; every report twice."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text"))).getField("text")
+    conversations = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    at = F.expr("timestamp'2026-01-15 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, conv_id)")
+    name = F.concat(F.lit("code_review_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".md"))
+    reports = conversations.select(name.alias("report_name"), F.array_join("turns", "\n").alias("report"))
+    target = scratch_path(spark, "reports")
+    for _ in range(2):
+        documents.write_reports(reports, target)
+    return documents.read_report_table(spark, target).select(
+        "file_name", F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"), F.md5("content").alias("digest")
+    )
+
+
+@query(
+    "json_round_trip",
+    "SELECT 'order-' || o_orderkey AS slug, o_orderkey, o_orderstatus FROM orders",
+)
+def json_round_trip(spark, sf):
+    """Records written by slug in two steps, the second replacing a third of the first, and read back."""
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("Order "), "o_orderkey").alias("title"), "o_orderkey", "o_orderstatus"
+    )
+    target = scratch_path(spark, "by-slug")
+    stale = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "?").otherwise(F.col("o_orderstatus")))
+    documents.write_json_by_slug(stale, target, "title", "order", "o_orderkey", 4)
+    documents.write_json_by_slug(orders.filter("o_orderkey % 3 = 0"), target, "title", "order", "o_orderkey", 4)
+    back = spark.read.schema("slug string, o_orderkey bigint, o_orderstatus string").json(target)
+    return back.select("slug", "o_orderkey", "o_orderstatus")

@@ -593,3 +593,29 @@ def read_all_pages(spark, sf):
 def index_order(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     return parts.orderBy(F.lower("p_name"), "p_partkey")
+
+
+SQL_TRIM = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+
+
+@query(
+    "meta_keywords",
+    f"""
+    SELECT doc_id, keyword, count(*) AS n FROM (SELECT doc_id, lower({SQL_TRIM.format("k")}) AS keyword
+        FROM (SELECT doc_id, unnest(string_split(text, ',')) AS k FROM documents)) WHERE keyword <> '' GROUP BY 1, 2
+    """,
+)
+def meta_keywords(spark, sf):
+    """Every text as the content of a keywords element."""
+    found = table(spark, sf, "documents").select(
+        "doc_id", F.explode(text.meta_keywords(F.col("text"))).alias("keyword")
+    )
+    return found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
+
+
+@query("decode_lossy", "SELECT doc_id, md5(text) AS digest, length(text) AS n_chars FROM documents")
+def decode_lossy(spark, sf):
+    """Texts from bytes with a byte in front that is no UTF-8."""
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))
+    decoded = table(spark, sf, "documents").select("doc_id", text.decode_lossy(raw).alias("t"))
+    return decoded.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n_chars"))
