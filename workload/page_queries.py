@@ -223,6 +223,22 @@ def build_index(spark, sf):
     return found.select("page_id", "id", "title", "url", "category")
 
 
+@query(
+    "languages_by_url",
+    f"""
+    SELECT page_id, '{BASE}/cheatsheets/P' || (page_id % 50) || '.html' AS url, 'Go' || (page_id % 7) || ', Java' AS languages FROM pages
+    """,
+)
+def languages_by_url(spark, sf):
+    """Pages whose article names two languages as images beside a link, and has the link again without any."""
+    link = F.concat(F.lit("<p><a href='cheatsheets/P"), F.col("page_id") % 50, F.lit(".html'>P</a>"))
+    images = F.concat(F.lit("<img alt=' Go"), F.col("page_id") % 7, F.lit("'><img alt=''><img alt='Java'></p>"))
+    marked = F.concat(F.lit("<article>"), link, images, link, F.lit("</p>"))
+    pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<article>"), marked))
+    elements = element_table(pages, tags=["a", "img", "article", "main"])
+    return lk.languages_by_url(elements, F.lit(BASE))
+
+
 @query(
     "build_index_loose",
     f"""
