@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.llm import articles, decontamination, language, licenses, neighbours, packing, records, repeats, simhash, toxicity
 from beaconry.llm.common import scratch_path, table
+from beaconry.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Query) -> Query:

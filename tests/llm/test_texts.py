@@ -175,3 +175,14 @@ def test_walks_reach_the_recall_at_the_allowed_distance():
             for w in range(decontamination.WALKS) for p in [decontamination.sampled_positions(n, w)]
         ))
     assert np.mean(hits) > 0.97
+
+
+def test_articles_equal_their_sql_twin(spark):
+    import duckdb
+
+    from beaconry.llm.queries import ORACLES, QUERIES
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = sorted(duck.execute(ORACLES["op4_articles"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["op4_articles"](spark, SF).select("page_id", "url", "text", "n_chars").collect()) == want
