@@ -9,7 +9,7 @@ from beaconry.llm.common import RecentMap
 
 #: ASCII signs and blanks part words; letters, digits and every byte beyond ASCII make them.
 _BREAKS = bytes(b if b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for b in range(256))
-_HASHES = RecentMap(lambda words: [xxhash.xxh64_intdigest(w) or 1 for w in words])
+_HASHES = RecentMap(lambda words: [xxhash.xxh64_intdigest(w) or 1 for w in words], 100_000)
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
