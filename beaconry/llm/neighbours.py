@@ -30,6 +30,8 @@ RECALL = 0.97
 #: Rows of a list that one block holds at most, about.
 BLOCK_ROWS = 4_096
 GRAPH_LINKS = 16
+#: Queries whose best a task holds before it gives them.
+HELD_QUERIES = 100_000
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -241,10 +243,14 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
 
 def _meet(k: int):
-    """Score the queries of each block against its vectors; rows of a block come in a row, vectors first."""
+    """Score the queries of each block against its vectors; rows of a block come in a row, vectors first.
+
+    A task keeps the best of each query over all its blocks and gives them at its end, or earlier when it
+    has met ``HELD_QUERIES`` of them, so the rows grow with the queries and not with the lists they read.
+    """
 
     def meet(batches):
-        floor: dict[int, float] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         own, ids, vectors = None, [], []
         for batch in batches:
             lists, blocks, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -261,33 +267,45 @@ def _meet(k: int):
                     vectors.append(v[at])
                 elif ids:
                     for part in np.array_split(at, len(at) // 64 + 1):
-                        found = _best(np.concatenate(ids), np.concatenate(vectors), vec_id[part], v[part], floor, k)
-                        if found is not None:
-                            yield found
+                        _keep_best(np.concatenate(ids), np.concatenate(vectors), vec_id[part], v[part], held, k)
+            if len(held) > HELD_QUERIES:
+                yield from _given(held)
+                held = {}
+        yield from _given(held)
 
     return meet
 
 
-def _best(ids, vectors, asked, queries, floor: dict[int, float], k: int):
+def _keep_best(ids, vectors, asked, queries, held: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
     # One fixed order of additions per pair, so that equal vectors have equal scores in every block.
     score = np.einsum("ij,kj->ik", queries, vectors)
     score[asked[:, None] == ids[None, :]] = -np.inf
-    rows = []
     for q, own in zip(asked.tolist(), score):
-        keep = np.flatnonzero(own >= floor.get(q, -np.inf))
-        keep = keep[own[keep] > -np.inf]
-        if len(keep) > k:
-            keep = keep[np.lexsort((ids[keep], -own[keep]))[:k]]
-        if len(keep) == k:
-            floor[q] = max(floor.get(q, -np.inf), float(own[keep].min()))
-        rows.append((q, keep))
-    if len(floor) > 1_000_000:
-        floor.clear()
-    n = [len(x) for _, x in rows]
-    if not sum(n):
-        return None
-    at = np.concatenate([x for _, x in rows])
-    which = np.repeat(np.arange(len(rows)), n)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(score[which, at])], ["query_id", "vec_id", "score"]
-    )
+        before = held.get(q)
+        floor = before[1][-1] if before is not None and len(before[1]) == k else -np.inf
+        keep = np.flatnonzero((own >= floor) & (own > -np.inf))
+        if not len(keep):
+            continue
+        if len(keep) > 4 * k:
+            # Only what is at least as near as the k-th can matter; an id may stand in a list more than once.
+            keep = keep[np.lexsort((ids[keep], -own[keep]))]
+            keep = keep[np.sort(np.unique(ids[keep], return_index=True)[1])[:k]]
+        all_ids, all_scores = ids[keep], own[keep]
+        if before is not None:
+            all_ids, all_scores = np.concatenate([before[0], all_ids]), np.concatenate([before[1], all_scores])
+        order = np.lexsort((all_ids, -all_scores))
+        all_ids, all_scores = all_ids[order], all_scores[order]
+        first = np.sort(np.unique(all_ids, return_index=True)[1])[:k]
+        held[q] = (all_ids[first], all_scores[first])
+
+
+def _given(held: dict[int, tuple[np.ndarray, np.ndarray]]):
+    names = list(held)
+    for at in range(0, len(names), 4_096):
+        part = names[at : at + 4_096]
+        n = [len(held[q][0]) for q in part]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(part), n)), pa.array(np.concatenate([held[q][0] for q in part])),
+             pa.array(np.concatenate([held[q][1] for q in part]))],
+            ["query_id", "vec_id", "score"],
+        )
