@@ -2,7 +2,7 @@
 
 1. Texts are cut into runs of windows with a common anchor (see ``anchors``); only anchors that occur more than once
    can hold repeats. Runs with equal bytes are counted before anything else moves, so a passage that a third of
-   the corpus shares is one text with a weight.
+   the corpus shares is one text with a weight; where an anchor has no other run, all its windows are repeated.
 2. The bytes of each distinct run go to the shard of its anchor. A shard sorts the suffixes of its runs
    (see ``suffixes``); window starts whose neighbours share ``length`` bytes, with a weight of two or more
    together, are repeated.
@@ -27,7 +27,7 @@ from beaconry.llm.suffixes import suffix_order
 
 LENGTH = 200
 #: Bytes of text that a shard sorts at a time; one anchor's runs stay together and may be more.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_500_000
 #: Characters of the sorted text: its end, the end of a run, and the bytes.
 CHARS = 258
 
@@ -76,9 +76,10 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 def _repeated_starts(pieces: list[bytes], weights: list[int], length: int) -> list[list[tuple[int, int]]]:
     """Per run (its windows' bytes) the stretches of window starts that stand at least twice, by weight."""
     sizes = np.array([len(p) for p in pieces])
-    text = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int64) + 2, 1) for p in pieces] + [np.zeros(1, np.int64)])
+    # 16 bits per character: sorts of them are radix sorts.
+    text = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int16) + 2, 1) for p in pieces] + [np.zeros(1)]).astype(np.int16)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
     order, common = suffix_order(text, CHARS, length)
     whole = np.zeros(len(text), bool)
     whole[:-1] = np.arange(len(owner)) - begins[owner] <= (sizes - length)[owner]
@@ -129,10 +130,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, hash, spans) of every document with repeats; spans are [begin, end) in bytes, merged and in order."""
     counted = _runs(docs, length).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
     counted = materialise(counted, "runs")
-    often = counted.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total >= 2").select("anchor")
-    candidates = counted.join(often, "anchor", "left_semi")
+    often = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2")
+    candidates = counted.join(often.select("anchor", "kinds"), "anchor")
     places = materialise(_runs(docs, length).join(candidates, ["anchor", "content"]), "run-places")
-    one = places.groupBy("anchor", "content").agg(
+    # The only run of its anchor, standing at least twice, has nothing to be compared with.
+    alone, compared = places.filter("kinds = 1"), places.filter("kinds > 1")
+    one = compared.groupBy("anchor", "content").agg(
         F.first("n").alias("n"), F.min(F.struct("id", "hash", "begin", "windows")).alias("at")
     ).select("at.id", "at.hash", "anchor", "content", "n", F.col("at.begin").alias("begin"), F.col("at.windows").alias("windows"))
 
@@ -160,7 +163,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .mapInArrow(_sort_shards(length), STARTS_SCHEMA)
     )
     starts = materialise(starts, "repeated-starts")
-    spans = places.join(starts, ["anchor", "content"]).select(
+    found = compared.join(starts, ["anchor", "content"]).unionByName(
+        alone.withColumns({"first": F.lit(0), "last": F.col("windows") - 1})
+    )
+    spans = found.select(
         "id", "hash", F.struct((F.col("begin") + F.col("first")).alias("begin"), (F.col("begin") + F.col("last") + length).alias("end")).alias("span")
     )
     return spans.groupBy("id", "hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))

@@ -157,9 +157,11 @@ def suffix_order(text: np.ndarray, chars: int, depth: int, most_rows: int = 4_00
     """
     n = len(text)
     change = np.flatnonzero(text[:-1] != text[1:])
-    nxt = change[np.searchsorted(change, np.arange(n - 1))]
+    at = np.arange(n - 1, dtype=np.int32)
+    nxt = change.astype(np.int32)[np.searchsorted(change, at)]
     small = np.append(text[nxt] < text[nxt + 1], True)
-    run = np.append(nxt - np.arange(n - 1) + 1, 1)
+    run = np.append(nxt - at + 1, np.int32(1))
+    del change, at, nxt
     places = np.flatnonzero(small[1:] & ~small[:-1]) + 1
 
     first = places[np.argsort(text[places], kind="stable")]
@@ -167,12 +169,11 @@ def suffix_order(text: np.ndarray, chars: int, depth: int, most_rows: int = 4_00
     is_minimum = np.zeros(n, bool)
     is_minimum[places] = True
     ordered = order[is_minimum[order]]
+    del first, order, is_minimum
 
     sums, back = _hash_sums(text, chars)
     end = np.append(places[1:] + 1, n)
-    number = np.zeros(n, np.int64)
-    number[places] = np.arange(len(places))
-    which = number[ordered]
+    which = np.searchsorted(places, ordered)
     with np.errstate(over="ignore"):
         content = (sums[end[which]] - sums[ordered]) * back[ordered]
     new = (content[1:] != content[:-1]) | (np.diff((end - places)[which]) != 0)
@@ -193,4 +194,5 @@ def suffix_order(text: np.ndarray, chars: int, depth: int, most_rows: int = 4_00
             middle = (low + high + 1) // 2
             same = (sums[a + middle] - sums[a]) * back[a] == (sums[b + middle] - sums[b]) * back[b]
             low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+    del sums, back, name, high
     return _induce(text, small, run, chars, ordered, np.concatenate([[0], low]), most_rows)
