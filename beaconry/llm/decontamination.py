@@ -1,11 +1,8 @@
 """Documents that hold a benchmark item, verbatim or with up to a fifth of its words edited.
 
-Windows as long as an item are compared with it through CGK embeddings: a random walk over the words, which
-repeats or passes on each word by a coin of its own, turns a small edit distance into a small
-Hamming distance. Samples of positions of the embedding are the hash; enough independent walks are made
-that a window at the allowed distance agrees with the item at least once with probability ``RECALL``.
-Windows that agree are aligned exactly. Only windows around three words in a row that an item also has
-are embedded: k edits of n words leave (n - k) / (k + 1) words in a row, three at least, so no match is lost.
+An edit harms three triples of words in a row at most, so of the n - 2 triples of an item k edits leave n - 2 - 3 k,
+one at least, and all of them within k places of each other. Windows that hold so many of an item's triples
+at such places are aligned with it exactly, so no match is lost, however long the item is.
 """
 
 from __future__ import annotations
@@ -24,9 +21,9 @@ from beaconry.llm.words import hashed_words
 SIMILARITY = 0.8
 #: Items of fewer words are no evidence and never match.
 LEAST_WORDS = 6
+#: CGK walks and samples of their positions are a measure for short items only: the share of positions that an item
+#: and a window at the allowed distance have alike falls with the length (see README). The search does not use them.
 RECALL = 0.99
-#: Sampled positions of a walk, and the share of positions that an item and a window at the allowed distance
-#: still have alike (measured on random edits, see the tests).
 SAMPLED, ALIKE = 2, 0.5
 #: Characters of items that go to the tasks at once; more items are searched in blocks.
 BLOCK_CHARS = 20_000_000
@@ -99,11 +96,8 @@ class Matcher:
             if len(words) >= LEAST_WORDS:
                 self.items.append(Item(item_id, words))
         self.length = np.array([len(x.words) for x in self.items], np.int64)
-        self.places = np.array([[sampled_positions(n, w) for n in self.length] for w in range(WALKS)], np.int64)
-        ended = [np.append(x.words, np.uint64(0))[None] for x in self.items]
-        self.sampled = np.array(
-            [[walk(x, int(p[-1]) + 1, w)[0, p] for x, p in zip(ended, self.places[w])] for w in range(WALKS)], np.uint64
-        )
+        self.allowed = np.array([edits_allowed(n) for n in self.length.tolist()], np.int64)
+        self.needed = self.length - 2 - 3 * self.allowed
         seeds = [(self._triples(x.words), t) for t, x in enumerate(self.items)]
         triple = np.concatenate([s for s, _ in seeds]) if seeds else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(s), t) for s, t in seeds]) if seeds else np.zeros(0, np.int64)
@@ -118,7 +112,11 @@ class Matcher:
         return mix(mix(words[:-2], words[1:-1]), words[2:])
 
     def candidates(self, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, row, place of the window's first word), each once; a window may begin before its document."""
+        """(item, row, place of the window's first word), each once, of all windows with enough triples of the item.
+
+        A window's place is the first of its triples' (place in the text minus place in the item), and the triples
+        up to ``allowed`` places on are counted. It may begin before its document.
+        """
         if len(words) < 3 or not len(self.triple):
             return (np.zeros(0, np.int64),) * 3
         triple = self._triples(words)
@@ -128,8 +126,17 @@ class Matcher:
         n = high - low
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         at, item = np.repeat(hit, n), self.item[entry]
-        found = np.unique(np.stack([item, row[at], at - self.place[entry]], 1), axis=0)
-        return found[:, 0], found[:, 1], found[:, 2]
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 3
+        doc, first = row[at], at - self.place[entry]
+        order = np.lexsort((first, doc, item))
+        item, doc, first = item[order], doc[order], first[order]
+        group = np.cumsum(np.append(0, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))
+        line = group * (int(first.max() - first.min()) + int(self.allowed.max()) + 1) + first
+        new = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        held = np.searchsorted(line, line[new] + self.allowed[item[new]], "right") - new
+        new = new[held >= self.needed[item[new]]]
+        return item[new], doc[new], first[new]
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item_id, edits, item's words, first and last word of the stretch): the best of each row and item."""
@@ -139,8 +146,6 @@ class Matcher:
         best: dict[tuple[int, int], tuple] = {}
         if not len(found[0]):
             return []
-        alike = self._alike(words, begins, *found)
-        found = [x[alike] for x in found]
         cuts = np.flatnonzero(np.diff(found[0])) + 1
         for t, doc, first in zip(*(np.split(x, cuts) for x in found)):
             if not len(t):
@@ -157,21 +162,6 @@ class Matcher:
                     best[name] = min(best.get(name, value), value)
         return [(d, self.items[t].item_id, e, len(self.items[t].words), a, b) for (d, t), (e, a, b) in sorted(best.items())]
 
-    def _alike(self, words, begins, item, doc, first) -> np.ndarray:
-        """Which windows agree with their item in all sampled positions of some walk."""
-        alike = np.zeros(len(item), bool)
-        for at in range(0, len(item), 4096):
-            t, n = item[at : at + 4096], self.length[item[at : at + 4096]]
-            window = self._windows(words, begins, doc[at : at + 4096], first[at : at + 4096], n)
-            window = np.concatenate([window, np.zeros((len(t), 1), np.uint64)], 1)
-            for w in range(WALKS):
-                rest = np.flatnonzero(~alike[at : at + 4096])
-                if len(rest):
-                    places = self.places[w, t[rest]]
-                    got = np.take_along_axis(walk(window[rest], int(places.max()) + 1, w), places, 1)
-                    alike[at + rest[(got == self.sampled[w, t[rest]]).all(1)]] = True
-        return alike
-
     @staticmethod
     def _windows(words, begins, doc, first, width) -> np.ndarray:
         """Windows of ``width`` words each; 0 outside the document and behind a shorter window."""

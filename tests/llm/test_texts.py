@@ -177,6 +177,39 @@ def test_walks_reach_the_recall_at_the_allowed_distance():
     assert np.mean(hits) > 0.97
 
 
+def test_long_items_are_found_at_the_allowed_distance():
+    rng = np.random.default_rng(9)
+    for n in (150, 400, 1_000):
+        items = [[f"w{x}" for x in rng.integers(0, 5_000, n)] for _ in range(12)]
+        texts = []
+        for item in items:
+            about = [f"w{x}" for x in rng.integers(0, 5_000, 60)]
+            # Each place once, so that all allowed edits count.
+            at, other = set(rng.choice(n, decontamination.edits_allowed(n), replace=False).tolist()), []
+            for i, word in enumerate(item):
+                how = int(rng.integers(3)) if i in at else 3
+                other += [[f"new{i}"], [], [f"new{i}", word], [word]][how]
+            texts.append(" ".join(about[:30] + other + about[30:]))
+        found = decontamination.Matcher(list(range(12)), [" ".join(x) for x in items]).find(texts)
+        assert {(d, i) for d, i, *_ in found} == {(i, i) for i in range(12)}
+        assert all(e == edits(items[i], texts[i].split()) for _, i, e, *_ in found[:2])
+
+
+def test_search_gives_the_same_as_alignment_of_all_pairs():
+    rng = np.random.default_rng(10)
+    items = [[f"w{x}" for x in rng.integers(0, 12, rng.integers(6, 32))] for _ in range(30)]
+    texts = []
+    for n in range(60):
+        item = items[n % 30]
+        about = [f"w{x}" for x in rng.integers(0, 12, 20)]
+        texts.append([*about[:10], *changed(item, decontamination.edits_allowed(len(item)) + n // 30, rng), *about[10:]])
+    want = {(d, i): edits(x, t) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    found = decontamination.Matcher(list(range(30)), [" ".join(x) for x in items]).find([" ".join(t) for t in texts])
+    assert {(d, i): e for d, i, e, *_ in found} == {
+        (d, i): e for (d, i), e in want.items() if e <= decontamination.edits_allowed(len(items[i]))
+    }
+
+
 def test_articles_equal_their_sql_twin(spark):
     import duckdb
 
