@@ -101,28 +101,46 @@ class Scanner:
         return out
 
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, edits, begin, end) of the matches; of those that overlap, only the ones with fewest edits."""
-        places = defaultdict(list)
+        """(notice, edits, begin, end) of the matches, without blanks at their ends.
+
+        Each candidate place is searched for itself. A match goes only where a better one covers all of it, a
+        notice with the same label and no more edits does, or the same notice stands there with no more edits.
+        """
+        places = defaultdict(set)
         for end, (length, where) in self.seeds.iter(text):
             for number, at in where:
-                places[number].append(end - length + 1 - at)
-        out = []
+                places[number].add(end - length + 1 - at)
+        out = set()
         for number, begins in places.items():
             wanted = self.notices[number][0]
             k = edits_allowed(wanted)
-            stretches: list[list[int]] = []
-            for begin in sorted(set(begins)):
-                a, b = max(0, begin - k), min(len(text), begin + len(wanted) + k)
-                if stretches and a <= stretches[-1][1]:
-                    stretches[-1][1] = max(b, stretches[-1][1])
-                else:
-                    stretches.append([a, b])
-            for a, b in stretches:
-                for m in self.patterns[number].finditer(text, a, b):
-                    out.append((sum(m.fuzzy_counts), m.start(), m.end(), number))
+            for place in begins:
+                # Too short a stretch for two notices one behind the other, so the best match is that of this place.
+                m = self.patterns[number].search(text, max(0, place - k), min(len(text), place + len(wanted) + k))
+                if m:
+                    part = m.group()
+                    begin, end = m.start() + len(part) - len(part.lstrip()), m.end() - len(part) + len(part.rstrip())
+                    out.add((sum(m.fuzzy_counts), begin - end, begin, end, number))
+        # Only matches that overlap are compared: groups of them in the order of the text.
+        kept: list[tuple] = []
+        group: list[tuple] = []
+        reach = 0
+        for match in sorted(out, key=lambda m: m[2:]):
+            if match[2] >= reach:
+                kept += self._best(group)
+                group = []
+            group.append(match)
+            reach = max(reach, match[3])
+        return kept + self._best(group)
+
+    def _best(self, matches: list[tuple]) -> list[tuple[int, int, int, int]]:
         kept: list[tuple] = []
-        for edits, begin, end, number in sorted(out):
-            if not any(e < edits and a < end and begin < b for _, e, a, b in kept):
+        for edits, _, begin, end, number in sorted(matches):
+            label = self.notices[number][1]
+            if not any(
+                (a <= begin and end <= b and (e < edits or self.notices[n][1] == label)) or (n == number and a < end and begin < b)
+                for n, e, a, b in kept
+            ):
                 kept.append((number, edits, begin, end))
         return kept
 
@@ -134,8 +152,6 @@ class Scanner:
         notices = []
         for number, edits, begin, end in self.fuzzy(joined):
             wanted, label = self.notices[number]
-            part = joined[begin:end]
-            begin, end = begin + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
             first = joined.count(" ", 0, begin) - 1
             notices.append({
                 "label": label, "edits": edits, "similarity": 1 - edits / len(wanted),

@@ -68,6 +68,32 @@ def test_seeds_find_every_notice_with_allowed_edits():
             assert any(n == number for n, *_ in found) or min(e for _, e, *_ in found) < k + 1
 
 
+def test_every_notice_with_allowed_edits_has_its_own_label():
+    scanner, rng = licenses.Scanner(), np.random.default_rng(3)
+    for notice, label in licenses.NOTICES:
+        for k in range(licenses.edits_allowed(notice) + 1):
+            for _ in range(10):
+                text = list(notice)
+                for _ in range(k):
+                    at, how = int(rng.integers(len(text))), rng.integers(3)
+                    letter = chr(int(rng.integers(97, 123)))
+                    text[at : at + (how > 0)] = [] if how == 1 else [letter]
+                found = scanner.fuzzy(" some words " + "".join(text) + " and more ")
+                assert label in {licenses.NOTICES[n][1] for n, *_ in found}, (notice, "".join(text), found)
+
+
+def test_overlapping_and_adjoining_notices_are_all_kept():
+    scan = licenses.Scanner().scan
+    for text, want in (
+        ("creative commons attribution share alike", {("cc-by", 0, 0, 2), ("cc-by-sa", 1, 0, 4)}),
+        ("Creative Commons Attribution Non-Commercial", {("cc-by", 0, 0, 2), ("cc-by-nc", 1, 0, 4)}),
+        ("released under the mit lisence released under the mit license", {("mit", 2, 0, 4), ("mit", 0, 5, 9)}),
+        ("released under the mit license released under the mit lisence", {("mit", 0, 0, 4), ("mit", 2, 5, 9)}),
+        ("licensed under cc by sa 4 0", {("cc-by-sa", 0, 0, 6)}),
+    ):
+        assert {(n["label"], n["edits"], n["first_word"], n["last_word"]) for n in scan(text)[-1]} == want, text
+
+
 HEAD = "<!DOCTYPE html><html><head><title>T</title><script>var a='<p>no</p>';</script></head><body>"
 LONG = "Words of a longer paragraph, with commas, that says a few things about a subject, and goes on."
 PAGES = [
