@@ -5,7 +5,8 @@
    the corpus shares is one text with a weight; where an anchor has no other run, all its windows are repeated.
 2. The bytes of each distinct run go to the shard of its anchor. A shard sorts the suffixes of its runs
    (see ``suffixes``); window starts whose neighbours share ``length`` bytes, with a weight of two or more
-   together, are repeated.
+   together, are repeated. An anchor whose distinct runs are more than a shard may sort goes another way: all its
+   windows are counted by a hash of 128 bits, so no task holds it.
 3. Repeated starts return to all documents that have the run, become spans, and the spans are removed.
 
 All matching is on the input; documents are never joined, so no match crosses them.
@@ -18,21 +19,26 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.anchors import runs
+from beaconry.llm.anchors import GRAM, Hashes, runs
 from beaconry.llm.common import materialise, slices
 from beaconry.llm.suffixes import suffix_order
 
 LENGTH = 200
-#: Bytes of text that a shard sorts at a time; one anchor's runs stay together and may be more.
+#: Bytes of text that a shard sorts at a time. One anchor's runs stay together, so it may be twice as much; an anchor
+#: with more than this is not sorted.
 SORT_BYTES = 1_500_000
 #: Characters of the sorted text: its end, the end of a run, and the bytes.
 CHARS = 258
 
 RUNS_SCHEMA = "id long, hash long, begin int, windows int, anchor long, content long"
 STARTS_SCHEMA = "anchor long, content long, first int, last int"
+SIDES_SCHEMA = "anchor long, content long, n long, side int, a long, b long"
+WINDOWS_SCHEMA = "anchor long, content long, n long, first int, a long, b long"
+#: Runs whose windows are hashed at a time.
+HASHED_RUNS = 2_000
 
 
 def _keys(id_col: str, text: Column) -> tuple[Column, Column]:
@@ -126,19 +132,101 @@ def _sort_shards(length: int):
     return sort
 
 
+def _blocks(batches):
+    """(rows, their bytes, sizes, begins, place of the anchor in each) of a bounded number of runs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HASHED_RUNS):
+            part = batch.slice(at, HASHED_RUNS)
+            pieces = part.column(3).to_pylist()
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            begins = np.cumsum(sizes) - sizes
+            text = np.frombuffer(b"".join(pieces), np.uint8)
+            places = np.arange(len(text) - GRAM + 1)
+            with np.errstate(over="ignore"):
+                gram = Hashes(text, 0).of(places, places + GRAM).view(np.int64)
+            # A run's first window has the leftmost of equal anchors, and the others share it.
+            hit = np.flatnonzero(gram == np.repeat(part.column(0).to_numpy(), sizes)[: len(gram)])
+            yield part, text, sizes, begins, hit[np.searchsorted(hit, begins)] - begins
+
+
+def _side_hashes(length: int):
+    """The anchor with half of a window's other bytes before it (side 0) and behind it (side 1), if the run has them.
+
+    A window holds the one or the other, so it can only be repeated if that stands twice.
+    """
+    half = (length - GRAM) // 2
+
+    def apply(batches):
+        for part, text, sizes, begins, place in _blocks(batches):
+            for side in (0, 1):
+                row = np.flatnonzero(place >= half if side == 0 else place + GRAM + half <= sizes)
+                begin = begins[row] + place[row] - (half if side == 0 else 0)
+                with np.errstate(over="ignore"):
+                    a, b = (Hashes(text, i).of(begin, begin + half + GRAM).view(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i).take(pa.array(row)) for i in range(3)), pa.array(np.full(len(row), side), pa.int32()), pa.array(a), pa.array(b)],
+                    ["anchor", "content", "n", "side", "a", "b"],
+                )
+
+    return apply
+
+
+def _window_hashes(length: int):
+    """The windows of each run that hold a side that stands twice, with two hashes of their bytes."""
+    half = (length - GRAM) // 2
+
+    def apply(batches):
+        for part, text, sizes, begins, place in _blocks(batches):
+            windows = sizes - length + 1
+            row = np.repeat(np.arange(len(sizes)), windows)
+            first = np.arange(len(row)) - (np.cumsum(windows) - windows)[row]
+            before = place[row] - first
+            left, right = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (4, 5))
+            asked = np.where(before >= half, left, False) | np.where(length - GRAM - before >= half, right, False)
+            row, first = row[asked], first[asked]
+            begin = begins[row] + first
+            with np.errstate(over="ignore"):
+                a, b = (Hashes(text, i).of(begin, begin + length).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i).take(pa.array(row)) for i in range(3)), pa.array(first, pa.int32()), pa.array(a), pa.array(b)],
+                ["anchor", "content", "n", "first", "a", "b"],
+            )
+
+    return apply
+
+
+def _standing_twice(hashed: DataFrame) -> DataFrame:
+    often = hashed.groupBy("a", "b").agg(F.sum("n").alias("total")).filter("total >= 2").select("a", "b")
+    return hashed.join(often, ["a", "b"])
+
+
+def _counted_starts(pieces: DataFrame, length: int) -> DataFrame:
+    """What ``_sort_shards`` gives, by counting equal windows: for anchors with more runs than a shard may sort."""
+    sides = _standing_twice(pieces.mapInArrow(_side_hashes(length), SIDES_SCHEMA)).groupBy("anchor", "content").agg(
+        F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right")
+    )
+    asked = pieces.join(sides, ["anchor", "content"]).select("anchor", "content", "n", "data", "left", "right")
+    repeated = _standing_twice(asked.mapInArrow(_window_hashes(length), WINDOWS_SCHEMA)).select("anchor", "content", "first")
+    # The windows of one run, fewer than ``length``.
+    order = Window.partitionBy("anchor", "content").orderBy("first")
+    stretch = repeated.withColumn("stretch", F.col("first") - F.row_number().over(order))
+    return stretch.groupBy("anchor", "content", "stretch").agg(F.min("first").alias("first"), F.max("first").alias("last")).drop("stretch")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, hash, spans) of every document with repeats; spans are [begin, end) in bytes, merged and in order."""
-    counted = _runs(docs, length).groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
+    counted = _runs(docs, length).groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")
+    )
     counted = materialise(counted, "runs")
-    often = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2")
-    candidates = counted.join(often.select("anchor", "kinds"), "anchor")
+    often = counted.groupBy("anchor").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + length - 1).alias("bytes")
+    ).filter("total >= 2")
+    often = often.select("anchor", "kinds", ((F.col("kinds") > 1) & (F.col("bytes") > SORT_BYTES)).alias("crowded"))
+    candidates = counted.drop("windows").join(often, "anchor")
     places = materialise(_runs(docs, length).join(candidates, ["anchor", "content"]), "run-places")
     # The only run of its anchor, standing at least twice, has nothing to be compared with.
     alone, compared = places.filter("kinds = 1"), places.filter("kinds > 1")
-    one = compared.groupBy("anchor", "content").agg(
-        F.first("n").alias("n"), F.min(F.struct("id", "hash", "begin", "windows")).alias("at")
-    ).select("at.id", "at.hash", "anchor", "content", "n", F.col("at.begin").alias("begin"), F.col("at.windows").alias("windows"))
-
     def cut(batches):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -152,17 +240,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield _pieces(rows)
 
-    # The runs asked of one document are no more than its own runs.
-    asked = one.groupBy("id", "hash").agg(F.collect_list(F.struct("anchor", "content", "n", "begin", "windows")).alias("asked"))
-    pieces = (
-        _packed(docs).join(asked, ["id", "hash"]).select("packed", "asked")
-        .mapInArrow(cut, "anchor long, content long, n long, data binary")
-    )
-    starts = (
-        pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
-        .mapInArrow(_sort_shards(length), STARTS_SCHEMA)
+    def pieces(part: DataFrame) -> DataFrame:
+        one = part.groupBy("anchor", "content").agg(
+            F.first("n").alias("n"), F.min(F.struct("id", "hash", "begin", "windows")).alias("at")
+        ).select("at.id", "at.hash", "anchor", "content", "n", F.col("at.begin").alias("begin"), F.col("at.windows").alias("windows"))
+        # The runs asked of one document are no more than its own runs.
+        asked = one.groupBy("id", "hash").agg(F.collect_list(F.struct("anchor", "content", "n", "begin", "windows")).alias("asked"))
+        return (
+            _packed(docs).join(asked, ["id", "hash"]).select("packed", "asked")
+            .mapInArrow(cut, "anchor long, content long, n long, data binary")
+        )
+
+    starts = materialise(
+        pieces(compared.filter("not crowded")).repartition("anchor").sortWithinPartitions("anchor", "content")
+        .mapInArrow(_sort_shards(length), STARTS_SCHEMA),
+        "repeated-starts",
     )
-    starts = materialise(starts, "repeated-starts")
+    if not often.filter("crowded").isEmpty():
+        crowd = materialise(pieces(compared.filter("crowded")), "crowded-runs")
+        starts = starts.unionByName(materialise(_counted_starts(crowd, length), "crowded-starts"))
     found = compared.join(starts, ["anchor", "content"]).unionByName(
         alone.withColumns({"first": F.lit(0), "last": F.col("windows") - 1})
     )

@@ -92,6 +92,48 @@ def test_a_crowd_of_one_passage(spark):
     assert sorted(tuple(r) for r in repeats.digest(docs).collect()) == want
 
 
+def test_an_anchor_with_more_runs_than_a_shard_may_sort(spark, monkeypatch):
+    rng, sort = np.random.default_rng(4), repeats._sort_shards
+    least = min(range(3_000), key=lambda n: anchors.Hashes(np.frombuffer(f"line {n:043d}".encode(), np.uint8), 0).of(np.array([0]), np.array([48]))[0])
+    line = f"line {least:043d}"
+    sides = ["".join(rng.choice(list("abcdefghij "), 160)) for _ in range(6_000)]
+    rows = [(n, sides[n] + line + sides[-n][:150]) for n in range(6_000)]
+    # Some windows stand twice, left or right of the line, with other surroundings, and some texts whole.
+    rows += [(n + 10_000, sides[n][-140:] + line + "x" * 150) for n in range(40)] + [(n + 20_000, rows[n][1]) for n in range(100, 120)]
+    most = repeats.SORT_BYTES
+
+    def bounded(length):
+        def check(batches):
+            sizes = {}
+
+            def seen():
+                for batch in batches:
+                    for anchor, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                        sizes[anchor] = sizes.get(anchor, 0) + len(data)
+                        assert sizes[anchor] <= most
+                    yield batch
+
+            return sort(length)(seen())
+
+        return check
+
+    monkeypatch.setattr(repeats, "_sort_shards", bounded)
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], DOCS)
+    want = sorted((i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 200)))
+    assert sorted(tuple(r) for r in repeats.digest(docs).collect()) == want
+
+
+@pytest.mark.parametrize("most", [0, 3_000])
+def test_counted_windows_give_the_same_as_sorted_ones(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    passage = "".join(rng.choice(list("abcdefghij é"), 330))
+    rows = [(n, f"{n % 30:07d}" + passage[n % 90 :] + f"{n:07d}") for n in range(200)] + [(900, "z" * 700), (901, "ab" * 300)]
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], DOCS)
+    monkeypatch.setattr(repeats, "SORT_BYTES", most)
+    want = [(i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 200))]
+    assert sorted(tuple(r) for r in repeats.digest(docs).collect()) == want
+
+
 def test_cut_characters_go_whole(spark):
     docs = spark.createDataFrame([(1, "é" * 100 + "a", None, None, None, 0), (2, "b" + "é" * 100, None, None, None, 0)], DOCS)
     left = {r["doc_id"]: r["text"] for r in repeats.deduplicated(docs).collect()}
