@@ -14,7 +14,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group whose fingerprints differ in 2 bits at most; most copies with edits stay (see README)."""
     return simhash.one_of_each(docs)
 
 
