@@ -236,10 +236,10 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         stored.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "query", "vec_id")
         .select("list", "block", "query", "vec_id", "v").mapInArrow(_meet(k), FOUND_SCHEMA)
     )
-    # A vector that several lists gave has one rank, as its score is the same everywhere.
+    # An id that several lists or tasks gave counts once, with its best score.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = met.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _meet(k: int):

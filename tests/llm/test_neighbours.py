@@ -61,3 +61,27 @@ def test_odd_rows(spark):
     assert got == {0: [(20, 1.0), (1, 0.5), (2, 0.0)], 20: [(0, 1.0), (1, 1.0), (2, 1.0)]}
     assert neighbours.nearest(table_of(spark, odd[:6])).count() == 0
     assert neighbours.nearest(table_of(spark, [])).count() == 0
+
+
+def test_an_id_with_different_vectors_counts_once(spark, monkeypatch):
+    met = [(0, i, 1 / (1 + i + 100 * copy)) for i in range(1, 41) for copy in range(3)] + [(0, 1, 1 - n / 100) for n in range(30)]
+    monkeypatch.setattr(neighbours, "_meet", lambda k: _given_rows(met))
+    rows = [(n, [1.0, float(n)]) for n in range(50)]
+    got = got_of(neighbours.nearest(table_of(spark, rows)).filter("query_id = 0"))
+    assert got == {0: [(1, 1.0)] + [(i, 1 / (1 + i)) for i in range(2, 21)]}
+
+
+def _given_rows(rows):
+    """A scoring step whose first task gives ``rows``."""
+
+    def give(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for _ in batches:
+            pass
+        if TaskContext.get().partitionId() == 0:
+            q, i, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "vec_id", "score"])
+
+    return give
