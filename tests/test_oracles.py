@@ -44,3 +44,8 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_crawl_jobs_gathers_no_list_of_a_host(spark):
+    plan = QUERIES["crawl_jobs"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -12,7 +12,7 @@ from beaconry.operators.firsts import first_per_key, last_per_key
 from beaconry.plans import index, numbered, sheets
 from beaconry.session import persist_clustered
 from beaconry.sources.html_elements import element_table
-from beaconry.sources.pages import explode_crawl, first_pages, path_filter, read_pages, url_inventory
+from beaconry.sources.pages import first_pages, path_filter, read_pages, url_inventory
 from workload.registry import query, sql_words, table
 from workload.text_queries import SQL_SLUG, sql_category
 
@@ -128,8 +128,7 @@ def crawl_pages(spark, sf):
 def crawl_jobs(spark, sf):
     """A crawl per host, each with its own limit."""
     pages = table(spark, sf, "pages").withColumn("job_id", host_of(F.col("url")))
-    crawls = pages.groupBy("job_id").agg(F.collect_list(F.struct("page_id", "url")).alias("pages"))
-    return explode_crawl(crawls, None, "html$", 20)
+    return first_pages(path_filter(pages.select("job_id", "page_id", "url"), None, "html$"), 20, ["job_id"])
 
 
 @query(
