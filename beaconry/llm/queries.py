@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import articles, decontamination, language, licenses, neighbours, packing, records, repeats, simhash, toxicity
+from beaconry.llm import (
+    articles, codebooks, decontamination, divergence, language, licenses, neighbours, packing, quality, records,
+    repeats, simhash, toxicity,
+)
 from beaconry.llm.common import scratch_path, table
 from beaconry.llm.oracles import ORACLES
 
@@ -72,3 +75,18 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
+
+
+@query
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
