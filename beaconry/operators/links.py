@@ -14,7 +14,7 @@ from beaconry.operators.sections import owned_elements
 def anchors(elements: DataFrame) -> DataFrame:
     """``(page_id, pos, href, text)`` of links with a target and a text."""
     links = elements.filter("tag = 'a'").select(
-        "page_id", "pos", "parent", "ancestors", F.col("attrs")["href"].alias("href"), "text"
+        "page_id", "pos", F.col("attrs")["href"].alias("href"), "text"
     )
     return links.filter("href is not null and href != '' and text != ''")
 
@@ -60,18 +60,20 @@ def languages_by_url(elements: DataFrame, base: Column) -> DataFrame:
     Main content is the first ``article``, else the first ``main``, else the page.
     The last link to a URL that has any image wins.
     """
+    place = F.struct("pos", "last")
     roots = elements.filter("tag in ('article', 'main')").groupBy("page_id").agg(
-        F.coalesce(
-            F.min(F.when(F.col("tag") == "article", F.col("pos"))), F.min("pos")
-        ).alias("main_pos")
+        F.coalesce(F.min(F.when(F.col("tag") == "article", place)), F.min(place)).alias("main")
     )
     links = (
         elements.filter("tag = 'a'")
         .withColumn("href", F.col("attrs")["href"])
         .filter(F.col("href").rlike(fixed.LANGUAGE_HREF))
         .join(roots, "page_id", "left")
-        .filter("main_pos is null or array_contains(ancestors, main_pos)")
-        .select("page_id", F.col("parent").alias("root_pos"), F.col("pos").alias("link_pos"), "href")
+        .filter("main is null or (main.pos < pos and pos <= main.last)")
+        .select(
+            "page_id", F.col("parent").alias("root_pos"), F.col("parent_last").alias("root_last"),
+            F.col("pos").alias("link_pos"), "href",
+        )
     )
     images = owned_elements(elements, "img", links).filter("attrs['alt'] != ''")
     names = F.array_sort(

@@ -224,12 +224,15 @@ def page_heads(
     )
 
 
+def holders(ranges: Column, pos: Column) -> Column:
+    """Those of an array of ``(pos, last, ...)`` structs whose elements hold the element ``pos``."""
+    return F.filter(ranges, lambda r: (r["pos"] < pos) & (pos <= r["last"]))
+
+
 def owned_elements(elements: DataFrame, tag: str, roots: DataFrame) -> DataFrame:
-    """Descendants of one tag joined to their root rows ``(page_id, root_pos, ...)``."""
-    inner = elements.filter(F.col("tag") == tag).select(
-        "page_id", "pos", "text", "attrs", F.explode("ancestors").alias("root_pos")
-    )
-    return inner.join(roots, ["page_id", "root_pos"])
+    """Descendants of one tag joined to their root rows ``(page_id, root_pos, root_last, ...)``."""
+    inner = elements.filter(F.col("tag") == tag).select("page_id", "pos", "text", "attrs")
+    return inner.join(roots, "page_id").filter("root_pos < pos and pos <= root_last")
 
 
 def contributors(
@@ -237,19 +240,18 @@ def contributors(
 ) -> DataFrame:
     """Up to ``limit`` (with ``None`` all) list entries of the element right after an author heading.
 
-    The positions of such elements are attached to the page's rows by a window, so
-    entries find them among their ancestors without a join.
+    The number ranges of such elements are attached to the page's rows by a window, so
+    entries find the ranges that hold them without a join.
     """
     after_heading = F.col("prev_tag").isin("h2", "h3") & contains_any(F.lower("prev_raw"), words)
     page = Window.partitionBy("page_id")
-    roots = F.collect_list(F.when(after_heading, F.col("pos"))).over(page)
+    roots = F.collect_list(F.when(after_heading, F.struct("pos", "last"))).over(page)
     entries = (
         marked.withColumn("roots", roots)
         .filter("tag = 'li'")
-        .select(
-            "page_id", "pos", "text",
-            F.explode(F.array_intersect("ancestors", "roots")).alias("root_pos"),
-        )
+        .select("page_id", "pos", "text", F.explode(holders(F.col("roots"), F.col("pos"))).alias("root"))
     )
-    names = F.array_sort(F.collect_list(F.struct("root_pos", "pos", "text"))).getField("text")
+    names = F.array_sort(
+        F.collect_list(F.struct(F.col("root.pos").alias("root_pos"), "pos", "text"))
+    ).getField("text")
     return entries.groupBy("page_id").agg(head(names, limit).alias("contributors"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
@@ -12,8 +12,6 @@ from beaconry.functions.text import strip, strip_bullet
 from beaconry.functions.urls import risk_label_title, risk_number
 from beaconry.operators import lines as ln
 from beaconry.operators import sections as sec
-from beaconry.operators.firsts import last_per_key
-from beaconry.operators.links import anchors
 from beaconry.session import materialise
 
 RISK_TYPE = (
@@ -24,8 +22,8 @@ RISK_TYPE = (
 COLUMNS = [part.split()[0] for part in RISK_TYPE.split(", ")]
 
 
-def _shaped(rows: DataFrame) -> DataFrame:
-    """Fill the columns a parser does not produce."""
+def _shaped(rows: DataFrame, *others: str) -> DataFrame:
+    """Fill the columns a parser does not produce; ``others`` stay too."""
     fills = {
         "severity": F.lit(fixed.DEFAULT_SEVERITY),
         "icon": F.lit(fixed.DEFAULT_RISK_ICON),
@@ -34,7 +32,7 @@ def _shaped(rows: DataFrame) -> DataFrame:
     }
     for name, value in fills.items():
         rows = rows.withColumn(name, F.coalesce(name, value) if name in rows.columns else value)
-    return rows.select(*COLUMNS)
+    return rows.select(*COLUMNS, *others)
 
 
 def _last_at_first_place(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -89,23 +87,74 @@ def risks_from_markdown(sources: DataFrame) -> DataFrame:
     return _shaped(_last_at_first_place(typed, ["source_id", "risk_id"], "risk_no"))
 
 
-def risk_links(elements: DataFrame, site: str) -> DataFrame:
-    """Detail links ``(page_id, risk_id, title, url)``; the last link of an id wins."""
-    links = elements.filter("tag = 'a'").select(
-        "page_id", "pos", F.col("attrs")["href"].alias("href"), "text"
+#: Levels at which a source may give its risks; the least one that gives any counts.
+STATIC, MARKDOWN, DETAIL, HEADING, ENTRY = range(5)
+
+
+def risk_candidates(
+    elements: DataFrame, site: str = "", pattern: str = fixed.RISK_LABEL
+) -> DataFrame:
+    """Links, headings and list entries that name a risk, in one pass over the elements.
+
+    ``(page_id, level, risk_id, risk_no, title, description, url)``, one row per page, level
+    and id: the last link or heading of an id wins, the first list entry does. ``risk_no`` is
+    the number of a link, else the id's first place; headings carry the next sibling ``p``.
+    """
+    tag, text = F.col("tag"), F.col("text")
+    href = F.col("attrs")["href"]
+    link_id = F.when(tag == "a", F.nullif(F.regexp_extract(href, fixed.RISK_HREF, 1), F.lit("")))
+    slug = F.replace(F.regexp_extract(href, fixed.RISK_HREF, 2), F.lit("_"), F.lit(" "))
+    label_id = F.when(tag != "p", risk_number(text, pattern))
+    next_p = F.min(F.when(tag == "p", F.struct("pos", "text"))).over(_siblings_after())
+    level = (
+        F.when(link_id.isNotNull(), DETAIL)
+        .when(tag.isin("h2", "h3") & label_id.isNotNull(), HEADING)
+        .when((tag == "li") & label_id.isNotNull(), ENTRY)
     )
-    number = F.regexp_extract("href", fixed.RISK_HREF, 1)
-    slug = F.replace(F.regexp_extract("href", fixed.RISK_HREF, 2), F.lit("_"), F.lit(" "))
-    found = links.filter(number != "").select(
-        "page_id",
-        "pos",
-        number.alias("risk_id"),
-        F.when(F.col("text") == "", slug).otherwise(F.col("text")).alias("title"),
-        F.when(F.col("href").startswith("http"), F.col("href"))
-        .otherwise(F.concat(F.lit(site), "href"))
-        .alias("url"),
+    is_link, is_heading = tag == "a", tag.isin("h2", "h3")
+    fields = {
+        "title": F.when(~is_link, risk_label_title(text, pattern)).when(text == "", slug).otherwise(text),
+        "description": F.when(is_heading, F.coalesce("next_p.text", F.lit(""))).otherwise(F.lit("")),
+        "url": F.when(is_link, F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(site), href))),
+    }
+    named = (
+        elements.filter("tag in ('a', 'h2', 'h3', 'p', 'li')")
+        .withColumn("next_p", next_p)
+        .select(
+            "page_id", "pos", level.alias("level"), F.coalesce(link_id, label_id).alias("risk_id"),
+            F.struct(*[value.alias(name) for name, value in fields.items()]).alias("_row"),
+        )
+        .filter("level is not null")
     )
-    return last_per_key(found, ["page_id", "risk_id"], ["pos"]).drop("pos")
+    chosen = F.when(F.col("level") == ENTRY, F.min_by("_row", "pos")).otherwise(F.max_by("_row", "pos"))
+    place = F.when(F.col("level") == DETAIL, F.substring("risk_id", 2, 2).cast("int")).otherwise(F.min("pos"))
+    return named.groupBy("page_id", "level", "risk_id").agg(
+        place.alias("risk_no"), chosen.alias("_row")
+    ).select("page_id", "level", "risk_id", "risk_no", "_row.*")
+
+
+def _of_level(candidates: DataFrame, level: int) -> DataFrame:
+    return candidates.filter(F.col("level") == level).withColumn(
+        "source_id", F.col("page_id").cast("string")
+    )
+
+
+def risk_links(elements: DataFrame, site: str) -> DataFrame:
+    """Detail links ``(page_id, risk_id, title, url)``; the last link of an id wins."""
+    found = risk_candidates(elements.filter("tag = 'a'"), site)
+    return _of_level(found, DETAIL).select("page_id", "risk_id", "title", "url")
+
+
+def risk_headings(elements: DataFrame, pattern: str = fixed.RISK_LABEL) -> DataFrame:
+    """Numbered h2/h3 headings with the next sibling ``p``; last heading of an id wins."""
+    found = risk_candidates(elements.filter("tag in ('h2', 'h3', 'p')"), pattern=pattern)
+    return _shaped(_of_level(found, HEADING))
+
+
+def risk_list_entries(elements: DataFrame, pattern: str = fixed.RISK_LABEL) -> DataFrame:
+    """Numbered ``li`` entries; the first entry of an id wins."""
+    found = risk_candidates(elements.filter("tag = 'li'"), pattern=pattern)
+    return _shaped(_of_level(found, ENTRY))
 
 
 def risk_page_markdown(
@@ -129,77 +178,55 @@ def risk_page_markdown(
 
 
 def risk_page_html(elements: DataFrame) -> DataFrame:
-    """The same from the elements of single-risk pages, keyed by ``page_id``."""
-    marked = sec.sibling_marks(elements)
-    owned = marked.filter("h23 is not null and tag not in ('h2', 'h3')")
-    header = F.struct(F.col("h23.pos").alias("head_pos"), F.lower("h23.text").alias("header"))
-    paragraphs = owned.filter("tag = 'p'").select(
-        "page_id", header.alias("h"), F.col("pos").alias("root_pos"), "pos", "text"
+    """The same from the elements of single-risk pages, keyed by ``page_id``, in one pass.
+
+    Lists under a heading are number ranges of their page, attached to its rows by a window; an
+    entry belongs to every range that holds it.
+    """
+    tag, page = F.col("tag"), Window.partitionBy("page_id")
+    owned = F.col("h23").isNotNull() & ~tag.isin("h2", "h3")
+    head = F.struct(F.col("h23.pos").alias("head_pos"), F.lower("h23.text").alias("header"))
+    range_ = F.struct("pos", "last", head.alias("h"))
+    line = F.struct(head.alias("h"), F.col("pos").alias("root_pos"), "pos", "text")
+    entries = F.transform(
+        sec.holders(F.col("ranges"), F.col("pos")),
+        lambda r: F.struct(r["h"].alias("h"), r["pos"].alias("root_pos"), F.col("pos"), F.col("text")),
     )
-    lists = owned.filter("tag in ('ul', 'ol')").select(
-        "page_id", header.alias("h"), F.col("pos").alias("root_pos")
+    none = F.filter(F.array(line), lambda _: F.lit(False))
+    rows = (
+        sec.sibling_marks(elements)
+        .withColumn("ranges", F.collect_list(F.when(owned & tag.isin("ul", "ol"), range_)).over(page))
+        .select(
+            "page_id",
+            F.when(tag == "p", F.struct("pos", "text")).alias("p"),
+            F.when(owned & (tag == "p"), F.array(line)).when(tag == "li", entries).otherwise(none).alias("lines"),
+        )
+        .select("page_id", "p", F.explode_outer("lines").alias("line"))
     )
-    entries = sec.owned_elements(elements, "li", lists).select(
-        "page_id", "h", "root_pos", "pos", "text"
+    parts = rows.groupBy("page_id", "line.h").agg(
+        F.min("p").alias("p"),
+        F.array_sort(F.collect_list(F.struct("line.root_pos", "line.pos", "line.text"))).getField("text").alias("texts"),
     )
-    sections = (
-        paragraphs.unionByName(entries)
-        .groupBy("page_id", "h")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("root_pos", "pos", "text")))
-            .getField("text")
-            .alias("lines")
-        )
-        .select("page_id", F.col("h.head_pos").alias("pos"), F.col("h.header").alias("header"), "lines")
+    # As of repeated headings the last one with lines counts, at the first one's place.
+    filled = F.col("h").isNotNull() & (F.size("texts") > 0)
+    by_name = parts.groupBy("page_id", F.col("h.header").alias("header")).agg(
+        F.min("p").alias("p"),
+        F.min(F.when(filled, F.col("h.head_pos"))).alias("first_pos"),
+        F.max_by("texts", F.when(filled, F.col("h.head_pos"))).alias("lines"),
     )
-    grouped = ln.headers_per_key(ln.latest_headers(sections, ["page_id"]), ["page_id"])
-    collected = ln.collect_all(F.col("headers"), fixed.HTML_KEYS, clean=False)
-    pages = elements.groupBy("page_id").agg(
-        F.min_by("text", F.when(F.col("tag") == "p", F.col("pos"))).alias("first_p")
+    named = F.when(F.col("first_pos").isNotNull(), F.struct("first_pos", "header", "lines"))
+    pages = by_name.groupBy("page_id").agg(
+        F.min("p").alias("p"), F.array_sort(F.collect_list(named)).alias("headers")
     )
-    return pages.join(grouped, "page_id", "left").select(
+    collected = ln.collect_all(F.col("headers"), fixed.HTML_KEYS, clean=False)
+    return pages.select(
         "page_id",
-        F.coalesce("first_p", F.lit("")).alias("description"),
+        F.coalesce("p.text", F.lit("")).alias("description"),
         *[value.alias(name) for name, value in collected.items()],
     )
 
 
-def risk_headings(elements: DataFrame, pattern: str = fixed.RISK_LABEL) -> DataFrame:
-    """Numbered h2/h3 headings with the next sibling ``p``; last heading of an id wins."""
-    next_p = F.min(F.when(F.col("tag") == "p", F.struct("pos", "text"))).over(_siblings_after())
-    heads = (
-        elements.filter("tag in ('h2', 'h3', 'p')")
-        .withColumn("next_p", next_p)
-        .filter("tag != 'p'")
-    )
-    rows = heads.select(
-        F.col("page_id").cast("string").alias("source_id"),
-        risk_number(F.col("text"), pattern).alias("risk_id"),
-        F.col("pos").alias("risk_no"),
-        risk_label_title(F.col("text"), pattern).alias("title"),
-        F.coalesce("next_p.text", F.lit("")).alias("description"),
-    ).filter("risk_id is not null")
-    return _shaped(_last_at_first_place(rows, ["source_id", "risk_id"], "risk_no"))
-
-
-def risk_list_entries(elements: DataFrame, pattern: str = fixed.RISK_LABEL) -> DataFrame:
-    """Numbered ``li`` entries; the first entry of an id wins."""
-    rows = elements.filter("tag = 'li'").select(
-        F.col("page_id").cast("string").alias("source_id"),
-        risk_number(F.col("text"), pattern).alias("risk_id"),
-        F.col("pos").alias("risk_no"),
-        risk_label_title(F.col("text"), pattern).alias("title"),
-        F.lit("").alias("description"),
-    ).filter("risk_id is not null")
-    firsts = rows.groupBy("source_id", "risk_id").agg(
-        F.min(F.struct("risk_no", "title", "description")).alias("_row")
-    )
-    return _shaped(firsts.select("source_id", "risk_id", "_row.*"))
-
-
 def _siblings_after():
-    from pyspark.sql import Window
-
     return Window.partitionBy("page_id", "parent").orderBy("pos").rowsBetween(
         1, Window.unboundedFollowing
     )
@@ -210,30 +237,29 @@ def detail_enrich(links: DataFrame, details: DataFrame, elements: DataFrame) ->
 
     ``links`` are ``(page_id, risk_id, title, url)``; ``details`` are scrape records.
     Failed fetches drop their link.  One detail page per URL (the newest) is used, and
-    HTML is read only for pages whose markdown gave no description.
+    HTML is read only for pages whose markdown gave no description.  What the markdown
+    gives is a table in the shared folder, so neither text is parsed twice.
     """
     fetched = details.filter("success")
     newest = fetched.groupBy("url").agg(F.max("page_id").alias("detail_id"))
     asked = newest.join(links.select("url").distinct(), "url", "left_semi")
     bodies = fetched.select(
-        F.col("page_id").alias("detail_id"), F.coalesce("markdown", F.lit("")).alias("markdown")
-    ).join(asked.select("detail_id"), "detail_id", "left_semi")
-    texts = risk_page_markdown(bodies, ["detail_id"])
-    described = asked.select("detail_id").join(texts, "detail_id", "left")
-    empty = described.filter("coalesce(description, '') = ''").select(
-        F.col("detail_id").alias("page_id")
-    )
-    html = risk_page_html(elements.join(empty, "page_id", "left_semi")).withColumnRenamed(
-        "page_id", "detail_id"
-    )
-    parsed = described.filter("description != ''").unionByName(html, allowMissingColumns=True)
+        F.col("page_id").alias("detail_id"), "url", F.coalesce("markdown", F.lit("")).alias("markdown")
+    ).join(asked, ["detail_id", "url"], "left_semi")
+    texts = risk_page_markdown(bodies, ["detail_id", "url"])
+    described = materialise(asked.join(texts, ["detail_id", "url"], "left"), "risk-details")
+    empty = described.filter("coalesce(description, '') = ''").select("detail_id", "url")
+    html = risk_page_html(
+        elements.join(empty.select(F.col("detail_id").alias("page_id")), "page_id", "left_semi")
+    ).withColumnRenamed("page_id", "detail_id")
+    parsed = described.filter("description != ''").unionByName(empty.join(html, "detail_id"))
     return _shaped(
-        links.join(asked, "url").join(parsed, "detail_id").select(
+        links.join(parsed, "url").select(
             F.col("page_id").cast("string").alias("source_id"),
             "risk_id",
             F.substring("risk_id", 2, 2).cast("int").alias("risk_no"),
             "title",
-            *[c for c in parsed.columns if c != "detail_id"],
+            *[c for c in parsed.columns if c not in ("detail_id", "url")],
         )
     )
 
@@ -246,6 +272,15 @@ def fallback_chain(keys: Sequence[str], *levels: DataFrame) -> DataFrame:
     return out
 
 
+def elected(candidates: DataFrame, key: str = "source_id", level: str = "level") -> DataFrame:
+    """All rows of the least level each key has, by one aggregate; rows of one key are one page's."""
+    rest = [c for c in candidates.columns if c not in (key, level)]
+    row = F.struct(*rest)
+    lists = [F.collect_list(F.when(F.col(level) == n, row)).alias(f"_{n}") for n in range(ENTRY + 1)]
+    first = F.coalesce(*[F.when(F.size(f"_{n}") > 0, F.col(f"_{n}")) for n in range(ENTRY + 1)])
+    return candidates.groupBy(key).agg(*lists).select(key, F.inline(first))
+
+
 def risks_of_sources(
     scraped: DataFrame,
     elements: DataFrame,
@@ -256,36 +291,40 @@ def risks_of_sources(
 ) -> DataFrame:
     """Risk set per source page: markdown, else linked detail pages, else headings, else lists.
 
-    Parse both element tables with ``implied_ends=False`` and store them first: three levels
-    read them.  Sources present in ``static`` use its rows.  Every fallback parser only sees
-    the pages the parsers before it left empty; each level is a table in the shared folder
-    before the next one asks it, so the plan does not grow with the levels.
+    Parse both element tables with ``implied_ends=False``. Each is read once: one pass gives
+    the candidates of all page levels, which join the markdown's in a table in the shared
+    folder; detail pages are read for sources whose least level is their links. One aggregate
+    then keeps the least level that gave any risk. Sources in ``static`` use its rows.
     """
     ids = scraped.filter("success").select(
-        F.col("page_id").cast("string").alias("source_id"),
+        F.col("page_id").cast("string").alias("source_id"), "page_id",
         F.coalesce("markdown", F.lit("")).alias("markdown"),
     )
-    ids = materialise(ids, "risk-sources")
-    done = materialise(_shaped(static), "risk-level") if static is not None else None
+    pages = elements.join(ids.select("page_id"), "page_id", "left_semi")
+    found = risk_candidates(pages, site).withColumn("source_id", F.col("page_id").cast("string"))
+    url = F.lit(None).cast("string").alias("url")
+    levels = [(MARKDOWN, risks_from_markdown(ids)), *([(STATIC, _shaped(static))] if static is not None else [])]
+    candidates = _shaped(found, "level", "url")
+    for level, risks in levels:
+        candidates = candidates.unionByName(risks.select("*", F.lit(level).alias("level"), url))
+    stored = materialise(candidates, "risk-candidates")
+    least = stored.groupBy("source_id").agg(F.min("level").alias("least")).filter(F.col("least") == DETAIL)
+    links = stored.filter(F.col("level") == DETAIL).join(least, "source_id", "left_semi").select(
+        F.col("source_id").alias("page_id"), "risk_id", "title", "url"
+    )
+    enriched = detail_enrich(links, details, detail_elements).withColumn("level", F.lit(DETAIL))
+    others = stored.filter(F.col("level") != DETAIL).drop("url")
+    return elected(others.unionByName(enriched)).select(*COLUMNS)
 
-    def missing(frame: DataFrame) -> DataFrame:
-        return frame if done is None else frame.join(
-            done.select("source_id").distinct(), "source_id", "left_anti"
-        )
 
-    def add(rows: DataFrame) -> None:
-        nonlocal done
-        rows = materialise(rows, "risk-level")
-        done = rows if done is None else done.unionByName(rows)
+def list_rows(risks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every list of a risk as rows ``(keys, part, n, line)`` in order; ``part`` is null for a risk without lists."""
+    parts = {"types": F.transform("types", lambda t: t["name"]), **{c: F.col(c) for c in ("impacts", "mitigations", "examples")}}
 
-    def left_elements() -> DataFrame:
-        left = missing(ids.select("source_id")).select(
-            F.col("source_id").cast("bigint").alias("page_id")
+    def numbered_lines(part: str, lines: Column) -> Column:
+        return F.transform(
+            lines, lambda x, i: F.struct(F.lit(part).alias("part"), (i + 1).alias("n"), x.alias("line"))
         )
-        return elements.join(left, "page_id", "left_semi")
 
-    add(risks_from_markdown(missing(ids)))
-    add(detail_enrich(risk_links(left_elements(), site), details, detail_elements))
-    add(risk_headings(left_elements()))
-    add(risk_list_entries(left_elements()))
-    return done
+    lines = F.concat(*[numbered_lines(part, value) for part, value in parts.items() if part in risks.columns])
+    return risks.select(*keys, F.inline_outer(lines))

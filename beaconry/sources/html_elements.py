@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 
 ELEMENT_TYPE = (
-    "array<struct<pos:int,parent:int,ancestors:array<int>,tag:string,"
+    "array<struct<pos:int,last:int,parent:int,parent_last:int,tag:string,"
     "attrs:map<string,string>,text:string,raw:string,single:string>>"
 )
 
@@ -115,16 +115,15 @@ class _Page:
             self.close_top()
         pos = len(self.rows)
         self.add_child(pos)
-        path = [entry[0] for entry in self.open]
-        parent = path[-1] if path else None
+        parent = self.open[-1][0] if self.open else None
         if tag in HEADING_TAGS:
             self.headed.add(parent)
         elif parent in self.headed:
             self.following.add(pos)
         self.rows.append(
             {
-                "pos": pos, "parent": parent, "ancestors": path, "tag": tag,
-                "attrs": attrs, "text": None, "raw": None, "single": None,
+                "pos": pos, "last": pos, "parent": parent, "tag": tag, "attrs": attrs,
+                "text": None, "raw": None, "single": None,
             }
         )
         self.children.append([])
@@ -146,6 +145,7 @@ class _Page:
     def close_top(self) -> None:
         pos, tag, piece, raw = self.open.pop()
         row = self.rows[pos]
+        row["last"] = len(self.rows) - 1
         if tag in TEXT_TAGS or pos in self.following:
             row["text"] = "".join(self.pieces[piece:])
         if tag in RAW_TEXT_TAGS:
@@ -191,6 +191,8 @@ def parse_elements(
             at = stop.start() if stop else size
     while page.open:
         page.close_top()
+    for row in page.rows:
+        row["parent_last"] = None if row["parent"] is None else page.rows[row["parent"]]["last"]
     return [r for r in page.rows if wanted is None or r["tag"] in wanted]
 
 
@@ -204,15 +206,13 @@ def element_arrays(
     """Elements of many pages as one Arrow list array, built column by column."""
     pages = [parse_elements(source, wanted, implied_ends) for source in sources]
     rows = list(chain.from_iterable(pages))
-    paths = [r["ancestors"] for r in rows]
     attrs = [r["attrs"] for r in rows]
     pairs = list(chain.from_iterable(attrs))
     columns = {
-        "pos": pa.array([r["pos"] for r in rows], pa.int32()),
-        "parent": pa.array([r["parent"] for r in rows], pa.int32()),
-        "ancestors": pa.ListArray.from_arrays(
-            _offsets(paths), pa.array(list(chain.from_iterable(paths)), pa.int32())
-        ),
+        **{
+            name: pa.array([r[name] for r in rows], pa.int32())
+            for name in ("pos", "last", "parent", "parent_last")
+        },
         "tag": pa.array([r["tag"] for r in rows], pa.string()),
         "attrs": pa.MapArray.from_arrays(
             _offsets(attrs),
@@ -234,7 +234,11 @@ def element_table(
     cluster: bool = False,
     implied_ends: bool = True,
 ) -> DataFrame:
-    """Rows ``(page_id, pos, parent, ancestors, tag, attrs, text, raw, single)``.
+    """Rows ``(page_id, pos, last, parent, parent_last, tag, attrs, text, raw, single)``.
+
+    Elements are numbered in document order and ``last`` is the number of an element's last
+    descendant, so element ``a`` holds ``b`` where ``a.pos < b.pos <= a.last``; a row stays as
+    small at any depth. ``parent_last`` is the same of its parent.
 
     ``text`` strips every text node and joins the rest without a separator; ``raw``
     is the unstripped text (headings and code only); ``single`` is the text of an

@@ -239,3 +239,52 @@ def test_crawl_and_scrape_records(spark):
         "page_id bigint, url string, success boolean, html string",
     )
     assert rows(successful(normalise_pages(records)), "page_id") == [(1,)]
+
+
+def test_every_element_table_is_parsed_once(spark, monkeypatch):
+    """One pass over each element table feeds all levels, whatever tables are written on the way."""
+    plans, real = [], numbered.materialise
+
+    def kept_plan(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(numbered, "materialise", kept_plan)
+    scraped = pages_of(spark, fixtures.HEADINGS).selectExpr("*", "true AS success", "'' AS markdown")
+    found = numbered.risks_of_sources(
+        scraped, element_table(scraped, implied_ends=False), scraped, element_table(scraped, implied_ends=False), "https://t"
+    )
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 0, 1]
+
+
+def test_element_numbers_hold_descendants_at_any_depth(spark):
+    depth = 20_000
+    pages = pages_of(spark, "<div>" * depth + "<p>x</p>" + "</div>" * depth + "<b>y</b>", fixtures.SHEET)
+    table = element_table(pages)
+    assert "ancestors" not in table.columns
+    deep = table.filter("page_id = 0").select("pos", "last", "parent", "parent_last", "tag").collect()
+    assert [(r.pos, r.last) for r in deep[:depth]] == [(n, depth) for n in range(depth)]
+    assert deep[depth + 1][:] == (depth + 1, depth + 1, None, None, "b")
+    rest = {r.pos: r for r in table.filter("page_id = 1").collect()}
+    for r in rest.values():
+        up = r.parent
+        while up is not None:
+            assert rest[up].pos < r.pos <= rest[up].last
+            up = rest[up].parent
+        assert r.parent is None or rest[r.parent].last == r.parent_last
+
+
+def test_risk_page_lists_may_lie_in_each_other(spark):
+    html = "<h2>Impact</h2><ul><li>a<div><h3>How to fix</h3><ul><li>b</li></ul></div></li></ul><h2>Impact</h2><ul><li>c</li></ul>"
+    row = numbered.risk_page_html(element_table(pages_of(spark, html))).first()
+    assert (row.impacts, row.mitigations, row.description) == (["c"], ["b"], "")
+    nested = numbered.risk_page_html(element_table(pages_of(spark, html[: html.rindex("<h2>")]))).first()
+    assert (nested.impacts, nested.mitigations) == (["aHow to fixb", "b"], ["b"])
+
+
+def test_elected_keeps_the_least_level(spark):
+    rows_in = [("s", 3, "x"), ("s", 1, "a"), ("s", 1, "b"), ("t", 4, "y"), (None, 2, "n"), (None, 0, "m")]
+    frame = spark.createDataFrame(rows_in, "source_id string, level int, title string")
+    found = sorted(tuple(r) for r in numbered.elected(frame.fillna("none")).collect())
+    assert found == [("none", "m"), ("s", "a"), ("s", "b"), ("t", "y")]

@@ -5,6 +5,7 @@ from workload import (  # noqa: F401
     page_queries,
     review_queries,
     snapshot_queries,
+    source_queries,
     stream_queries,
     table_queries,
     text_queries,
