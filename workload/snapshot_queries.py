@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconry.functions.keys import cache_key, expires_at, text_hash
-from beaconry.operators import running, snapshots
+from beaconry.operators import running, snapshot_store, snapshots
 from beaconry.operators.replay import cache_hits
+from beaconry.session import scratch_path
 from workload.registry import query, table
 
 SQL_AS_OF = "TIMESTAMP '1997-01-01'"
@@ -51,6 +52,16 @@ def _requests(spark, sf):
     )
 
 
+def _user_events(spark, sf):
+    """Events as snapshot rows: the newest of a user counts."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("identifier"),
+        F.col("ts").alias("created_at"),
+        F.col("event_id").alias("content_hash"),
+        "event_type",
+    )
+
+
 @query(
     "snapshot_upsert",
     """
@@ -59,12 +70,7 @@ def _requests(spark, sf):
 )
 def snapshot_upsert(spark, sf):
     """Events as upserts per user: purchases come first and make the stored table, the rest arrive later."""
-    rows = table(spark, sf, "events").select(
-        F.col("user_id").alias("identifier"),
-        F.col("ts").alias("created_at"),
-        F.col("event_id").alias("content_hash"),
-        "event_type",
-    )
+    rows = _user_events(spark, sf)
     stored, fresh = rows.filter("event_type = 'purchase'"), rows.filter("event_type != 'purchase'")
     stored = snapshots.upsert(stored.filter(F.lit(False)), stored)
     return snapshots.upsert(stored, fresh).select(
@@ -72,6 +78,28 @@ def snapshot_upsert(spark, sf):
     )
 
 
+SQL_NEWEST = """
+    SELECT user_id, event_id, event_type FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
+"""
+
+
+@query("snapshot_commits", SQL_NEWEST)
+def snapshot_commits(spark, sf):
+    """The same upserts as commits to a snapshot in buckets: purchases, then the other kinds one after the other."""
+    rows = _user_events(spark, sf)
+    path, buckets = scratch_path(spark, "snapshot"), 16
+    stored = rows.filter("event_type = 'purchase'")
+    snapshot_store.create(snapshots.upsert(stored.filter(F.lit(False)), stored), path, buckets)
+    late = rows.filter("event_type != 'purchase'")
+    for half in (0, 1):
+        part = late.filter(F.pmod(F.xxhash64("content_hash"), F.lit(2)) == half)
+        snapshot_store.commit_upsert(path, part, buckets, f"late-{half}")
+    return snapshot_store.read(spark, path, rows.schema).select(
+        F.col("identifier").alias("user_id"), F.col("content_hash").alias("event_id"), "event_type"
+    )
+
+
 @query(
     "snapshot_read",
     f"SELECT o_orderkey AS identifier FROM orders WHERE o_orderdate + INTERVAL 90 DAY >= {SQL_AS_OF}",
