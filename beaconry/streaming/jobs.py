@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from beaconry.functions import fixed_values as fixed
 from beaconry.operators.firsts import last_per_key
 from beaconry.operators.replay import misses_in_order
 from beaconry.operators.snapshots import snapshot_rows
@@ -37,10 +38,81 @@ def page_entries(pages: DataFrame, created_at: str, rules: Rules = Rules()) -> D
     return snapshot_rows(entries)
 
 
+class NewestVersion(StatefulProcessor):
+    """Per URL: time and content hash of its newest version; gives out rows whose content is new.
+
+    A version counts as newer if it was fetched later or, at the same time, came later; of one
+    micro-batch the larger hash does. Older versions and unchanged contents give nothing.
+    """
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "fetched bigint, content_hash string", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        best = max(rows, key=lambda r: (r.fetched, r.content_hash, r.page_id))
+        known = self.newest.get() if self.newest.exists() else None
+        if known is not None and best.fetched < known[0]:
+            return
+        self.newest.update((best.fetched, best.content_hash))
+        if known is None or best.content_hash != known[1]:
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def changed_pages(pages: DataFrame, created_at: str, ttl_days: int = fixed.PAGE_TTL_DAYS) -> DataFrame:
+    """Versions of a stream of pages whose URL is new or whose content changed, by keyed state.
+
+    The state of a URL is one time and one hash and is dropped ``ttl_days`` after its last
+    version, when its snapshot entry is expired too. Start the query by :func:`start_stateful`.
+    """
+    good = successful(normalise_pages(pages))
+    fetched = F.coalesce(F.timestamp_seconds("scraped_at"), F.lit(created_at).cast("timestamp"))
+    content = F.sha2(F.to_json(F.struct("html", "markdown")), 256)
+    rows = good.withColumns({"fetched": F.unix_micros(fetched), "content_hash": content})
+    state = NewestVersion(ttl_days * 86_400_000)
+    return rows.groupBy("url").transformWithState(state, rows.schema, "Append", "ProcessingTime").drop(
+        "fetched", "content_hash"
+    )
+
+
+def start_stateful(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Start a query with keyed state that ends when the data does; its settings are the query's own."""
+    conf = stream.sparkSession.conf
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # State with a life time asks for a batch without data again and again.
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {name: conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        conf.set(name, value)
+    try:
+        return (
+            stream.writeStream.foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def ingest_pages(
-    stream: DataFrame, target: str, checkpoint: str, created_at: str, rules: Rules = Rules()
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    created_at: str,
+    rules: Rules = Rules(),
+    ttl_days: int = fixed.PAGE_TTL_DAYS,
 ) -> StreamingQuery:
-    """Parse every micro-batch of pages and store its snapshot rows.
+    """Parse the pages of every micro-batch that are new or changed and store their snapshot rows.
 
     Each batch goes to its own folder, overwritten when the batch is retried, so a
     restart neither loses nor repeats rows.  :func:`ingested` merges the batches.
@@ -50,12 +122,7 @@ def ingest_pages(
         entries = page_entries(batch, created_at, rules)
         entries.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return start_stateful(changed_pages(stream, created_at, ttl_days), store, checkpoint)
 
 
 def ingested(spark, target: str) -> DataFrame:

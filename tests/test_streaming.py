@@ -1,5 +1,7 @@
 """Streams give the batch result, also when the input comes in several batches."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from beaconry.operators.replay import cache_hits
@@ -47,3 +49,54 @@ def test_ingest_batches_and_retry(spark, tmp_path):
     got = jobs.ingested(spark, target).select("identifier", sheet["id"].alias("id"), sheet["title"].alias("title"), F.size(sheet["tags"]).alias("tags"))
     # Of equally old versions the one of the later batch stays; an older page replaces nothing.
     assert rows(got) == [("u1", "one-again", "One again", 1), ("u2", "two", "Two", 1)]
+
+
+def versions(spark, seed):
+    """Versions of 25 pages with distinct times in random order; many repeat the content before them."""
+    rng = random.Random(seed)
+    found = [
+        (100 * n + v, f"https://h/{n}", f"<h1>Page {n}</h1><h2>Attack</h2><p>content {rng.randrange(3)}</p>", float(1_000_000 + 10 * v))
+        for n in range(25) for v in range(6)
+    ]
+    rng.shuffle(found)
+    return found
+
+
+def test_ingest_of_shuffled_versions_equals_the_batch_of_the_newest(spark, tmp_path):
+    schema = "page_id bigint, url string, html string, scraped_at double"
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    found = versions(spark, 4)
+    # Three micro-batches, then a restart from the checkpoint with two more.
+    for parts in ((0, 1, 2), (3, 4)):
+        for k in parts:
+            spark.createDataFrame(found[k * 30 : k * 30 + 30], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.ingest_pages(stream, target, checkpoint, DAY).awaitTermination()
+        newest = {}
+        for row in found[: 30 * (parts[-1] + 1)]:
+            newest[row[1]] = max(newest.get(row[1], row), row, key=lambda r: r[3])
+        want = jobs.page_entries(spark.createDataFrame(list(newest.values()), schema), DAY)
+        got = jobs.ingested(spark, target)
+        assert rows(got, "identifier", "payload") == rows(want, "identifier", "payload")
+
+
+def test_only_new_and_changed_contents_pass(spark, tmp_path):
+    schema = "page_id bigint, url string, html string, scraped_at double"
+    source = str(tmp_path / "in")
+    batches = [
+        [(1, "u", "a", 10.0), (2, "u", "b", 20.0), (3, "v", "x", 5.0)],
+        [(4, "u", "old", 15.0), (5, "u", "b", 30.0), (6, "v", "x", 6.0), (7, None, "n", 1.0)],
+        [(8, "u", "c", 29.0), (9, "v", "y", 6.0), (10, "u", "", 99.0), (11, None, "n", 1.0)],
+    ]
+    seen = []
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+
+        def keep(frame, _):
+            seen.append(sorted(r.page_id for r in frame.collect()))
+
+        changed = jobs.changed_pages(stream, DAY)
+        jobs.start_stateful(changed, keep, str(tmp_path / "cp")).awaitTermination()
+    # An older version, the same content again and an empty page give nothing.
+    assert seen == [[2, 3], [7], [9]]
