@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import fixed_values as fixed
 from beaconry.functions.keys import report_name
-from beaconry.plans import review
+from beaconry.plans import review, rule_index
 from beaconry.session import scratch_path
 from beaconry.sources import documents
 from beaconry.sources.documents import review_state_json
@@ -92,6 +92,38 @@ def rule_scan(spark, sf):
     )
 
 
+# A rule for each long word of the benchmark texts: the word and the letters after it, in any case.
+SQL_WORD_RULES = """
+    SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark)
+"""
+
+
+def _word_rules(spark, sf):
+    words = table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")
+    )
+    word = F.col("rule_id")
+    return words.select(F.lower("w").alias("rule_id")).distinct().select(
+        "rule_id", F.lit("A01").alias("category_id"), F.lit("Word of the benchmark").alias("description"),
+        F.concat(F.lit("(?i)"), word, F.lit("[a-z]*")).alias("pattern"),
+        F.when(word < "m", "high").otherwise("low").alias("risk_level"), F.concat(F.lit("Check "), word).alias("advice"),
+    )
+
+
+@query(
+    "rule_table_scan",
+    f"""
+    SELECT doc_id, w AS rule_id, CASE WHEN w < 'm' THEN 'high' ELSE 'low' END AS risk_level,
+        regexp_extract(text, '(?i)' || w || '[a-z]*', 0) AS evidence
+    FROM documents JOIN ({SQL_WORD_RULES}) ON contains(lower(text), w)
+    """,
+)
+def rule_table_scan(spark, sf):
+    """Findings of a table of rules, one for each long word of the benchmark."""
+    scanned = rule_index.rule_table_scan(table(spark, sf, "documents"), "doc_id", "text", _word_rules(spark, sf))
+    return review.finding_rows(scanned, "doc_id").select("doc_id", "rule_id", "risk_level", "evidence")
+
+
 def _reviews(spark, sf):
     """Orders as model outputs: levels from the priority, a stated highest from the status."""
     level = F.lower(F.substring("o_orderpriority", 3, 100))
