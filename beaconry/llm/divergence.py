@@ -10,12 +10,15 @@ that holds most rows nor one with many sources lands in one task; pairs of sourc
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import materialise
+from beaconry.llm.common import materialise, slices
 
 #: Documents of its language a term must stand in, terms listed per group.
 LEAST_DOCS, LISTED = 30, 50
@@ -23,23 +26,54 @@ LEAST_DOCS, LISTED = 30, 50
 UNIT, PRIOR = 1_000_000_000, 5
 #: Hash buckets in which terms are numbered, sources compared as one tile, cells of one AND at a time.
 BUCKETS, TILE, CELLS = 4096, 64, 1 << 20
+#: Terms a task holds before it gives out their counts.
+HELD = 400_000
+#: Letters and bytes beyond ASCII make terms, A-Z become a-z, the rest parts them.
+_TERM_BYTES = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of (lang, source, text as UTF-8) rows: counts held per group, given out whenever ``HELD`` terms are held."""
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            columns = {
+                "lang": pa.array([lang] * len(terms), pa.string()),
+                "source": pa.array([source] * len(terms), pa.string()),
+                "term": pa.array(terms, pa.binary()),
+                "n": pa.array(n.values(), pa.int64()),
+                "docs": pa.array(map(docs.__getitem__, terms), pa.int64()),
+            }
+            yield from pa.table(columns).to_batches(max_chunksize=100_000)
+        held.clear()
+
+    for piece in slices(batches, text=2):
+        for lang, source, text in zip(*(piece.column(c).to_pylist() for c in range(3))):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            words = text.translate(_TERM_BYTES).split()
+            n.update(words)
+            docs.update(set(words))
+        if sum(len(n) for n, _ in held.values()) > HELD:
+            yield from given()
+    yield from given()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term in every group; nulls are ''.
 
-    Every row of ``docs`` is a document. Rows are combined on the map side, so a hot group or term moves as few.
+    Every row of ``docs`` is a document. Tasks add up what they see before the shuffle, so a hot group or term moves
+    as one row per task.
     """
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    ).select("lang", "source", F.array_remove(F.split(lowered, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "").alias("words"))
-    once = words.select("lang", "source", F.explode(F.array_distinct("words")).alias("term")).groupBy("lang", "source", "term")
-    every = words.select("lang", "source", F.explode("words").alias("term")).groupBy("lang", "source", "term")
-    marked = every.agg(F.count(F.lit(1)).alias("n")).select("*", F.lit(0).cast("long").alias("docs")).unionByName(
-        once.agg(F.count(F.lit(1)).alias("docs")).select("*", F.lit(0).cast("long").alias("n"))
+    texts = docs.select(
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
+        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+    )
+    found = texts.mapInArrow(_counted, "lang string, source string, term binary, n long, docs long")
+    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs")
     )
-    return marked.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counted: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -160,7 +194,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, listed: int = LISTED) -
 
     Null text, lang and source are ''. Ties go to the smaller item in UTF-8. A language without kept terms has
     pairs of value 0; a group alone in its language has none. Repeated rows count as documents each. Counts are
-    tables in the shared folder, so each text is split twice and nothing is counted again after a loss.
+    tables in the shared folder, so each text is split once and nothing is counted again after a loss.
     """
     counted = materialise(term_counts(docs), "term-counts")
     terms = materialise(kept_terms(counted, least_docs), "kept-terms")
