@@ -26,7 +26,7 @@ SHEET_DEFAULTS = {"description": "", "category": "General", "icon": "📋", "int
 RISK_DEFAULTS = {"icon": "⚠️", "description": ""}
 
 
-def _if_there(read: Callable[[], DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
+def there_or_empty(read: Callable[[], DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
     """``read()``, or ``empty()`` where its path does not exist."""
     try:
         return read()
@@ -70,7 +70,7 @@ def _read_json(
 ) -> DataFrame:
     """One row per file with its name; broken files keep ``_corrupt_record``."""
     full = f"{schema}, _corrupt_record string"
-    rows = _if_there(
+    rows = there_or_empty(
         lambda: spark.read.schema(full)
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
@@ -152,7 +152,7 @@ def source_catalog(spark: SparkSession, entries: Iterable[dict[str, str]]) -> Da
 def read_source_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The same from a JSON file with a ``data_sources`` list; a missing file has no sources."""
     entry = "array<struct<id:string,label:string,url:string,source:string>>"
-    return _if_there(
+    return there_or_empty(
         lambda: spark.read.schema(f"data_sources {entry}").option("multiLine", True).json(path)
         .select(F.posexplode("data_sources").alias("priority", "e"))
         .select("priority", "e.*"),
@@ -218,7 +218,7 @@ def read_reports(spark: SparkSession, directory: str) -> DataFrame:
 
     Order by ``file_name`` where the newest must come first.
     """
-    return _if_there(
+    return there_or_empty(
         lambda: spark.read.option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", True)
         .text(directory, wholetext=True)
@@ -245,7 +245,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
 def read_report_table(spark: SparkSession, path: str) -> DataFrame:
     """What :func:`write_reports` stored, in the columns of :func:`read_reports`; a name written
     twice counts once, with the larger content."""
-    stored = _if_there(
+    stored = there_or_empty(
         lambda: spark.read.schema(f"{REPORT_FILES}, day string").parquet(path).drop("day"),
         lambda: spark.createDataFrame([], REPORT_FILES),
     )
@@ -263,7 +263,7 @@ def write_json_by_slug(
     slug = slugify_ascii(F.col(slug_source), default)
     fresh = last_per_key(records.withColumn("slug", slug), ["slug"], [order_by])
     fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int"))
-    stored = _if_there(
+    stored = there_or_empty(
         lambda: records.sparkSession.read.schema(fresh.schema).json(path),
         lambda: fresh.filter(F.lit(False)),
     )

@@ -3,6 +3,7 @@
 from workload import (  # noqa: F401
     line_queries,
     page_queries,
+    record_queries,
     review_queries,
     snapshot_queries,
     source_queries,
