@@ -133,8 +133,8 @@ def normalise_risk_map(sets: DataFrame) -> DataFrame:
 
 
 def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A static reference table (risks or attack demos) kept as JSON lines."""
-    return spark.read.schema(schema).json(path)
+    """A static reference table (risks or attack demos) kept as JSON lines; a missing path is empty."""
+    return there_or_empty(lambda: spark.read.schema(schema).json(path), lambda: spark.createDataFrame([], schema))
 
 
 CATALOG_SCHEMA = "priority int, id string, label string, url string, source string"

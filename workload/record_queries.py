@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconry.session import scratch_path
-from beaconry.sources import records
+from beaconry.sources import documents, records
 from workload.registry import query, table
+from workload.text_queries import SQL_SLUG
 
 
 @query(
@@ -125,3 +126,79 @@ def canonical_hashes(spark, sf):
     first = parts.select("p_partkey", records.canonical_hash(parts, ["id", "body"]).alias("hash"))
     second = back.select("p_partkey", records.canonical_hash(back, ["body", "id"]).alias("other"))
     return first.join(second, "p_partkey").select("p_partkey", "hash", (F.col("hash") == F.col("other")).alias("same"))
+
+
+RISK_FIELDS = "risk_id string, title string, severity string, types array<struct<name:string,descr:string>>, impacts array<string>"
+
+
+@query(
+    "risk_reference",
+    """
+    SELECT 'R' || p_partkey AS risk_id, p_name AS title, 'High' AS severity, i AS n, CASE i WHEN 1 THEN p_brand ELSE p_type END AS impact
+    FROM part, (SELECT unnest([1, 2]) AS i)
+    """,
+)
+def risk_reference(spark, sf):
+    """A static risk table written as JSON lines and read back with its lists; the table that is not there adds nothing."""
+    path = scratch_path(spark, "reference")
+    table(spark, sf, "part").select(
+        F.concat(F.lit("R"), "p_partkey").alias("risk_id"), F.col("p_name").alias("title"), F.lit("High").alias("severity"),
+        F.array(F.struct(F.col("p_brand").alias("name"), F.lit("d").alias("descr"))).alias("types"),
+        F.array("p_brand", "p_type").alias("impacts"),
+    ).write.json(path)
+    both = documents.read_reference(spark, path, RISK_FIELDS).unionByName(
+        documents.read_reference(spark, f"{path}-none", RISK_FIELDS)
+    )
+    rows = both.select("risk_id", "title", "severity", F.posexplode("impacts").alias("n", "impact"))
+    return rows.withColumn("n", F.col("n") + 1)
+
+
+@query(
+    "sitemap",
+    f"""
+    SELECT {SQL_SLUG.format("title")} AS id, title, url, 'Web Security' AS category FROM
+        (SELECT 'zz ' || page_id AS title, 'https://guides.example.org/cheatsheets/zz-' || page_id || '.html?a=1&b=2' AS url FROM pages WHERE page_id % 3 > 0)
+    """,
+)
+def sitemap(spark, sf):
+    """Page addresses written as sitemaps with a name space, entities and other elements, and read back."""
+    row = F.concat(
+        F.lit("<url><loc>\n https://guides.example.org/"), F.when(F.col("page_id") % 3 > 0, "cheatsheets/").otherwise("other/"),
+        F.lit("zz-"), F.col("page_id"), F.lit(".html?a=1&amp;b=2 </loc><lastmod>2024-01-01</lastmod></url>"),
+    )
+    pages = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 100).alias("part"), "page_id", row.alias("x"))
+    head, tail = '<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>"
+    listed = pages.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("x")), "\n").alias("x"))
+    path = scratch_path(spark, "sitemap")
+    whole = F.concat(F.lit(head), "x", F.lit(tail), F.lit("\n<url><loc></loc></url>"))
+    listed.select(whole.alias("value")).write.text(path)
+    return documents.read_sitemap(spark, path)
+
+
+@query(
+    "text_files",
+    """
+    SELECT source, CASE WHEN source = 'gone' THEN 1 ELSE 0 END AS failed, n_chars, digest FROM (
+        SELECT source, cast(sum(length(text) + 1) AS BIGINT) AS n_chars,
+            md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM (
+            SELECT doc_id, source, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM documents) GROUP BY 1
+        UNION ALL SELECT 'gone', NULL, NULL)
+    """,
+)
+def text_files(spark, sf):
+    """One text file per source, read whole by name; a file that is not there becomes a row with an error."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", F.regexp_replace("text", "[^a-zA-Z ]", "").alias("text")
+    )
+    path = scratch_path(spark, "texts")
+    ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.col("path"), F.regexp_extract("path", "source=([^/]*)", 1).alias("source")
+    )
+    asked = files.unionByName(spark.createDataFrame([(f"{path}/gone.txt", "gone")], "path string, source string"))
+    read = documents.read_text_files(asked).join(asked, "path")
+    return read.select(
+        "source", F.col("error").isNotNull().cast("int").alias("failed"),
+        F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"),
+    )
