@@ -115,21 +115,33 @@ def pacing_interval_us(requests_per_minute: int) -> int:
     return 60_000_000 // requests_per_minute
 
 
+#: Rows of the last cell of a cut that one task may sort.
+CUT_ROWS = 10_000
+
+
 def cumulative_cut(
-    df: DataFrame, size: str, levels: Sequence[Column], order: Sequence[str], need: float
+    df: DataFrame,
+    size: str,
+    levels: Sequence[Column],
+    order: Sequence[str],
+    need: float,
+    most_rows: int = CUT_ROWS,
 ) -> DataFrame:
     """Rows, in ``order``, while the total size of all earlier rows is below ``need``.
 
     The cut is found like a radix select: sizes are summed per cell of the first
-    level, the one cell the cut falls into is refined by the next level, and only
-    the rows of the last cell are sorted.  No step orders the whole table.  Each
-    level must not decrease along ``order`` inside the cell before it and must have
-    a bounded number of values.
+    level, the one cell the cut falls into is refined by the next level until it has
+    ``most_rows`` rows at most, and only those are sorted.  No step orders the whole table,
+    also where all rows share the first levels.  Each level must not decrease along ``order``
+    inside the cell before it and must have a bounded number of values; the last levels should
+    tell all rows apart.  More rows than ``most_rows`` that no level parts are taken together.
     """
-    cell, before = F.lit(True), 0
+    cell, before, rows = F.lit(True), 0, None
     taken = F.lit(False)
     for level in levels:
-        sums = df.filter(cell).groupBy(level.alias("_cell")).agg(F.sum(size).alias("_size"))
+        sums = df.filter(cell).groupBy(level.alias("_cell")).agg(
+            F.sum(size).alias("_size"), F.count(F.lit(1)).alias("_rows")
+        )
         earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
         edge = (
             sums.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)) + before)
@@ -140,9 +152,13 @@ def cumulative_cut(
         )
         if not edge:
             return df.filter(taken | (cell & F.lit(need > before)))
-        before = edge[0]["_before"]
+        before, rows = edge[0]["_before"], edge[0]["_rows"]
         taken = taken | (cell & (level < F.lit(edge[0]["_cell"])))
         cell = cell & (level == F.lit(edge[0]["_cell"]))
+        if rows <= most_rows:
+            break
+    if rows is not None and rows > most_rows:
+        return df.filter(taken | cell)
     earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = (
         df.filter(cell)

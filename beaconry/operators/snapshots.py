@@ -64,6 +64,10 @@ def expire(snapshot: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     return kept, snapshot.agg(F.count_if(~is_valid(as_of)).alias("expired"))
 
 
+#: Length of the keys of snapshot rows.
+KEY_CHARS = 32
+
+
 def evicted(
     snapshot: DataFrame,
     max_bytes: float = fixed.MAX_CACHE_BYTES,
@@ -78,7 +82,8 @@ def evicted(
         return snapshot.filter(F.lit(False))
     # Texts sort like the times they show and need no time zone when compared later.
     times = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS"]
-    levels = [*[F.date_format("expires_at", t) for t in times], F.substring("key", 1, 4)]
+    keys = [F.substring("key", 1, length) for length in range(4, KEY_CHARS + 1, 4)]
+    levels = [*[F.date_format("expires_at", t) for t in times], *keys]
     order = ["expires_at", "key"]
     return cumulative_cut(snapshot, "size_bytes", levels, order, total - target * max_bytes)
 

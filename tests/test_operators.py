@@ -104,6 +104,28 @@ def test_evict_equals_loop(spark, limit):
     assert kept.count() == len(data) - len(want)
 
 
+@pytest.mark.parametrize("most_rows", [1, 50, 10_000])
+def test_evict_inside_one_expiry_time(spark, most_rows):
+    """Only a bounded cell reaches the one task that sorts, even if all rows expire together."""
+    rng = random.Random(3)
+    data = [(f"id{n}", f"{rng.getrandbits(128):032x}"[: 32 if n % 9 else 3] or "0", rng.randrange(100)) for n in range(3_000)]
+    data += [(f"same{n}", "f" * 32, 5) for n in range(40)]
+    snap = spark.createDataFrame(data, "identifier string, key string, size_bytes bigint").withColumn(
+        "expires_at", F.lit("2024-01-01").cast("timestamp")
+    )
+    levels = [F.col("expires_at").cast("string"), *[F.substring("key", 1, n) for n in (1, 2, 4, 32)]]
+    total = sum(d[2] for d in data)
+    for need in (0.5, 777, total / 2, total - 150, total + 1):
+        want, before = set(), 0
+        for name, key, size in sorted(data, key=lambda d: (d[1], d[0])):
+            if before < need:
+                want.add(name)
+            before += size
+        got = {r.identifier for r in running.cumulative_cut(snap, "size_bytes", levels, ["key", "identifier"], need, most_rows).collect()}
+        ties = {n for n, key, _ in data if key == "f" * 32} if most_rows == 1 and need == total - 150 else set()
+        assert got == want | ties
+
+
 TRIGGERS = ["impact", "effect"]
 PARTS = ["Impact list:", "the effect is", "- a longer bullet item", "* short", "12) numbered item here",
          "# heading", "", "  ", "plain words", "• dotted bullet entry", "3. third numbered entry", "- impact bullet again"]

@@ -147,6 +147,24 @@ def snapshot_evict(spark, sf):
     return snapshots.evicted(_page_snapshot(spark, sf), 500_000).select("page_id")
 
 
+@query(
+    "snapshot_evict_one_time",
+    """
+    WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS id, cast(l_quantity AS BIGINT) AS size, left(sha256(cast(l_orderkey * 8 + l_linenumber AS VARCHAR)), 32) AS key FROM lineitem),
+    r AS (SELECT id, sum(size) OVER () AS total, coalesce(sum(size) OVER (ORDER BY key, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+    SELECT id FROM r WHERE total > 50000 AND total - before > 0.8 * 50000
+    """,
+)
+def snapshot_evict_one_time(spark, sf):
+    """Order lines that all expire at the same time: the cut lies inside one time and is found by parts of the keys."""
+    identifier = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = table(spark, sf, "lineitem").select(
+        identifier.alias("id"), cache_key(identifier.cast("string")).alias("key"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("expires_at"), F.col("l_quantity").cast("bigint").alias("size_bytes"),
+    )
+    return snapshots.evicted(lines, 50_000).select("id")
+
+
 @query(
     "expiry_of",
     """
