@@ -273,41 +273,56 @@ SQL_RISKS = f"""
 """
 
 
+#: Recommendations of a risk: distinct ones by pattern, then place; seven of a risky section, five of a stand-in.
+SQL_ADVICE = f"""
+    SELECT page_id, risk_no, line, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, risk_no ORDER BY i) AS n FROM (
+        SELECT page_id, risk_no, risky, trim(r) AS line, min(i) AS i FROM (
+            SELECT page_id, risk_no, risky, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM (
+                SELECT page_id, risk_no, risky, list_concat({", ".join(_sql_all(p) for p in fixed.RECOMMENDATION_PATTERNS)}) AS l FROM ({SQL_RISKS})))
+        WHERE length(r) > 20 GROUP BY 1, 2, 3, 4)) WHERE n <= CASE WHEN risky THEN 7 ELSE 5 END
+"""
+
+
 @query(
     "section_risks",
     f"""
     SELECT page_id, risk_no, upper(left(sheet_title, 6)) || CASE WHEN risk_no < 10 THEN '0' ELSE '' END || risk_no AS risk_id, title,
         CASE WHEN NOT risky THEN 'Medium' {" ".join(f"WHEN {sql_words('lower(text)', w)} THEN '{k.capitalize()}'" for k, w in fixed.SEVERITY_KEYWORDS.items())} ELSE 'Medium' END AS severity,
         left(CASE WHEN text = '' THEN '' WHEN length(d) < 20 THEN '{fixed.EMPTY_DESCRIPTION}' ELSE d END, 500) AS description,
-        least(CASE WHEN risky THEN 7 ELSE 5 END, length(list_distinct(list_transform(list_filter(list_concat({", ".join(_sql_all(p) for p in fixed.RECOMMENDATION_PATTERNS)}),
-            lambda x: length(x) > 20), lambda x: trim(x))))) AS mitigation_count
+        part, n, line
     FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace({sql_prose(_STRIPPED)},
         '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS d FROM ({SQL_RISKS}))
+    LEFT JOIN (SELECT page_id, risk_no, 'mitigations' AS part, n, line FROM ({SQL_ADVICE})) USING (page_id, risk_no)
     """,
 )
 def section_risks(spark, sf):
-    found = sheets.risks(_sections(spark, sf))
-    return found.select(
-        "page_id", F.col("risk_no").cast("bigint").alias("risk_no"), "risk_id", "title", "severity",
-        "description", F.size("mitigations").cast("bigint").alias("mitigation_count"),
+    """Risks of every section with each line of their lists as a row."""
+    found = numbered.list_rows(
+        sheets.risks(_sections(spark, sf)), ["page_id", "risk_no", "risk_id", "title", "severity", "description"]
     )
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("risk_no", "n")})
 
 
 @query(
     "section_attacks",
     f"""
-    WITH risks AS (SELECT page_id, risk_no, title AS risk_title FROM ({SQL_RISKS})),
+    WITH risks AS (SELECT r.page_id, r.risk_no, r.title AS risk_title,
+            upper(left(sheet_title, 6)) || CASE WHEN r.risk_no < 10 THEN '0' ELSE '' END || r.risk_no AS risk_id, a.line AS advice
+        FROM ({SQL_RISKS}) r LEFT JOIN ({SQL_ADVICE}) a ON a.page_id = r.page_id AND a.risk_no = r.risk_no AND a.n = 1),
     attacks AS (SELECT page_id, section_no, title, text FROM ({SQL_SECTIONS}) WHERE {sql_words("lower(title)", fixed.ATTACK_KEYWORDS)}),
-    matched AS (SELECT a.page_id, a.section_no, a.title, a.text, r.risk_no,
+    matched AS (SELECT a.page_id, a.section_no, a.title, a.text, r.risk_no, r.risk_id, r.advice,
             row_number() OVER (PARTITION BY a.page_id, a.section_no ORDER BY NOT contains(lower(a.title), lower(r.risk_title)), r.risk_no) AS k
         FROM attacks a JOIN risks r USING (page_id)),
     scenarios AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY risk_no) AS k FROM risks
         WHERE page_id NOT IN (SELECT page_id FROM attacks))
-    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY section_no) AS example_no, title, left(text, 200) AS goal FROM matched WHERE k = 1
-    UNION ALL SELECT page_id, k, risk_title || ' Attack Scenario', 'Exploit ' || lower(risk_title) || ' vulnerability' FROM scenarios WHERE k <= 3
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY section_no) AS example_no, title, left(text, 200) AS goal,
+        risk_id, '' AS attack_prompt, '' AS impact, coalesce(advice, '') AS mitigation FROM matched WHERE k = 1
+    UNION ALL SELECT page_id, k, risk_title || ' Attack Scenario', 'Exploit ' || lower(risk_title) || ' vulnerability', risk_id,
+        '{fixed.SCENARIO_PROMPT.replace("'", "''")}', '{fixed.SCENARIO_IMPACT.replace("'", "''")}', coalesce(advice, '{fixed.SCENARIO_MITIGATION.replace("'", "''")}')
+        FROM scenarios WHERE k <= 3
     """,
 )
 def section_attacks(spark, sf):
     sections = _sections(spark, sf)
     found = sheets.attack_examples(sections)
-    return found.select("page_id", F.col("example_no").cast("bigint").alias("example_no"), "title", "goal")
+    return found.withColumn("example_no", F.col("example_no").cast("bigint"))

@@ -209,17 +209,12 @@ INDEX_PATTERNS = {
 }
 
 
-@query(
-    "build_index",
-    f"""
-    SELECT page_id, id, title, url, category FROM
-        (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY n) AS r FROM ({SQL_INDEX})) WHERE r = 1
-    """,
-)
-def build_index(spark, sf):
-    elements = element_table(_pages(spark, sf), tags=["a", "img", "article", "main"])
-    found = index.build_index(elements, BASE, **INDEX_PATTERNS)
-    return found.select("page_id", "id", "title", "url", "category")
+def _with_languages(pages, href):
+    """Pages whose article links one address with two named images, and again without any."""
+    link = F.concat(F.lit(f"<p><a href='{href}"), F.col("page_id") % 50, F.lit(".html'>P</a>"))
+    images = F.concat(F.lit("<img alt=' Go"), F.col("page_id") % 7, F.lit("'><img alt=''><img alt='Java'></p>"))
+    marked = F.concat(F.lit("<article>"), link, images, link, F.lit("</p>"))
+    return pages.withColumn("html", F.replace("html", F.lit("<article>"), marked))
 
 
 @query(
@@ -230,14 +225,28 @@ def build_index(spark, sf):
 )
 def languages_by_url(spark, sf):
     """Pages whose article names two languages as images beside a link, and has the link again without any."""
-    link = F.concat(F.lit("<p><a href='cheatsheets/P"), F.col("page_id") % 50, F.lit(".html'>P</a>"))
-    images = F.concat(F.lit("<img alt=' Go"), F.col("page_id") % 7, F.lit("'><img alt=''><img alt='Java'></p>"))
-    marked = F.concat(F.lit("<article>"), link, images, link, F.lit("</p>"))
-    pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<article>"), marked))
+    pages = _with_languages(_pages(spark, sf), "cheatsheets/P")
     elements = element_table(pages, tags=["a", "img", "article", "main"])
     return lk.languages_by_url(elements, F.lit(BASE))
 
 
+@query(
+    "build_index",
+    f"""
+    SELECT page_id, id, title, url, category, NULL AS languages FROM
+        (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY n) AS r FROM ({SQL_INDEX})) WHERE r = 1
+    UNION ALL SELECT page_id, 'p', 'P', '{BASE}' || href, {sql_category("lower('P' || ' ' || href)", CATEGORY_KEYS, fixed.CATEGORY_FALLBACKS)},
+        'Go' || (page_id % 7) || ', Java' FROM (SELECT page_id, '/cheatsheets/P' || (page_id % 50) || '.html' AS href FROM pages)
+    """,
+)
+def build_index(spark, sf):
+    """Index of every page, its languages included."""
+    pages = _with_languages(_pages(spark, sf), "/cheatsheets/P")
+    elements = element_table(pages, tags=["a", "img", "article", "main"])
+    found = index.build_index(elements, BASE, **INDEX_PATTERNS)
+    return found.select("page_id", "id", "title", "url", "category", "languages")
+
+
 @query(
     "build_index_loose",
     f"""

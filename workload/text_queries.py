@@ -19,6 +19,12 @@ SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, " \
 SQL_PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 
 
+def every_line(spark, sf, *others):
+    """``(doc_id, pos, line)`` of every line of the documents, with other columns of theirs."""
+    rows = table(spark, sf, "documents").select("doc_id", *others, F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return rows.select("doc_id", *others, F.col("n").cast("bigint").alias("pos"), "line")
+
+
 def first_line():
     return F.substring_index("text", "\n", 1)
 
@@ -60,7 +66,7 @@ SQL_SLUG = (
     "slugify",
     f"""
     SELECT 'part' AS kind, p_partkey AS id, {SQL_SLUG.format("p_name || ' / ' || p_type")} AS slug FROM part
-    UNION ALL SELECT 'document', doc_id, {SQL_SLUG.format(SQL_FIRST)} FROM documents
+    UNION ALL SELECT 'line ' || pos, doc_id, {SQL_SLUG.format("line")} FROM ({SQL_LINES})
     """,
 )
 def slugify(spark, sf):
@@ -68,23 +74,23 @@ def slugify(spark, sf):
     parts = table(spark, sf, "part").select(
         F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), text.slugify(name).alias("slug")
     )
-    docs = table(spark, sf, "documents").select(
-        F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
-        text.slugify(first_line()).alias("slug"),
+    lines = every_line(spark, sf).select(
+        F.concat(F.lit("line "), "pos").alias("kind"), F.col("doc_id").alias("id"),
+        text.slugify(F.col("line")).alias("slug"),
     )
-    return parts.unionByName(docs)
+    return parts.unionByName(lines)
 
 
 @query(
     "slugify_ascii",
     f"""
-    SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 80 THEN left(s, 71) || '-' || left(md5(s), 8) ELSE s END, ''), 'sheet') AS slug
-    FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(trim({SQL_FIRST})), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g') AS s FROM documents)
+    SELECT doc_id, pos, coalesce(nullif(CASE WHEN length(s) > 80 THEN left(s, 71) || '-' || left(md5(s), 8) ELSE s END, ''), 'sheet') AS slug
+    FROM (SELECT doc_id, pos, regexp_replace(regexp_replace(lower(trim(line)), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g') AS s FROM ({SQL_LINES}))
     """,
 )
 def slugify_ascii(spark, sf):
-    slug = text.slugify_ascii(first_line(), "sheet")
-    return table(spark, sf, "documents").select("doc_id", slug.alias("slug"))
+    slug = text.slugify_ascii(F.col("line"), "sheet")
+    return every_line(spark, sf).select("doc_id", "pos", slug.alias("slug"))
 
 
 @query(
@@ -326,17 +332,18 @@ def recommendations(spark, sf):
 @query(
     "title_tags",
     f"""
-    WITH words AS (SELECT doc_id, [lang] || list_transform(list_filter(regexp_extract_all({SQL_FIRST}, '[\\p{{L}}\\p{{N}}_]+'),
-        lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND length(w) > 3), lambda w: lower(w)) AS l FROM documents),
-    each AS (SELECT doc_id, unnest(l) AS tag, generate_subscripts(l, 1) AS i FROM words),
-    firsts AS (SELECT doc_id, tag, min(i) AS i FROM each GROUP BY 1, 2)
-    SELECT doc_id, tag, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rank FROM firsts) WHERE rank <= 10
+    WITH words AS (SELECT doc_id, pos, [lang] || list_transform(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'),
+        lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND length(w) > 3), lambda w: lower(w)) AS l
+        FROM ({SQL_LINES}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
+    each AS (SELECT doc_id, pos, unnest(l) AS tag, generate_subscripts(l, 1) AS i FROM words),
+    firsts AS (SELECT doc_id, pos, tag, min(i) AS i FROM each GROUP BY 1, 2, 3)
+    SELECT doc_id, pos, tag, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) AS rank FROM firsts) WHERE rank <= 10
     """,
 )
 def title_tags(spark, sf):
-    tags = tag_list(F.col("lang"), F.lit(None), first_line())
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tags).alias("n", "tag"))
-    return rows.select("doc_id", "tag", (F.col("n") + 1).cast("bigint").alias("rank"))
+    tags = tag_list(F.col("lang"), F.lit(None), F.col("line"))
+    rows = every_line(spark, sf, "lang").select("doc_id", "pos", F.posexplode(tags).alias("n", "tag"))
+    return rows.select("doc_id", "pos", "tag", (F.col("n") + 1).cast("bigint").alias("rank"))
 
 
 @query(
@@ -440,11 +447,11 @@ def capitalize(spark, sf):
 
 @query(
     "join_list",
-    f"SELECT doc_id, array_to_string(string_split({SQL_FIRST}, ' '), ', ') AS words FROM documents",
+    f"SELECT doc_id, pos, array_to_string(string_split(line, ' '), ', ') AS words FROM ({SQL_LINES})",
 )
 def join_list(spark, sf):
-    words = F.concat_ws(", ", F.split(first_line(), " "))
-    return table(spark, sf, "documents").select("doc_id", words.alias("words"))
+    words = F.concat_ws(", ", F.split("line", " "))
+    return every_line(spark, sf).select("doc_id", "pos", words.alias("words"))
 
 
 @query(
