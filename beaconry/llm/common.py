@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +63,18 @@ class RecentMap(dict):
             self.old = dict(self)
             self.clear()
         values = list(map(self.get, keys))
-        unknown = set(compress(keys, map(not_, values)))
-        if not unknown:
+        places = [i for i, v in enumerate(values) if v is None]
+        if not places:
             return values
-        self.update((k, v) for k in unknown if (v := self.old.get(k)) is not None)
+        unknown = {keys[i] for i in places}
+        old = self.old.get
+        self.update((k, v) for k in unknown if (v := old(k)) is not None)
         make = [k for k in unknown if k not in self]
         if make:
             self.update(zip(make, self.make(make)))
-        return list(map(self.__getitem__, keys))
+        for i in places:
+            values[i] = self[keys[i]]
+        return values
 
 
 def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:

@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 import regex
@@ -44,8 +45,8 @@ class Encoder:
     For byte-level BPE files a text is first cut into units of the file's split rule, so the ids of a text
     are those of its units in a row. Units are remembered (a bounded memo), and the unknown ones of many
     texts go through the library's BPE model together. Texts without neighbouring signs or blanks
-    are cut by plain replacement, others by the rule itself. Special-token strings in a text are
-    ordinary text. Other kinds of files get whole texts.
+    are cut by plain replacement, others by the rule itself. Texts that hold the string of an added token, such
+    as a special one, and all texts of other kinds of files go whole through the library with its defaults.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
@@ -53,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -92,25 +93,21 @@ class Encoder:
         written = "\n".join(units).encode().decode("latin-1").translate(self.letters).split("\n")
         bpe, code = self.whole.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         known = {u: array(code, [t.id for t in bpe(w)]).tobytes() for u, w in zip(units, written)}
-        out = []
-        for p in parts:
-            found = known.get(p)
+        out = list(map(known.get, parts))
+        for i, found in enumerate(out):
             if found is None:
-                found = b"".join([known.get(u) or self._library(u) for u in self._units(p)])
-            out.append(found)
+                out[i] = b"".join([known.get(u) or self._library(u) for u in self._units(parts[i])])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``self.dtype``."""
         if not self.by_parts:
             return [np.asarray(e.ids, self.dtype).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        cut = list(map(self._cut, texts))
-        found = self.parts.find([x for c in cut for x in c])
-        out, at = [], 0
-        for c in cut:
-            out.append(b"".join(found[at : at + len(c)]))
-            at += len(c)
-        return out
+        whole = {i: self._library(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
+        found = self.parts.find(list(chain.from_iterable(cut)))
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [whole[i] if i in whole else b"".join(found[ends[i] : ends[i + 1]]) for i in range(len(cut))]
 
 
 _ENCODERS: dict[str, Encoder] = {}

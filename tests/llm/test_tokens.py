@@ -24,9 +24,7 @@ DOCS = T.StructType([
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(default_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(default_path())
 
 
 def odd_docs(spark):
@@ -52,6 +50,13 @@ def test_encoder_equals_library(library):
         assert encode.encode(part) == want
 
 
+def test_added_tokens_are_ids_of_their_own(library):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain", "<|endoftext|><|endoftext|> x\n", "<|endoftext|"]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in Encoder(default_path()).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 50256, 65]
+
+
 def test_other_vocabularies_get_whole_texts():
     import public_tokenizers
 
