@@ -1,14 +1,15 @@
 """Documents that hold a benchmark item, verbatim or with up to a fifth of its words edited.
 
-An edit harms three triples of words in a row at most, so of the n - 2 triples of an item k edits leave n - 2 - 3 k,
-one at least, and all of them within k places of each other. Windows that hold so many of an item's triples
-at such places are aligned with it exactly, so no match is lost, however long the item is.
+A CGK walk turns the pieces of an item, its stretches of ``PIECE`` words, and all windows of as many words of a
+text into strings in which few edits become few differing positions. Sampled positions of a walk are a key; walks
+are repeated as often as a simulation says for the item's length and allowed edits, until items are met with
+probability ``RECALL``. Where a window shares a key and most words with a piece, the whole item is aligned exactly.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,38 +20,117 @@ from beaconry.llm.common import keyed_texts, mix, slices
 from beaconry.llm.words import hashed_words
 
 SIMILARITY = 0.8
-#: Items of fewer words are no evidence and never match.
-LEAST_WORDS = 6
-#: CGK walks and samples of their positions are a measure for short items only: the share of positions that an item
-#: and a window at the allowed distance have alike falls with the length (see README). The search does not use them.
-RECALL = 0.99
-SAMPLED, ALIKE = 2, 0.5
+#: Words of a piece, positions of a walk that make a key, and the share of items with all edits allowed to be met.
+PIECE, SAMPLED, RECALL = 6, 3, 0.999
+#: Words of a piece that its window may lack, and walks at least where edits are allowed.
+LACKING, LEAST_WALKS = 2, 4
 #: Characters of items that go to the tasks at once; more items are searched in blocks.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 8_000_000
+#: Words of texts that walks go over at a time.
+BLOCK_WORDS = 1 << 17
 FOUND_SCHEMA = "doc_id long, item_id long, edits long, n_words long, first_word long, last_word long"
-WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - ALIKE**SAMPLED))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def edits_allowed(n_words: int) -> int:
     return int(round((1 - SIMILARITY) * 10**6)) * n_words // 10**6
 
 
-def walk(words: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings of rows of word lists that end with zeros; the walk stays at 0 behind a list's end."""
-    rows, end = np.arange(len(words)), words.shape[1] - 1
-    at = np.zeros(len(words), np.int64)
-    out = np.empty((len(words), steps), np.uint64)
-    for j in range(steps):
-        word = words[rows, at]
-        out[:, j] = word
-        at = np.minimum(at + (mix(word, seed * 100_003 + j) & np.uint64(1)).astype(np.int64), end)
+def piece_size(n_words: int) -> int:
+    return min(n_words, PIECE)
+
+
+def sampled_positions(size: int, walk_no: int) -> list[int]:
+    """Positions of a walk over ``size`` words, which reaches the last word after twice as many steps as a rule."""
+    rng = np.random.default_rng(1000 * size + walk_no)
+    return sorted(rng.choice(max(2 * size - 1, SAMPLED), SAMPLED, replace=False).tolist())
+
+
+def keys(words: np.ndarray, begins: np.ndarray, size: int, walk_no: int) -> np.ndarray:
+    """The walk's key of each window of ``size`` words at ``begins``: its words at the sampled positions.
+
+    At each step a bit of the word's hash decides whether the walk goes on to the next word; it stays at the last one.
+    """
+    positions = sampled_positions(size, walk_no)
+    factor = np.uint64(int(mix(np.array([walk_no + 1], np.uint64), size)[0]) | 1)
+    with np.errstate(over="ignore"):
+        bits = (words * factor >> np.uint64(48)).astype(np.uint16)
+        at, last = begins.astype(np.int32), (begins + (size - 1)).astype(np.int32)
+        key = np.full(len(at), factor, np.uint64)
+        for step in range(positions[-1] + 1):
+            if step in positions:
+                key = (key ^ words[at]) * _ODD
+                key ^= key >> np.uint64(29)
+            if step < positions[-1]:
+                at += (bits[at] >> np.uint16(step)) & np.uint16(1)
+                np.minimum(at, last, out=at)
+        return key * _ODD
+
+
+def alike(words: np.ndarray, at: np.ndarray, others: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows of ``size`` words at ``at`` hold most words of the pieces at ``begins`` of ``others``."""
+    held = np.zeros(len(at), np.int64)
+    for i in range(size):
+        word, held_here = others[begins + i], np.zeros(len(at), bool)
+        for j in range(size):
+            held_here |= words[at + j] == word
+        held += held_here
+    return held >= min(size, max(size - LACKING, 2))
+
+
+def edited(words: list, k: int, rng: np.random.Generator, even: bool) -> list:
+    """``k`` words, at even distances or anywhere, replaced, left out, or with a new one in front."""
+    out, n = [], len(words)
+    first = int(rng.integers(n))
+    where = {(i * n + first) // k % n for i in range(k)} if even else set(rng.choice(n, k, replace=False).tolist())
+    for i, word in enumerate(words):
+        if i in where:
+            kind = rng.integers(3)
+            out += [[-i - 1], [], [-i - 1, word]][kind]
+        else:
+            out.append(word)
     return out
 
 
-def sampled_positions(n_words: int, walk_no: int) -> np.ndarray:
-    """Positions below 2 n, where a walk is as a rule still inside its list."""
-    rng = np.random.default_rng(1000 * n_words + walk_no)
-    return np.sort(rng.choice(2 * n_words, SAMPLED, replace=False))
+@lru_cache(None)
+def walks_needed(n_words: int) -> int:
+    """Walks until ``RECALL`` of random items of so many words share a key with their copies at the allowed edits.
+
+    Half of the copies have their edits at even distances, where no long stretch is left as it was.
+    """
+    k, size = edits_allowed(n_words), piece_size(n_words)
+    if not k:
+        return 1
+    rng = np.random.default_rng(n_words)
+    trials = max(200, 30_000 // n_words)
+    own, copies, row, rows = [], [], [], []
+    for t in range(trials):
+        base = [t * 4 * n_words + i + 2 * n_words for i in range(n_words)]
+        copy = [t * 4 * n_words if w < 0 else w for w in edited(base, k, rng, t % 2 == 0)]
+        for text, words, of in ((base, own, row), (copy, copies, rows)):
+            words += [*text, *range(10**9 + len(words), 10**9 + len(words) + PIECE)]
+            of += [t] * len(text) + [-1] * PIECE
+    own, copies = (mix(np.array(x, np.uint64), 1) for x in (own, copies))
+    row, rows = np.array(row), np.array(rows)
+    begins = np.flatnonzero((row >= 0) & (np.append(row[size - 1 :], [-1] * (size - 1)) == row))
+    windows = np.flatnonzero(rows >= 0)
+    met, walks = np.zeros(trials, bool), 0
+    while met.mean() < RECALL or walks < LEAST_WALKS:
+        key, other = keys(own, begins, size, walks), keys(copies, windows, size, walks)
+        order = np.argsort(key, kind="stable")
+        low, high = np.searchsorted(key[order], other), np.searchsorted(key[order], other, "right")
+        hit = np.flatnonzero(high > low)
+        piece = begins[order[low[hit]]]
+        right = (row[piece] == rows[windows[hit]]) & alike(copies, windows[hit], own, piece, size)
+        met[row[piece[right]]] = True
+        walks += 1
+    return walks
+
+
+def length_class(n_words: int) -> int:
+    """The length below 12 words, else its three leading bits: shorter items need no fewer walks."""
+    drop = max(0, n_words.bit_length() - 3)
+    return n_words if n_words < 12 else n_words >> drop << drop
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,50 +173,59 @@ class Matcher:
         self.items = []
         for i, item_id in enumerate(ids):
             words = hashes[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
-            if len(words) >= LEAST_WORDS:
+            if len(words):
                 self.items.append(Item(item_id, words))
-        self.length = np.array([len(x.words) for x in self.items], np.int64)
-        self.allowed = np.array([edits_allowed(n) for n in self.length.tolist()], np.int64)
-        self.needed = self.length - 2 - 3 * self.allowed
-        seeds = [(self._triples(x.words), t) for t, x in enumerate(self.items)]
-        triple = np.concatenate([s for s, _ in seeds]) if seeds else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(s), t) for s, t in seeds]) if seeds else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(s)) for s, _ in seeds]) if seeds else np.zeros(0, np.int64)
-        order = np.argsort(triple, kind="stable")
-        self.triple, self.item, self.place = triple[order], item[order], place[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.triple >> np.uint64(42)] = True
-
-    @staticmethod
-    def _triples(words: np.ndarray) -> np.ndarray:
-        return mix(mix(words[:-2], words[1:-1]), words[2:])
+        self.known = [np.unique(x.words) for x in self.items]
+        self.words = np.concatenate([x.words for x in self.items]) if self.items else np.zeros(0, np.uint64)
+        self.ahead = np.cumsum([0, *(len(x.words) for x in self.items)])
+        like: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for t, x in enumerate(self.items):
+            n = len(x.words)
+            like.setdefault((piece_size(n), walks_needed(length_class(n))), []).extend((t, at) for at in range(n - piece_size(n) + 1))
+        #: (words of a piece, number of the walk), and the sorted keys of all pieces with their item and place.
+        self.walks, table = set(), [[], [], []]
+        for (size, walks), where in like.items():
+            item, place = np.array(where, np.int64).T
+            for walk_no in range(walks):
+                self.walks.add((size, walk_no))
+                for column, values in zip(table, (keys(self.words, self.ahead[item] + place, size, walk_no), item, place)):
+                    column.append(values)
+        key, item, place = (np.concatenate(c) for c in table) if self.walks else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.place = key[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        bits = min(26, max(18, len(key).bit_length() + 4))
+        self.shift, self.maybe = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.maybe[self.key >> self.shift] = True
 
     def candidates(self, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, row, place of the window's first word), each once, of all windows with enough triples of the item.
-
-        A window's place is the first of its triples' (place in the text minus place in the item), and the triples
-        up to ``allowed`` places on are counted. It may begin before its document.
-        """
-        if len(words) < 3 or not len(self.triple):
-            return (np.zeros(0, np.int64),) * 3
-        triple = self._triples(words)
-        hit = np.flatnonzero(self.maybe[triple >> np.uint64(42)])
-        hit = hit[row[hit] == row[hit + 2]]
-        low, high = np.searchsorted(self.triple, triple[hit]), np.searchsorted(self.triple, triple[hit], "right")
-        n = high - low
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, item = np.repeat(hit, n), self.item[entry]
-        if not len(at):
+        """(item, row, place where the item would begin), each once and sorted, of all windows that share a key with
+        a piece. A place may lie before its document."""
+        if not len(words):
             return (np.zeros(0, np.int64),) * 3
-        doc, first = row[at], at - self.place[entry]
-        order = np.lexsort((first, doc, item))
-        item, doc, first = item[order], doc[order], first[order]
-        group = np.cumsum(np.append(0, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))
-        line = group * (int(first.max() - first.min()) + int(self.allowed.max()) + 1) + first
-        new = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        held = np.searchsorted(line, line[new] + self.allowed[item[new]], "right") - new
-        new = new[held >= self.needed[item[new]]]
-        return item[new], doc[new], first[new]
+        # Zeros behind each document, so that windows at its end have all their words.
+        begins = np.arange(len(words)) + row * PIECE
+        padded = np.zeros(len(words) + (int(row[-1]) + 1) * PIECE, np.uint64)
+        padded[begins] = words
+        span = len(words) + len(self.words) + 1
+        found = [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), BLOCK_WORDS):
+            here = slice(lo, min(lo + BLOCK_WORDS, len(words)))
+            ahead = int(begins[lo])
+            own, part = padded[ahead : int(begins[here.stop - 1]) + PIECE + 1], begins[here] - ahead
+            for size, walk_no in sorted(self.walks):
+                key = keys(own, part, size, walk_no)
+                hit = np.flatnonzero(self.maybe[key >> self.shift])
+                low, high = np.searchsorted(self.key, key[hit]), np.searchsorted(self.key, key[hit], "right")
+                # A key of very many items is met in parts.
+                for some in np.array_split(np.arange(len(hit)), int((high - low).sum()) // 1_000_000 + 1):
+                    n = high[some] - low[some]
+                    entry = np.repeat(low[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at, item, place = np.repeat(hit[some], n), self.item[entry].astype(np.int64), self.place[entry]
+                    near = alike(own, part[at], self.words, self.ahead[item] + place, size)
+                    at, item, place = at[near] + lo, item[near], place[near]
+                    found.append(np.unique((item * (int(row[-1]) + 1) + row[at]) * span + at - place + len(self.words)))
+        line, first = np.divmod(np.unique(np.concatenate(found)), span)
+        return *np.divmod(line, int(row[-1]) + 1), first - len(self.words)
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item_id, edits, item's words, first and last word of the stretch): the best of each row and item."""
@@ -154,11 +243,16 @@ class Matcher:
             n, k = len(item.words), edits_allowed(len(item.words))
             for at in range(0, len(doc), 512):
                 d, f = doc[at : at + 512], first[at : at + 512] - k
-                edits, a, b = align(item.words, self._windows(words, begins, d, f, np.full(len(d), n + 2 * k)))
+                windows = self._windows(words, begins, d, f, np.full(len(d), n + 2 * k))
+                # A stretch with k edits has n - k words of the item at least.
+                known = self.known[t[0]]
+                near = known[np.minimum(np.searchsorted(known, windows), len(known) - 1)] == windows
+                able = np.flatnonzero(near.sum(1) >= n - k)
+                edits, a, b = align(item.words, windows[able])
                 for i in np.flatnonzero(edits <= k):
-                    own = int(f[i]) - int(begins[d[i]])
+                    own = int(f[able[i]]) - int(begins[d[able[i]]])
                     value = (int(edits[i]), own + int(a[i]), own + int(b[i]))
-                    name = (int(d[i]), int(t[0]))
+                    name = (int(d[able[i]]), int(t[0]))
                     best[name] = min(best.get(name, value), value)
         return [(d, self.items[t].item_id, e, len(self.items[t].words), a, b) for (d, t), (e, a, b) in sorted(best.items())]
 
@@ -212,8 +306,8 @@ def contamination(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CH
     """One row per document and item that it holds: doc_id, item_id, edits, n_words (of the item), and the first
     and last word of the best stretch (words counted from 0 in the lower-cased text).
 
-    A match has at most a fifth of the item's words edited. Null texts have no words, null item ids and items of
-    fewer than ``LEAST_WORDS`` words never match, a null doc_id is kept, repeated rows are searched each for
+    A match has at most a fifth of the item's words edited, so items below five words match verbatim. Null texts have
+    no words, null item ids and items without words never match, a null doc_id is kept, repeated rows are searched each for
     itself; of equally good stretches the first is given. Empty tables give no row, and columns besides doc_id,
     item_id and text are not looked at.
     """
