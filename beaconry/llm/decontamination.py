@@ -22,6 +22,8 @@ from beaconry.llm.words import hashed_words
 SIMILARITY = 0.8
 #: Words of a piece, positions of a walk that make a key, and the share of items with all edits allowed to be met.
 PIECE, SAMPLED, RECALL = 6, 3, 0.999
+#: Steps between these positions at least in whole pieces.
+GAP = 3
 #: Words of a piece that its window may lack, and walks at least where edits are allowed.
 LACKING, LEAST_WALKS = 2, 4
 #: Characters of items that go to the tasks at once; more items are searched in blocks.
@@ -41,9 +43,13 @@ def piece_size(n_words: int) -> int:
 
 
 def sampled_positions(size: int, walk_no: int) -> list[int]:
-    """Positions of a walk over ``size`` words, which reaches the last word after twice as many steps as a rule."""
-    rng = np.random.default_rng(1000 * size + walk_no)
-    return sorted(rng.choice(max(2 * size - 1, SAMPLED), SAMPLED, replace=False).tolist())
+    """Positions of a walk over ``size`` words, which reaches the last word after twice as many steps as a rule.
+
+    In whole pieces they lie ``GAP`` steps apart at least, as the walk often stays at a word and a key of one word tells little.
+    """
+    rng, more = np.random.default_rng(1000 * size + walk_no), GAP - 1 if size == PIECE else 0
+    free = max(2 * size - 1 - more * (SAMPLED - 1), SAMPLED)
+    return [p + more * i for i, p in enumerate(sorted(rng.choice(free, SAMPLED, replace=False).tolist()))]
 
 
 def keys(words: np.ndarray, begins: np.ndarray, size: int, walk_no: int) -> np.ndarray:
