@@ -8,7 +8,9 @@ lower-cased words, one blank between.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -119,7 +121,7 @@ class Scanner:
                 m = self.patterns[number].search(text, max(0, place - k), min(len(text), place + len(wanted) + k))
                 if m:
                     part = m.group()
-                    begin, end = m.start() + len(part) - len(part.lstrip()), m.end() - len(part) + len(part.rstrip())
+                    begin, end = m.start() + len(part) - len(part.lstrip(" ")), m.end() - len(part) + len(part.rstrip(" "))
                     out.add((sum(m.fuzzy_counts), begin - end, begin, end, number))
         # Only matches that overlap are compared: groups of them in the order of the text.
         kept: list[tuple] = []
@@ -148,14 +150,16 @@ class Scanner:
         words = text.encode().lower().translate(_BREAKS).split()
         joined = " " + b" ".join(words).decode("latin-1") + " "
         base = self.base(joined)
-        starts = [joined.count(" ", 0, at) for at, _, _ in base]
+        # Places of the blanks before the words, in order; that before word i is the i-th.
+        blanks = [0, *accumulate(len(w) + 1 for w in words)]
+        starts = [bisect_left(blanks, at) for at, _, _ in base]
         notices = []
         for number, edits, begin, end in self.fuzzy(joined):
             wanted, label = self.notices[number]
-            first = joined.count(" ", 0, begin) - 1
+            first = bisect_left(blanks, begin) - 1
             notices.append({
                 "label": label, "edits": edits, "similarity": 1 - edits / len(wanted),
-                "first_word": first, "last_word": first + joined.count(" ", begin, end),
+                "first_word": first, "last_word": bisect_left(blanks, end) - 1,
             })
         return (
             len(words), len(base), min(starts, default=None), max(starts, default=None), sorted({x[2] for x in base}),
