@@ -8,6 +8,7 @@ the siblings that belong to it are kept, without menus, headers, forms and the l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,6 +41,8 @@ FRAME = frozenset("html body main article".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd div section h2 h3".split())
 PRIOR = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "li": -3.0}
 HEADINGS = frozenset("h1 h2 h3".split())
+#: Inside an article or main element these stay, whatever their class says.
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 LEAST_PARAGRAPH = 25
 LEVELS = 5
 #: A list or box of at least so many links is a menu where links are more than this share of its text.
@@ -64,6 +67,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.aside = ["#root"], [-1], [False]
         self.open, self.parts = [0], []
+        #: How many elements of each tag are open.
+        self.depth = Counter(["#root"])
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -80,6 +85,7 @@ class Tree(HTMLParser):
         self.parents.append(self.open[-1])
         self.aside.append(self._is_aside(tag, attrs))
         self.open.append(len(self.tags) - 1)
+        self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,9 +99,13 @@ class Tree(HTMLParser):
         self.parts.append((self.open[-1], data))
 
     def _end_within(self, tag, holders):
+        # Most end tags that are implied have nothing to end: no walk through deep pages for these.
+        if not self.depth[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             name = self.tags[self.open[depth]]
             if name == tag:
+                self.depth.subtract(self.tags[i] for i in self.open[depth:])
                 del self.open[depth:]
                 return
             if name in holders:
@@ -104,9 +114,11 @@ class Tree(HTMLParser):
     def _is_aside(self, tag, attrs) -> bool:
         if tag in NEVER:
             return True
+        inside = self.depth["article"] or self.depth["main"]
         if tag == "header":
-            return not any(self.tags[i] in ("article", "main") for i in self.open)
-        if tag in FRAME:
+            return not inside
+        # A heading of the article is named after its look as often as after its place.
+        if tag in FRAME or inside and tag in TITLES:
             return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:

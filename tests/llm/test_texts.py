@@ -1,6 +1,7 @@
 """License scans, main texts and benchmark items against plain loops and gold texts."""
 
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -262,3 +263,20 @@ def test_articles_equal_their_sql_twin(spark):
     duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     want = sorted(duck.execute(ORACLES["op4_articles"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op4_articles"](spark, SF).select("page_id", "url", "text", "n_chars").collect()) == want
+
+
+def test_long_license_texts_are_scanned_in_linear_time():
+    begin = time.process_time()
+    got = licenses.Scanner().scan("released\u00a0under mit license " * 60_000)
+    assert got[:4] == (4 * 60_000 - 60_000, 60_000, 1, 3 * 60_000 - 2) and time.process_time() - begin < 60
+    text = "caf\u00e9 of the mozila public license, all rights reserved \u0085\u00e0"
+    assert [(n["label"], n["first_word"], n["last_word"]) for n in licenses.Scanner().scan(text)[5]] == [("mpl", 3, 5), ("reserved", 6, 8)]
+
+
+def test_headings_of_the_article_stay_and_deep_pages_are_read():
+    part = "A sentence of some words, with a comma, that is long enough to count as a paragraph of the article."
+    html = f"<body><div class='header'>Site</div><article><h2 class='section-header'>Second heading</h2><p>{part}</p><p>{part}</p></article></body>"
+    assert articles.extract(html) == f"Second heading {part} {part}"
+    begin = time.process_time()
+    deep = "<div>" * 50_000 + f"<p>{part}</p>" + "</div>" * 50_000
+    assert articles.extract(deep) == part and time.process_time() - begin < 30
