@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,8 +152,7 @@ def calibrate(index: Index, sample: np.ndarray, k: int) -> None:
 def usable(table: DataFrame) -> DataFrame:
     """vec_id and the vector (doubles) of rows that take part, and its norm.
 
-    Left out: a null vec_id; vectors null, empty, zero or with null or non-finite components; and vectors whose
-    length is not the most frequent one (of equally frequent lengths the largest).
+    Left out: a null vec_id; vectors null, empty, zero or with null or non-finite components.
     """
     v = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null")
@@ -199,22 +199,32 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     Queries are rows whose vec_id is divisible by ``every``; candidates all rows but those of the query's own vec_id.
     Ties go to the smaller vec_id; repeated rows of one vec_id count once, with their best score, and as one query.
-    Rows that ``usable`` leaves out are no queries and no candidates. An empty table gives no row.
+    Rows that ``usable`` leaves out are no queries and no candidates. Only vectors of one length have an inner
+    product: each length of the table gets an index of its own. An empty table gives no row.
     """
-    rows = usable(table)
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("norm"))
-    common = lengths.orderBy(F.desc("rows"), F.desc("n")).first()
-    if common is None:
+    rows = usable(table).withColumn("size", F.size("v"))
+    lengths = rows.groupBy("size").agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("norm"))
+    # One row per length of vectors; a table of embeddings has one or a few.
+    found = [_nearest_of_length(rows.filter(F.col("size") == x["size"]), x["rows"], x["norm"], every, k) for x in lengths.orderBy("size").collect()]
+    if not found:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == common["n"])
-    index = fit(rows, common["rows"], common["norm"], k)
-    context = table.sparkSession.sparkContext
+    # An id that several lists or tasks gave counts once, with its best score.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(rows: DataFrame, total: int, norm: float, every: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each task for vectors that have one length; an id may repeat."""
+    index = fit(rows, total, norm, k)
+    spark = rows.sparkSession
+    context = spark.sparkContext
     posted = materialise(posting_lists(rows, context.broadcast(index)), "postings")
     for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list
         index.sizes[r["list"]] = r["n"]
     sent = context.broadcast(index)
-    width = np.maximum(1, np.ceil(index.sizes / BLOCK_ROWS)).astype(int).tolist()
-    blocks = F.element_at(F.array(*[F.lit(w) for w in width]) if max(width) > 1 else F.array_repeat(F.lit(1), len(width)), F.col("list") + 1)
+    cuts = np.maximum(1, np.ceil(index.sizes / BLOCK_ROWS)).astype(int).tolist()
+    blocks = F.element_at(F.array(*[F.lit(w) for w in cuts]) if max(cuts) > 1 else F.array_repeat(F.lit(1), len(cuts)), F.col("list") + 1)
 
     def ask(batches):
         for batch in batches:
@@ -228,18 +238,16 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                     ["list", "vec_id", "v"],
                 )
 
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.lit(1)).select("vec_id", "v")
+    # A width of its own: few rows, but each is a search through the graph.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(width, "vec_id").dropDuplicates(["vec_id", "v"])
     asked = queries.mapInArrow(ask, "list int, vec_id long, v array<double>")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("query", F.lit(True))
     stored = posted.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("query", F.lit(False))
-    met = (
+    return (
         stored.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "query", "vec_id")
         .select("list", "block", "query", "vec_id", "v").mapInArrow(_meet(k), FOUND_SCHEMA)
     )
-    # An id that several lists or tasks gave counts once, with its best score.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _meet(k: int):
@@ -266,8 +274,10 @@ def _meet(k: int):
                     ids.append(vec_id[at])
                     vectors.append(v[at])
                 elif ids:
+                    if len(ids) > 1:
+                        ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
                     for part in np.array_split(at, len(at) // 64 + 1):
-                        _keep_best(np.concatenate(ids), np.concatenate(vectors), vec_id[part], v[part], held, k)
+                        _keep_best(ids[0], vectors[0], vec_id[part], v[part], held, k)
             if len(held) > HELD_QUERIES:
                 yield from _given(held)
                 held = {}

@@ -63,6 +63,16 @@ def test_odd_rows(spark):
     assert neighbours.nearest(table_of(spark, [])).count() == 0
 
 
+def test_each_length_is_searched_for_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, rng.normal(size=4 if n % 3 else 7).astype(np.float32).tolist()) for n in range(400)] + [(440, [1.0] * 5)]
+    got, want = got_of(neighbours.nearest(table_of(spark, rows))), {}
+    for size in (4, 7):
+        want |= brute([r for r in rows if len(r[1]) == size])
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_an_id_with_different_vectors_counts_once(spark, monkeypatch):
     met = [(0, i, 1 / (1 + i + 100 * copy)) for i in range(1, 41) for copy in range(3)] + [(0, 1, 1 - n / 100) for n in range(30)]
     monkeypatch.setattr(neighbours, "_meet", lambda k: _given_rows(met))
