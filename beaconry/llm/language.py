@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece. A word's probability is the sum over all ways to cut it
 into pieces, by the forward algorithm; a text's is the product over its words. The probabilities are fitted
-by expectation maximisation (forward and backward sums) on word counts of a bounded labelled sample.
+by expectation maximisation (forward and backward sums) on word counts of a bounded labelled sample. Texts without
+blanks are long words: their sums run over the whole stretch, in logarithms.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from beaconry.llm.sampling import labelled_sample
 #: Documented bound: so many labelled rows at most are used for fitting.
 SAMPLE_ROWS = 6_000
 ROUNDS = 2
-#: Longer pieces are not used, and longer stretches without a break are scored in parts of this many bytes.
+#: Longer pieces are not used. Scores of longer words are not remembered, and the fit takes such words in parts.
 LONGEST_PIECE, LONGEST_WORD = 10, 40
+#: Bytes of long words that are scored side by side, about.
+LONG_BYTES = 100_000
 #: Expected count that every piece has besides what the sample shows.
 PRIOR_COUNT = 0.01
 #: Scale per byte that keeps products of probabilities within range.
@@ -41,11 +44,20 @@ def default_path() -> str:
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased stretches of ASCII letters and non-ASCII characters, long ones in parts."""
-    words = text.lower().encode().translate(_BREAKS).split()
-    if any(len(w) > LONGEST_WORD for w in words):
-        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    return words
+    """Lower-cased stretches of ASCII letters and non-ASCII characters."""
+    return text.lower().encode().translate(_BREAKS).split()
+
+
+def parts_of(word: bytes) -> list[bytes]:
+    """A word in parts of ``LONGEST_WORD`` bytes at most, cut between characters."""
+    parts = []
+    while len(word) > LONGEST_WORD:
+        cut = LONGEST_WORD
+        while word[cut] & 0xC0 == 0x80:
+            cut -= 1
+        parts.append(word[:cut])
+        word = word[cut:]
+    return [*parts, word]
 
 
 class Pieces:
@@ -114,6 +126,27 @@ def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     return a
 
 
+def forward_long(ids: np.ndarray, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over all cuts of the first ``lengths`` bytes of each row: [row, language].
+
+    Only the last columns are carried on, and brought back to a common size from time to time.
+    """
+    rows, width, most = ids.shape
+    columns = [np.ones((rows, table.shape[1]))]
+    size, out = np.zeros((rows, table.shape[1])), np.zeros((rows, table.shape[1]))
+    for end in range(1, width + 1):
+        new = sum(columns[-k] * table[ids[:, end - k, k - 1]] for k in range(1, min(most, end) + 1))
+        columns = [*columns[-most + 1 :], new] if most > 1 else [new]
+        done = lengths == end
+        if done.any():
+            out[done] = np.log(np.maximum(new[done], 1e-300)) + size[done]
+        if end % 16 == 0:
+            top = np.maximum(np.max(columns, 0), 1e-300)
+            columns = [c / top for c in columns]
+            size += np.log(top)
+    return out
+
+
 def backward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     rows, width, most = ids.shape
     b = np.zeros((rows, width + 1, table.shape[1]))
@@ -160,10 +193,29 @@ class Scorer:
     def score(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text in each language."""
         words = [words_of(t) for t in texts]
+        long = [(i, w) for i, ws in enumerate(words) for w in ws if len(w) > LONGEST_WORD]
+        if long:
+            words = [[w for w in ws if len(w) <= LONGEST_WORD] for ws in words]
         flat = np.frombuffer(b"".join(self.known.find([w for ws in words for w in ws])), np.float32).reshape(-1, self.languages)
         ends = np.cumsum([len(w) for w in words])
         sums = np.concatenate([np.zeros((1, self.languages)), np.cumsum(flat, 0, dtype=np.float64)])
-        return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        out = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        if long:
+            np.add.at(out, [i for i, _ in long], self._score_long([w for _, w in long]))
+        return out
+
+    def _score_long(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(words), self.languages))
+        lengths = np.array([len(w) + 1 for w in words])
+        order = np.argsort(lengths, kind="stable")
+        while len(order):
+            # Words of like length side by side; bytes behind a word's end do not touch its sum.
+            some = order[: int(np.searchsorted(lengths[order] * np.arange(1, len(order) + 1), LONG_BYTES)) or 1]
+            width = int(lengths[some[-1]])
+            text = np.frombuffer(b"".join((b" " + words[i]).ljust(width, b" ") for i in some), np.uint8).reshape(-1, width)
+            out[some] = forward_long(self.pieces.lattice(text), self.table, lengths[some]) - (lengths[some] * np.log(PER_BYTE))[:, None]
+            order = order[len(some) :]
+        return out
 
 
 class Model:
@@ -189,7 +241,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, sample_rows: int = SAMPL
         for batch in slices(batches):
             counts: dict = defaultdict(Counter)
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts[lang].update(words_of(text))
+                counts[lang].update(p for w in words_of(text) for p in parts_of(w))
             flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat)], ["lang", "word", "n"])

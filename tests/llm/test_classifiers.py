@@ -106,3 +106,26 @@ def test_language_on_held_out_rows(spark):
     unnamed = language.language(docs.filter("lang is null")).collect()
     assert {(r["lang_pred"], r["score"]) for r in unnamed} == {("und", 0.0)}
     assert language.language(docs.limit(0)).count() == 0
+
+
+def test_long_stretches_are_summed_over_all_cuts():
+    pieces = language.pieces_of(language.default_path())
+    rng = np.random.default_rng(4)
+    table = rng.dirichlet(np.ones(pieces.count), 3)
+    scorer = language.Scorer(language.default_path(), table)
+    number = {p: i for i, p in enumerate(pieces.pieces)}
+    thai = "ภาษาไทยเป็นภาษาที่มีการใช้กันอย่างแพร่หลายในประเทศไทยและไม่มีช่องว่างระหว่างคำ"
+    stretches = [thai.encode(), (thai * 40).encode(), b"x" * 41, ("ж" * 3_000).encode()]
+    got = scorer.score([s.decode() for s in stretches] + [thai + " " + "x" * 41, ""])
+    for stretch, found in zip(stretches, got):
+        text, sums = b" " + stretch, [np.zeros(3)]
+        for end in range(1, len(text) + 1):
+            terms = [
+                sums[end - k] + np.log(table[:, number[text[end - k : end]]])
+                for k in range(1, min(end, language.LONGEST_PIECE) + 1) if text[end - k : end] in number
+            ]
+            sums.append(np.logaddexp.reduce(terms))
+        assert np.allclose(found, sums[-1], rtol=1e-9)
+    assert np.allclose(got[4], got[0] + got[2]) and not got[5].any()
+    parts = language.parts_of(thai.encode())
+    assert b"".join(parts).decode() == thai and all(p.decode() and len(p) <= language.LONGEST_WORD for p in parts)
