@@ -31,6 +31,8 @@ RECALL = 0.97
 #: Rows of a list that one block holds at most, about.
 BLOCK_ROWS = 4_096
 GRAPH_LINKS = 16
+#: Queries that a task searches lists for, about, while there are partitions enough.
+TASK_QUERIES = 64
 #: Queries whose best a task holds before it gives them.
 HELD_QUERIES = 100_000
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
@@ -239,7 +241,7 @@ def _nearest_of_length(rows: DataFrame, total: int, norm: float, every: int, k:
                 )
 
     # A width of its own: few rows, but each is a search through the graph.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / every / TASK_QUERIES))
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(width, "vec_id").dropDuplicates(["vec_id", "v"])
     asked = queries.mapInArrow(ask, "list int, vec_id long, v array<double>")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("query", F.lit(True))
