@@ -113,3 +113,5 @@ def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path):
     for sf in (folder, single):
         found = stream_queries.stream_ingest(spark, str(sf))
         assert rows(found, "identifier", "title") == [(f"https://h/{n}", f"Page {n}") for n in range(9)]
+    newest = stream_queries.stream_versions(spark, str(folder))
+    assert rows(newest, "identifier", "title") == [(f"https://h/{n}", f"V{(5 - n % 3) % 3} Page {n}") for n in range(9)]
