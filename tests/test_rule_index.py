@@ -75,6 +75,18 @@ def test_two_thousand_rules_against_plain_search_and_their_time(spark):
     assert many < 6 * few + 2  # a hundred times the rules
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ri, "SLICE_BYTES", 50)
+    texts = spark.createDataFrame(some_texts(40), "k int, t string")
+    rules = spark.createDataFrame(some_rules(30), FIELDS)
+    found = ri.rule_table_scan(texts, "k", "t", rules)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert sum(len(r.findings) for r in found.collect()) == sum(
+        len(r.findings) for r in review.rule_scan(texts, "k", "t", [review.Rule(*r) for r in some_rules(30)]).collect()
+    )
+
+
 def test_no_rules_and_no_texts(spark):
     texts = spark.createDataFrame([(1, "abc")], "k int, t string")
     rules = spark.createDataFrame([], FIELDS)
