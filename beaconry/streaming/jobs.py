@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType, IntegralType, StringType, StructField, StructType
 
 from beaconry.functions import fixed_values as fixed
 from beaconry.operators.firsts import last_per_key
@@ -138,15 +139,23 @@ def stream_cache_hits(
     row_id: str,
     ttl_us: int,
     lateness: str = "1 hour",
+    buckets: int = 2_048,
 ) -> DataFrame:
     """Hit or miss per request of a stream; the state of a key is one expiry time.
 
-    Rows of a micro-batch are put in time order per key, so size micro-batches (for
-    files ``maxFilesPerTrigger``) to what one task can sort.  Rows later than the
-    watermark are dropped by Spark; state without requests for a while times out,
-    which cannot change a result because it is expired by then.
+    Keys are dealt into ``buckets`` by hash, and each bucket keeps the expiry times of its keys, so a
+    micro-batch costs a Python call per bucket, not per key.  Rows of a micro-batch are put in time
+    order per bucket, so size micro-batches (for files ``maxFilesPerTrigger``) and buckets to
+    what one task can sort.  Rows later than the watermark are dropped by Spark; what a
+    key has is dropped in a later call of its bucket, or when the whole bucket times out, which
+    cannot change a result because it is expired by then.
     """
-    schema = requests.select(*keys, time, row_id).schema.add("miss", "boolean")
+    fields = requests.select(*keys, time, row_id).schema
+    # Whole numbers with nulls would become floats in pandas.
+    whole = [k for k in keys if isinstance(fields[k].dataType, IntegralType)]
+    carried = fields.fields[: len(keys)]
+    schema = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in carried])
+    schema = schema.add(fields[time]).add(fields[row_id]).add("_no_id", "boolean").add("miss", "boolean")
 
     def replay(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
@@ -157,19 +166,42 @@ def stream_cache_hits(
         parts = list(frames)
         rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         micros = rows[time].to_numpy().astype("datetime64[us]").astype("int64")
-        order = np.lexsort((rows[row_id].to_numpy(), micros))
-        found, expiry = misses_in_order(micros[order], state.get[0] if state.exists else None, ttl_us)
+        owner, owners = pd.factorize(rows["_owner"])
+        order = np.lexsort((rows[row_id].to_numpy(), rows["_no_id"].to_numpy(), micros, owner))
+        micros, ends = micros[order], np.cumsum(np.bincount(owner, minlength=len(owners)))
+        expiries = dict(zip(*state.get)) if state.exists else {}
         flags = np.zeros(len(rows), dtype=bool)
-        flags[order[found]] = True
-        state.update((int(expiry),))
-        state.setTimeoutTimestamp(max(int(expiry) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(miss=flags)
-
-    return (
-        requests.select(*keys, time, row_id)
+        fresh, start = {}, 0
+        for name, end in zip(owners, ends.tolist()):
+            found, expiry = misses_in_order(micros[start:end], expiries.pop(name, None), ttl_us)
+            flags[order[start:end][found]] = True
+            fresh[name], start = int(expiry), end
+        watermark = state.getCurrentWatermarkMs()
+        fresh.update((name, expiry) for name, expiry in expiries.items() if expiry // 1000 + 1 > watermark)
+        state.update((list(fresh), list(fresh.values())))
+        state.setTimeoutTimestamp(max(max(fresh.values()) // 1000 + 1, watermark + 1))
+        yield rows.drop(columns=["_owner", "_bucket"]).assign(miss=flags)
+
+    named = F.to_json(F.struct(*[(F.hex(k) if isinstance(fields[k].dataType, BinaryType) else F.col(k).cast("string")).alias(k) for k in keys]))
+    known_id = F.coalesce(row_id, F.lit(0)) if isinstance(fields[row_id].dataType, IntegralType) else F.col(row_id)
+    replayed = (
+        requests.select(
+            *[F.col(k).cast("string").alias(k) if k in whole else F.col(k) for k in keys],
+            time,
+            known_id.cast(fields[row_id].dataType).alias(row_id),
+            F.col(row_id).isNull().alias("_no_id"),
+            named.alias("_owner"),
+            F.pmod(F.xxhash64(named), F.lit(buckets)).alias("_bucket"),
+        )
         .withWatermark(time, lateness)
-        .groupBy(*keys)
+        .groupBy("_bucket")
         .applyInPandasWithState(
-            replay, schema, "expiry long", "append", GroupStateTimeout.EventTimeTimeout
+            replay, schema, "owners array<string>, expiries array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
+    return replayed.select(
+        *[F.col(k).cast(fields[k].dataType) for k in keys],
+        time,
+        F.when(~F.col("_no_id"), F.col(row_id)).alias(row_id),
+        "miss",
+    )

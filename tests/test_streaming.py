@@ -33,6 +33,26 @@ def test_stream_hits_equal_batch(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "miss") == rows(batch, "id", "miss")
 
 
+def test_keys_of_one_bucket_stay_apart(spark, tmp_path):
+    big = 2**53 + 1
+    requests = spark.createDataFrame(
+        [(k, e, t, big + 10 * t + n) for t in (0, 100, 200, 400) for n, (k, e) in enumerate([(big, "a"), (big + 1, "a"), (None, "a"), (big, None), (1, "")])],
+        "k bigint, e string, t bigint, id bigint",
+    ).withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
+    source = str(tmp_path / "in")
+    for low in (0, 200):
+        requests.filter(f"t >= {low} and t < {low + 201}").filter(f"t < 200 or {low} > 0").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    hits = jobs.stream_cache_hits(stream, ["k", "e"], "ts", "id", 150_000_000, buckets=2)
+    hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start().awaitTermination()
+    batch = cache_hits(requests.withColumn("us", F.unix_micros("ts")), ["k", "e"], "us", "id", 150_000_000)
+    key = F.to_json(F.struct("k", "e")).alias("key")
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(found, key, "id", "miss") == rows(batch, key, "id", "miss")
+
+
 def test_ingest_batches_and_retry(spark, tmp_path):
     source = str(tmp_path / "pages")
     pages = [
