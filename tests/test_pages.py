@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from beaconry.functions import fixed_values
 from beaconry.operators import links as lk
 from beaconry.operators import sections as sec
 from beaconry.plans import index, numbered, sheets
+from beaconry.sources import html_elements
 from beaconry.sources.html_elements import element_table, parse_elements
 from beaconry.sources.pages import explode_crawl, normalise_pages, successful
 from tests import fixtures
@@ -288,3 +291,13 @@ def test_elected_keeps_the_least_level(spark):
     frame = spark.createDataFrame(rows_in, "source_id string, level int, title string")
     found = sorted(tuple(r) for r in numbered.elected(frame.fillna("none")).collect())
     assert found == [("none", "m"), ("s", "a"), ("s", "b"), ("t", "y")]
+
+
+def test_elements_leave_a_batch_a_few_pages_at_a_time(monkeypatch):
+    monkeypatch.setattr(html_elements, "SLICE_CHARS", 30)
+    sources = ["<p>one</p>" * 2, "", None, "<a href='x'>two</a><br>", "text", "<h1><b>three</b></h1>" * 5]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array([7, 8, 9, None, 11, 12]), "html": pa.array(sources)})
+    got = list(html_elements.element_batches([batch, batch.slice(0, 0)], None))
+    want = [{"page_id": key, **row, "parent_last": row["parent_last"]} for key, page in zip([7, 8, 9, None, 11, 12], sources) for row in parse_elements(page)]
+    assert [r for part in got for r in part.to_pylist()] == want
+    assert len(got) > 1 and max(part.num_rows for part in got) < len(want)
