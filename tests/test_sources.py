@@ -87,6 +87,15 @@ def test_text_files_and_errors(spark, tmp_path):
     assert rows(docs.read_binary_text(spark, str(tmp_path / "bin"))) == [("x.bin", "ab")]
 
 
+def test_text_files_are_read_in_several_tasks(spark, tmp_path):
+    for n in range(40):
+        folder = put(tmp_path / "many", f"{n}.diff", str(n))
+    asked = spark.createDataFrame([(f"{folder}/{n % 40}.diff",) for n in range(80)], "path string")
+    read = docs.read_text_files(asked).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(int(r.content) for r in read) == list(range(40))
+    assert len({r.task for r in read}) > 1
+
+
 def test_reports_round_trip(spark, tmp_path):
     target = str(tmp_path / "reports")
     assert docs.read_reports(spark, target).count() == 0
