@@ -87,6 +87,11 @@ def test_text_files_and_errors(spark, tmp_path):
     assert rows(docs.read_binary_text(spark, str(tmp_path / "bin"))) == [("x.bin", "ab")]
 
 
+def test_bytes_of_a_file_as_text():
+    for data in (b"", b"abc\n", "é\ufeff\U0001f600".encode(), b"a\xffb", b"\xed\xa0\x80x", "é".encode()[:1]):
+        assert docs._as_text(data).to_pylist() == [data.decode(errors="ignore")]
+
+
 def test_text_files_are_read_in_several_tasks(spark, tmp_path):
     for n in range(40):
         folder = put(tmp_path / "many", f"{n}.diff", str(n))
