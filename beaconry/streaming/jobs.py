@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,18 +19,27 @@ from beaconry.operators.firsts import last_per_key
 from beaconry.operators.replay import misses_in_order
 from beaconry.operators.snapshots import snapshot_rows
 from beaconry.plans.sheets import Rules, parse_sheets
+from beaconry.session import persist_clustered
 from beaconry.sources.html_elements import element_table
 from beaconry.sources.pages import normalise_pages, successful
 
 
-def page_entries(pages: DataFrame, created_at: str, rules: Rules = Rules()) -> DataFrame:
+def page_elements(pages: DataFrame) -> DataFrame:
+    """Elements of freshly fetched pages, clustered by page."""
+    return element_table(successful(normalise_pages(pages)), cluster=True)
+
+
+def page_entries(
+    pages: DataFrame, created_at: str, rules: Rules = Rules(), elements: DataFrame | None = None
+) -> DataFrame:
     """Snapshot rows of freshly fetched pages: the whole parsed sheet as JSON per URL.
 
     An entry was made when its page was fetched (``scraped_at``, seconds), else at ``created_at``.
+    Give cached ``elements`` of :func:`page_elements`, or every branch of the sheet parses the pages.
     """
     good = successful(normalise_pages(pages))
     fetched = F.coalesce(F.timestamp_seconds("scraped_at"), F.lit(created_at).cast("timestamp"))
-    elements = element_table(good, cluster=True)
+    elements = page_elements(pages) if elements is None else elements
     sheets = parse_sheets(elements, good, rules=rules)
     fields = [c for c in sheets.columns if c not in ("page_id", "url")]
     entries = sheets.join(good.select("page_id", fetched.alias("created_at")), "page_id").select(
@@ -39,6 +50,19 @@ def page_entries(pages: DataFrame, created_at: str, rules: Rules = Rules()) -> D
     return snapshot_rows(entries)
 
 
+def newest_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each Arrow batch the newest version per URL, by the order of :class:`NewestVersion`.
+
+    Versions that stand near each other need not be shuffled with their contents then.
+    """
+    order = [(name, "ascending") for name in ("url", "fetched", "content_hash", "page_id")]
+    for batch in batches:
+        rank = pc.sort_indices(batch.select([name for name, _ in order]), sort_keys=order, null_placement="at_start")
+        urls = pc.dictionary_encode(batch.column("url").take(rank), null_encoding="encode").indices.to_numpy()
+        newest = np.append(urls[1:] != urls[:-1], True)[: len(urls)]
+        yield batch.take(rank.filter(pa.array(newest)))
+
+
 class NewestVersion(StatefulProcessor):
     """Per URL: time and content hash of its newest version; gives out rows whose content is new.
 
@@ -53,7 +77,7 @@ class NewestVersion(StatefulProcessor):
         self.newest = handle.getValueState("newest", "fetched bigint, content_hash string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        best = max(rows, key=lambda r: (r.fetched, r.content_hash, r.page_id))
+        best = max(rows, key=lambda r: (r.fetched, r.content_hash, r.page_id is not None, r.page_id))
         known = self.newest.get() if self.newest.exists() else None
         if known is not None and best.fetched < known[0]:
             return
@@ -76,6 +100,7 @@ def changed_pages(pages: DataFrame, created_at: str, ttl_days: int = fixed.PAGE_
     content = F.sha2(F.to_json(F.struct("html", "markdown")), 256)
     rows = good.withColumns({"fetched": F.unix_micros(fetched), "content_hash": content})
     state = NewestVersion(ttl_days * 86_400_000)
+    rows = rows.mapInArrow(newest_versions, rows.schema)
     return rows.groupBy("url").transformWithState(state, rows.schema, "Append", "ProcessingTime").drop(
         "fetched", "content_hash"
     )
@@ -117,11 +142,23 @@ def ingest_pages(
 
     Each batch goes to its own folder, overwritten when the batch is retried, so a
     restart neither loses nor repeats rows.  :func:`ingested` merges the batches.
+
+    Every reading of a batch works through the keyed state again, and stages that do so at the same
+    time wait for each other's state store until that is an error.  So a batch is read once, into
+    ``{target}-changed``, which holds the pages of one batch and is overwritten by the next.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        entries = page_entries(batch, created_at, rules)
-        entries.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        changed = f"{target}-changed"
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(changed)
+        pages = batch.sparkSession.read.schema(batch.schema).parquet(changed)
+        elements = persist_clustered(page_elements(pages))
+        try:
+            elements.count()  # joins are planned by the size of what is cached
+            entries = page_entries(pages, created_at, rules, elements)
+            entries.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        finally:
+            elements.unpersist()
 
     return start_stateful(changed_pages(stream, created_at, ttl_days), store, checkpoint)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from beaconry.operators.replay import cache_hits
@@ -123,6 +124,52 @@ def test_only_new_and_changed_contents_pass(spark, tmp_path):
     assert seen == [[2, 3], [7], [9]]
 
 
+def test_a_batch_works_through_the_state_once(spark, tmp_path):
+    schema = "page_id bigint, url string, html string, scraped_at double"
+    source = str(tmp_path / "in")
+    for part in (0, 1):
+        spark.createDataFrame(versions(spark, 4)[part * 75 : part * 75 + 75], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def updates(run):
+        run.awaitTermination()
+        return [p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress if p["numInputRows"]]
+
+    once = updates(jobs.start_stateful(jobs.changed_pages(stream(), DAY), lambda frame, _: frame.collect(), str(tmp_path / "cp1")))
+    ingest = updates(jobs.ingest_pages(stream(), str(tmp_path / "out"), str(tmp_path / "cp2"), DAY))
+    assert len(once) == 2 and ingest == once
+
+
+def test_equal_versions_without_a_page_id(spark, tmp_path):
+    schema = "page_id bigint, url string, html string, scraped_at double"
+    found = [(None, "u", "a", 9.0), (3, "u", "a", 9.0), (2, "u", "a", 9.0), (None, None, "n", 1.0), (None, None, "n", 1.0), (7, "v", "x", 5.0), (8, "v", "", 6.0)]
+    source = str(tmp_path / "in")
+    # In one file the versions meet in one Arrow batch, in several they meet at the state.
+    for name, parts in (("one", [found]), ("many", [[row] for row in found])):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{source}-{name}")
+        seen = []
+        changed = jobs.changed_pages(spark.readStream.schema(schema).parquet(f"{source}-{name}"), DAY)
+        jobs.start_stateful(changed, lambda frame, _: seen.extend(frame.collect()), str(tmp_path / f"cp-{name}")).awaitTermination()
+        assert sorted((r.url or "", r.page_id) for r in seen) == [("", None), ("u", 3), ("v", 7)]
+
+
+def test_newest_versions_of_an_arrow_batch():
+    def kept(table):
+        batches = list(jobs.newest_versions(iter([pa.RecordBatch.from_pydict(table, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("fetched", pa.int64()), ("content_hash", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))]))])))
+        assert len(batches) == 1
+        return sorted(batches[0].column("page_id").to_pylist())
+
+    table = {
+        "page_id": [1, 2, 3, 4, 5, 6, 7], "url": ["u", "v", "u", None, "v", None, "w"], "fetched": [5, 1, 4, 2, 1, 1, 0],
+        "content_hash": ["a", "b", "c", "d", "a", "e", "f"], "metadata": [[("k", "x")], None, [], None, None, None, None],
+    }
+    assert kept(table) == [1, 2, 4, 7]
+    assert kept({name: [] for name in table}) == []
+
+
 def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path):
     table = spark.createDataFrame([(n, f"https://h/{n}", f"<h1>Page {n}</h1>") for n in range(9)], "page_id bigint, url string, html string")
     folder, single = tmp_path / "folder", tmp_path / "single"
